@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from logloom.catalog import features
+    from logloom.catalog import encoding, features, scaling
 
     out: dict = {}
-    for module in (features,):
+    for module in (features, scaling, encoding):
         out.update(module.QUERIES)
     return out

@@ -3,18 +3,11 @@
 from pyspark.sql import functions as F
 
 from logloom.catalog import sql as S
+from logloom.catalog.common import POINT, r6
 from logloom.functions.times import micros
 from logloom.operators.features import add_calculated_times
-from logloom.schema import LogSchema
 from logloom.sources.adapters import order_log, shipment_log, user_day_log, user_log
 
-POINT = LogSchema(one_timestamp=True)
-
-
-def r6(column: str):
-    return (F.round(column, 6) + F.lit(0.0)).alias(column)
-
-
 def calc_times_interval(spark, folder):
     log = add_calculated_times(shipment_log(spark, folder))
     return log.select(

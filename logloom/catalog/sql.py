@@ -56,5 +56,32 @@ def r6(x: str, name: str | None = None) -> str:
     return f"(round({x}, 6) + 0.0) AS {name or x}"
 
 
+def rnd(x: str, name: str, digits: int) -> str:
+    return f"(round({x}, {digits}) + 0.0) AS {name}"
+
+
 def with_(*clauses: str, select: str) -> str:
     return "WITH " + ",\n".join(clauses) + "\n" + select
+
+
+# Adds a role, ac and rl codes to lg: values sorted, 1..n; start 0, end n + 1.
+ROLED = """
+rg AS (SELECT *, 'R' || CAST(CAST(usr AS BIGINT) % 10 AS VARCHAR) AS role FROM lg),
+aci AS (SELECT task AS value, row_number() OVER (ORDER BY task) AS idx
+  FROM (SELECT DISTINCT task FROM rg)),
+rli AS (SELECT role AS value, row_number() OVER (ORDER BY role) AS idx
+  FROM (SELECT DISTINCT role FROM rg)),
+nd AS (SELECT (SELECT count(*) + 1 FROM aci) AS ac_end, (SELECT count(*) + 1 FROM rli) AS rl_end)
+"""
+# Timed and encoded log with the position in its case.
+PREPARED = f"""
+{USER_DAY_LOG},
+{TIMED},
+{ROLED},
+en AS (SELECT ft.*, r.role, a.idx AS ac, r.idx AS rl,
+    row_number() OVER (PARTITION BY caseid ORDER BY {ORD}) AS pos,
+    count(*) OVER (PARTITION BY caseid) AS len
+  FROM (SELECT *, 'R' || CAST(CAST(usr AS BIGINT) % 10 AS VARCHAR) AS rolename FROM ft) ft
+  JOIN aci a ON ft.task = a.value
+  JOIN (SELECT value AS role, idx FROM rli) r ON ft.rolename = r.role)
+"""
