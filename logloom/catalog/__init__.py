@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from logloom.catalog import encoding, features, scaling
+    from logloom.catalog import encoding, features, models, samples, scaling
 
     out: dict = {}
-    for module in (features, scaling, encoding):
+    for module in (features, scaling, encoding, samples, models):
         out.update(module.QUERIES)
     return out
