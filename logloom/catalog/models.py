@@ -117,10 +117,14 @@ m2 AS (SELECT k, ctx, nx, quantile_disc(dnx, 0.5) AS dm, quantile_disc(wnx, 0.5)
 """
 STATES = f"""
 {MODEL},
-ch AS (SELECT m1.head, m1.k, m1.ctx, m1.nx, m1.n, m1.total, dm, wm,
+-- The end sentinel is 0 on the scale of the training times, their minimum in seconds.
+lows AS (SELECT min(dur) AS dmin, min(wait) AS wmin FROM tr),
+ch AS (SELECT m1.head, m1.k, m1.ctx, m1.nx, m1.n, m1.total,
+    CASE WHEN m1.head = 'ac' AND m1.nx = ac_end THEN dmin ELSE dm END AS dm,
+    CASE WHEN m1.head = 'ac' AND m1.nx = ac_end THEN wmin ELSE wm END AS wm,
     sum(n) OVER (PARTITION BY head, m1.ctx ORDER BY m1.nx) AS upto,
     row_number() OVER (PARTITION BY head, m1.ctx ORDER BY n DESC, m1.nx) AS rn
-  FROM m1 LEFT JOIN m2 ON m1.head = 'ac' AND m1.ctx = m2.ctx AND m1.nx = m2.nx
+  FROM nd, lows, m1 LEFT JOIN m2 ON m1.head = 'ac' AND m1.ctx = m2.ctx AND m1.nx = m2.nx
   WHERE total >= {MIN_SUPPORT} OR m1.k = 0),
 sx AS (SELECT DISTINCT k, ctx FROM ch),
 tes AS (SELECT caseid, cut, len, ([0, 0, 0, 0] || a)[cut + 2 : cut + 4] AS win, a, r, d, w
@@ -189,6 +193,56 @@ sf AS (SELECT id, array_to_string(list(nx ORDER BY step), ',') AS ac_pred,
     round(sum(dm + wm), 3) AS remaining FROM wk WHERE step > 0 GROUP BY id)
 """
 
+_CASES = """
+w0 AS (SELECT 'Case' || lpad(CAST(i AS VARCHAR), CAST(length(CAST(nc AS VARCHAR)) AS INT), '0') AS id, [0, 0, 0] AS win
+  FROM (SELECT count(DISTINCT caseid) AS nc FROM te), LATERAL (SELECT unnest(range(nc)) AS i))
+"""
+# The start context never goes to `end`, so no first event needs to be redrawn.
+GENERATED = """
+acl AS (SELECT * FROM aci UNION ALL SELECT 'start', 0 UNION ALL SELECT 'end', ac_end FROM nd),
+rll AS (SELECT * FROM rli UNION ALL SELECT 'start', 0 UNION ALL SELECT 'end', rl_end FROM nd),
+us AS (SELECT id, step, nx, rnx, dm, wm, CAST(round(dm * 1e6) AS BIGINT) AS d,
+    CAST(round(wm * 1e6) AS BIGINT) AS w FROM wk WHERE step > 0),
+gl AS (SELECT id AS caseid, step - 1 AS pos, a.value AS task, r.value AS role, dm, wm, d,
+    (SELECT min(k_us) FROM te) + CAST(sum(d + w) OVER (PARTITION BY id ORDER BY step) AS BIGINT) AS e_us
+  FROM us JOIN acl a ON a.idx = nx JOIN rll r ON r.idx = rnx, nd WHERE nx <> ac_end)
+"""
+_GENERATED_ROWS = """
+SELECT caseid, CAST(pos AS BIGINT) AS pos, task, role, e_us - d AS start_us, e_us AS end_us,
+  round(dm, 3) AS dur, round(wm, 3) AS wait FROM gl
+"""
+# Choices keyed by context, or by context, hour and weekday of the last event.
+_TIMED = f"""
+tpq AS (SELECT caseid, [0] || list(daytime // 3600 ORDER BY pos) AS hs,
+    [0] || list(weekday ORDER BY pos) AS ds FROM tr GROUP BY caseid),
+tcx AS (SELECT {longest_context("smp.win")} AS ctx, hs[cut + 1] AS hour, ds[cut + 1] AS wd, nx
+  FROM smp JOIN tpq USING (caseid)),
+tch AS (SELECT ctx, ctx || '@' || hour || '@' || wd AS key, nx, count(*) AS n,
+    sum(count(*)) OVER (PARTITION BY ctx, hour, wd ORDER BY nx) AS upto,
+    sum(count(*)) OVER (PARTITION BY ctx, hour, wd) AS total
+  FROM tcx GROUP BY ctx, hour, wd, nx),
+xch AS (SELECT ctx AS key, nx, n, upto, total, dm, wm FROM ch WHERE head = 'ac'
+  UNION ALL SELECT tch.key, tch.nx, tch.n, tch.upto, tch.total, ch.dm, ch.wm
+  FROM tch JOIN ch ON ch.head = 'ac' AND ch.ctx = tch.ctx AND ch.nx = tch.nx),
+xk AS (SELECT DISTINCT key FROM tch),
+t0 AS (SELECT min(k_us) AS t FROM te),
+wk AS (
+  SELECT id, 0 AS step, CAST(0 AS BIGINT) AS nx, CAST(0 AS BIGINT) AS rnx, CAST(NULL AS DOUBLE) AS dm,
+    CAST(NULL AS DOUBLE) AS wm, win, t AS s_us, t AS e_us FROM w0, t0
+  UNION ALL
+  SELECT h.id, h.step + 1, c.nx, q.nx, c.dm, c.wm, h.win[2:] || [c.nx],
+    h.e_us + CAST(round(c.wm * 1e6) AS BIGINT),
+    h.e_us + CAST(round(c.wm * 1e6) AS BIGINT) + CAST(round(c.dm * 1e6) AS BIGINT)
+  FROM (SELECT *, CASE WHEN tkey IN (SELECT key FROM xk) THEN tkey ELSE ctx END AS key
+      FROM (SELECT *, ctx || '@' || (s_us // 3600000000) % 24 || '@'
+          || (isodow(make_timestamp(s_us)) - 1) AS tkey
+        FROM (SELECT wk.*, {longest_context("wk.win")} AS ctx FROM wk, nd, mts
+          WHERE nx <> ac_end AND step < mx - 1))) h
+    JOIN xch c ON c.key = h.key AND c.upto > {draw("ac", "h.id", "h.step + 1", _RUN)} * c.total
+      AND c.upto - c.n <= {draw("ac", "h.id", "h.step + 1", _RUN)} * c.total
+    JOIN ch q ON {_drawn("q", "rl", "rl", ["h.id", "h.step + 1"], "h.ctx")})
+"""
+
 QUERIES = {
     "ngram_model": (
         ngram_model,
@@ -222,9 +276,9 @@ QUERIES = {
             SELECT caseid, cut + 1 AS pref_size, array_to_string([0] || a[1 : cut], ',') AS ac_prefix,
               array_to_string((a || [ac_end])[cut + 1 : len + 1], ',') AS ac_expect, ac_pred,
               array_to_string((r || [rl_end])[cut + 1 : len + 1], ',') AS rl_expect, rl_pred,
-              array_to_string(list_transform((d || [0.0])[cut + 1 : len + 1],
+              array_to_string(list_transform((d || [dmin])[cut + 1 : len + 1],
                 lambda x: printf('%.3f', x)), ',') AS dur_expect, dur_pred, wait_pred
-            FROM tes JOIN sf ON sf.id = caseid || '|' || cut, nd"""),
+            FROM tes JOIN sf ON sf.id = caseid || '|' || cut, nd, lows"""),
     ),
     "suffix_sampled": (
         suffix_sampled,
@@ -238,4 +292,20 @@ QUERIES = {
             SELECT caseid, cut + 1 AS pref_size, remaining
             FROM tes JOIN sf ON sf.id = caseid || '|' || cut"""),
     ),
+    "generated_log": (
+        _generated(RANDOM_CHOICE, False),
+        S.with_("RECURSIVE " + STATES, _CASES, walk_sql("w0", True), GENERATED, select=_GENERATED_ROWS),
+    ),
+    "generated_log_argmax": (
+        _generated(ARG_MAX, False),
+        S.with_("RECURSIVE " + STATES, _CASES, walk_sql("w0", False), GENERATED, select=_GENERATED_ROWS),
+    ),
+    "generated_log_ctx": (
+        _generated(RANDOM_CHOICE, True),
+        S.with_("RECURSIVE " + STATES, _CASES, _TIMED, GENERATED.split("us AS")[0].rstrip().rstrip(","),
+            select="""
+            SELECT id AS caseid, CAST(step AS BIGINT) AS pos, a.value AS task, r.value AS role,
+              s_us AS start_us, e_us AS end_us, round(dm, 3) AS dur, round(wm, 3) AS wait
+            FROM wk JOIN acl a ON a.idx = nx JOIN rll r ON r.idx = rnx"""),
+    ),
 }
