@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.arrays import joined
-from logloom.operators.encode import build_index, encode
+from logloom.operators.encode import encode_log
 from logloom.operators.features import add_calculated_times
 from logloom.schema import LogSchema
 from logloom.sources.adapters import user_day_log
@@ -35,15 +35,10 @@ def user_roles(log: DataFrame) -> DataFrame:
     return log.withColumn("role", F.concat(F.lit("R"), F.expr("cast(user as int) % 10")))
 
 
-def encoded(log: DataFrame):
-    """(log with ac_index and rl_index, activity index, role index)."""
-    activities, roles = build_index(log, "task"), build_index(log, "role")
-    log = encode(log, activities, "task", "ac_index")
-    return encode(log, roles, "role", "rl_index"), activities, roles
 
 
 def prepared(spark, folder):
     """Timed, encoded log of short cases: (log, activities, roles, ends)."""
-    log, activities, roles = encoded(user_roles(user_day_log(spark, folder)))
+    log, activities, roles = encode_log(user_roles(user_day_log(spark, folder)))
     log = add_calculated_times(log)
     return log, activities, roles, {"ac_index": activities.end, "rl_index": roles.end}

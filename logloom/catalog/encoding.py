@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from logloom.catalog import sql as S
-from logloom.catalog.common import INTERVAL, POINT, big, encoded, prepared, r6, user_roles
+from logloom.catalog.common import INTERVAL, POINT, big, prepared, r6, user_roles
 from logloom.functions.times import micros
-from logloom.operators.encode import build_index, decode, log_extent, max_trace_size
+from logloom.operators.encode import build_index, decode, encode_log, log_extent, max_trace_size
 from logloom.operators.pairs import negative_samples, observed_pairs, unobserved_pairs
 from logloom.operators.roles import (
     add_resources, connected_components, discover_roles, role_members, similar_users,
@@ -23,8 +23,8 @@ def activity_index(spark, folder):
     return index.table.select("value", big("idx"))
 
 
-def encode_log(spark, folder):
-    log, activities, _ = encoded(user_roles(user_day_log(spark, folder)))
+def coded_log(spark, folder):
+    log, activities, _ = encode_log(user_roles(user_day_log(spark, folder)))
     log = decode(log, activities, "ac_index", "label")
     return log.select(
         big("event_key", "event_id"), "label", "role", big("ac_index"), big("rl_index")
@@ -161,7 +161,7 @@ QUERIES = {
             UNION ALL SELECT 'start', 0 UNION ALL SELECT 'end', count(*) + 1 FROM a"""),
     ),
     "encode_log": (
-        encode_log,
+        coded_log,
         S.with_(S.PREPARED, select="""
             SELECT o1 AS event_id, task AS label, role, ac AS ac_index, rl AS rl_index FROM en"""),
     ),

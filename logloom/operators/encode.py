@@ -28,14 +28,34 @@ class CategoryIndex:
         return self.values + 2
 
 
-def build_index(log: DataFrame, column: str, null_label: str = NO_ROLE) -> CategoryIndex:
-    values = log.select(F.coalesce(F.col(column), F.lit(null_label)).alias("value")).distinct()
+def build_indexes(
+    log: DataFrame, columns: list[str], null_label: str = NO_ROLE
+) -> list[CategoryIndex]:
+    """One index per column, from one pass over the log."""
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit(null_label)).alias("value"))
+        for c in columns
+    ]
+    values = log.select(F.explode(F.array(*cells)).alias("c")).select("c.*").distinct()
     values = pin(values)
-    n = values.count()
+    sizes = dict(values.groupBy("column").count().collect())
+    return [
+        _index(values.where(F.col("column") == c).select("value"), sizes.get(c, 0)) for c in columns
+    ]
+
+
+def _index(values: DataFrame, n: int) -> CategoryIndex:
     ranked = global_rank(values, ["value"], "idx", n).select("value", F.col("idx").cast("int"))
-    spark = log.sparkSession
-    ends = spark.createDataFrame([(START_LABEL, 0), (END_LABEL, n + 1)], "value string, idx int")
-    return CategoryIndex(ranked.unionByName(ends), n)
+    ends = F.array(
+        F.struct(F.lit(START_LABEL).alias("value"), F.lit(0).alias("idx")),
+        F.struct(F.lit(END_LABEL).alias("value"), F.lit(n + 1).alias("idx")),
+    )
+    sentinels = values.sparkSession.range(1).select(F.inline(ends))
+    return CategoryIndex(ranked.unionByName(sentinels), n)
+
+
+def build_index(log: DataFrame, column: str, null_label: str = NO_ROLE) -> CategoryIndex:
+    return build_indexes(log, [column], null_label)[0]
 
 
 def encode(log, index: CategoryIndex, column: str, out: str, null_label: str = NO_ROLE):
@@ -56,7 +76,7 @@ def decode(rows, index: CategoryIndex, column: str, out: str):
 
 def encode_log(log) -> tuple[DataFrame, CategoryIndex, CategoryIndex]:
     """Adds ``ac_index`` and ``rl_index``; returns both indexes too."""
-    activities, roles = build_index(log, "task"), build_index(log, "role")
+    activities, roles = build_indexes(log, ["task", "role"])
     log = encode(log, activities, "task", "ac_index")
     return encode(log, roles, "role", "rl_index"), activities, roles
 

@@ -27,13 +27,13 @@ def _point_times(frame: Frame) -> dict:
     }
 
 
-def add_calculated_times(log: DataFrame, schema: LogSchema = LogSchema()) -> DataFrame:
+def add_calculated_times(log: DataFrame, schema: LogSchema = LogSchema(), hot=None) -> DataFrame:
     """Adds ``dur``, ``acc_cycle``, (``wait``,) ``daytime`` and ``weekday``.
 
     One exchange on the case and one sort serve all of them.
     """
     times = _point_times if schema.one_timestamp else _interval_times
-    timed = over_traces(log, schema, times, back=1)
+    timed = over_traces(log, schema, times, back=1, hot=hot)
     return timed.withColumns({"daytime": daytime(schema.key), "weekday": weekday(schema.key)})
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.arrays import pad_last
 from logloom.functions.draws import uniform
-from logloom.operators.positions import number_rows
+from logloom.operators.positions import hot_groups, number_rows
 from logloom.runtime import pin
 
 ARG_MAX, RANDOM_CHOICE = "arg_max", "random_choice"
@@ -84,9 +84,9 @@ def time_table(samples: DataFrame, times: list[str], n: int) -> DataFrame:
     ).select("c.k", "c.ctx", "next", *times)
     group = ["k", "ctx", "next"]
     sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / 2).alias("_middle"))
-    out = None
+    hot, out = hot_groups(rows, group), None
     for t in times:
-        ranked = number_rows(rows.select(*group, t), group, [t], "_rank")
+        ranked = number_rows(rows.select(*group, t), group, [t], "_rank", hot)
         middle = ranked.join(sizes, group).where("_rank = _middle").select(*group, t)
         out = middle if out is None else out.join(middle, group)
     return out

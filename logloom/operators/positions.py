@@ -105,14 +105,19 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, rows: i
     )
 
 
-def number_rows(df: DataFrame, by: list[str], order: list[str], out: str = "pos") -> DataFrame:
-    """1-based position of each row within its group."""
+def number_rows(
+    df: DataFrame, by: list[str], order: list[str], out: str = "pos", hot: list[int] | None = None
+) -> DataFrame:
+    """1-based position of each row within its group.
+
+    ``hot`` is the known answer of ``hot_groups(df, by)``, if any.
+    """
 
     def plain(rows):
         number = F.row_number().over(W.partitionBy(*by).orderBy(*order))
         return rows.withColumn(out, number.cast("bigint"))
 
-    hot = hot_groups(df, by)
+    hot = hot_groups(df, by) if hot is None else hot
     if not hot:
         return plain(df)
     split = sliced_rank(df.where(_is_hot(by, hot)), by, order, out)
@@ -142,9 +147,13 @@ def over_traces(
     build: Callable[[Frame], dict[str, Column]],
     back: int = 0,
     ahead: int = 0,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """Adds trace-ordered columns that look at most ``back`` rows behind and
-    ``ahead`` rows ahead of the current event."""
+    ``ahead`` rows ahead of the current event.
+
+    ``hot`` is the known answer of ``hot_groups`` for the cases, if any.
+    """
     case, key = "caseid", schema.key
 
     def plain(rows):
@@ -152,7 +161,7 @@ def over_traces(
         frame = Frame(w, F.row_number().over(w).cast("bigint"), F.first(key).over(w))
         return rows.withColumns(build(frame))
 
-    hot = hot_groups(log, [case])
+    hot = hot_groups(log, [case]) if hot is None else hot
     if not hot:
         return plain(log)
     placed = sliced_rank(log.where(_is_hot([case], hot)), [case], schema.order, "_pos")

@@ -98,6 +98,7 @@ def windowed_samples(
     ends: dict[str, int],
     schema: LogSchema = LogSchema(),
     include_end: bool = True,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """One row per label: the ``n`` values before it, left-padded with 0.
 
@@ -114,7 +115,7 @@ def windowed_samples(
             built["_last"] = frame.is_last
         return built
 
-    seen = over_traces(log, schema, neighbours, back=n, ahead=1)
+    seen = over_traces(log, schema, neighbours, back=n, ahead=1, hot=hot)
     before = F.slice("_seen", F.lit(1), F.size("_seen") - 1)
     samples = F.array(
         F.struct(F.col("_cut").alias("cut"), pad_last(before, n, zeros).alias("p"),
@@ -130,9 +131,9 @@ def windowed_samples(
     return rows.select("caseid", "s.cut", *_prefixed(columns, F.col("s.p"), F.col("s.y")))
 
 
-def ngram_samples(log, columns, n, ends, schema=LogSchema()) -> DataFrame:
+def ngram_samples(log, columns, n, ends, schema=LogSchema(), hot=None) -> DataFrame:
     """Training samples: L+1 rows for a case of L events, ``end`` included."""
-    return windowed_samples(log, columns, n, ends, schema, include_end=True)
+    return windowed_samples(log, columns, n, ends, schema, True, hot)
 
 
 def _cuts(log, columns, ends, schema, first, last_offset) -> DataFrame:

@@ -43,7 +43,7 @@ def next_event_records(
     if whole_prefix:
         samples = next_event_samples(prepared.test, columns, ends, schema, include_end)
     else:
-        samples = windowed_samples(prepared.test, columns, model.n, ends, schema, include_end)
+        samples = windowed_samples(prepared.test, columns, model.n, ends, schema, include_end, prepared.hot)
     rows = predict_next(samples, model, variant, seed, run)
     out = [
         "caseid", "cut", (F.col("cut") + 1).alias("pref_size"),
@@ -113,7 +113,9 @@ def _clock_states(prepared: Prepared, model: NgramModel) -> DataFrame:
     train = prepared.train
     if "daytime" not in train.columns:  # replaced by its scaled form
         train = train.withColumn("daytime", F.round(F.col("daytime_norm") * 86400))
-    samples = ngram_samples(train, columns, model.n, prepared.ends, prepared.schema)
+    samples = ngram_samples(
+        train, columns, model.n, prepared.ends, prepared.schema, prepared.hot
+    )
     return timed_choices(samples, model)
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.scaling import fit_scalers, profile_methods, scale_features
-from logloom.operators.encode import CategoryIndex, build_index, encode
+from logloom.operators.encode import CategoryIndex, build_indexes, encode
 from logloom.operators.features import add_calculated_times, sample_columns
 from logloom.operators.ngram import NgramModel, fit_ngrams
 from logloom.operators.pairs import negative_samples
+from logloom.operators.positions import hot_groups
 from logloom.operators.samples import longest_trace, ngram_samples
 from logloom.operators.split import TEST, TRAIN, label_parts
 from logloom.plans.specs import ModelSpec, model_spec
@@ -32,6 +33,7 @@ class Prepared:
     spec: ModelSpec
     schema: LogSchema
     max_trace_size: int
+    hot: list[int]  # cases too long for one task
 
     @property
     def ends(self) -> dict[str, int]:
@@ -56,10 +58,11 @@ def prepare(
     once, both parts and everything after them read it.
     """
     spec = model_spec(model_type)
-    activities, roles = build_index(log, "task"), build_index(log, "role")
+    hot = hot_groups(log, ["caseid"])
+    activities, roles = build_indexes(log, ["task", "role"])
     coded = encode(log, activities, "task", "ac_index")
     coded = encode(coded, roles, "role", "rl_index")
-    timed = label_parts(add_calculated_times(coded, schema), schema, size, method)
+    timed = label_parts(add_calculated_times(coded, schema, hot), schema, size, method)
     timed = pin(timed)
     train, test = timed.where(F.col("part") == TRAIN), timed.where(F.col("part") == TEST)
     extra = spec.additional_columns
@@ -67,7 +70,7 @@ def prepare(
     train, _ = scale_features(train.drop("part"), spec.scaler, schema, norm_method, extra, args)
     test, _ = scale_features(test.drop("part"), spec.scaler, schema, norm_method, extra, args)
     return Prepared(
-        train, test, activities, roles, args, norm_method, spec, schema, longest_trace(log)
+        train, test, activities, roles, args, norm_method, spec, schema, longest_trace(log), hot
     )
 
 
@@ -83,7 +86,9 @@ def fit(prepared: Prepared, n: int = 5, min_support: int = 1) -> NgramModel:
 
 def training_samples(prepared: Prepared, n: int, columns: list[str] | None = None) -> DataFrame:
     columns = columns or prepared.columns
-    return ngram_samples(prepared.train, columns, n, prepared.ends, prepared.schema)
+    return ngram_samples(
+        prepared.train, columns, n, prepared.ends, prepared.schema, prepared.hot
+    )
 
 
 def _sequences(prepared: Prepared, n: int, seed: int) -> DataFrame:
