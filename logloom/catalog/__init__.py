@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from logloom.catalog import encoding, evaluation, features, models, samples, scaling
+    from logloom.catalog import encoding, evaluation, features, learning, models, samples, scaling
 
     out: dict = {}
-    for module in (features, scaling, encoding, samples, models, evaluation):
+    for module in (features, scaling, encoding, samples, models, evaluation, learning):
         out.update(module.QUERIES)
     return out
