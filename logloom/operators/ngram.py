@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.arrays import pad_last
 from logloom.functions.draws import uniform
-from logloom.operators.positions import hot_groups, number_rows
+from logloom.operators.positions import grouped_medians, hot_counted
 from logloom.runtime import pin
 
 ARG_MAX, RANDOM_CHOICE = "arg_max", "random_choice"
@@ -70,11 +70,13 @@ def ngram_table(samples: DataFrame, label: str, n: int) -> DataFrame:
     return count_contexts(samples, label, n).withColumn("p", F.col("n") / F.col("total"))
 
 
-def time_table(samples: DataFrame, times: list[str], n: int) -> DataFrame:
+def time_table(
+    samples: DataFrame, times: list[str], n: int, counts: DataFrame | None = None
+) -> DataFrame:
     """(k, ctx, next, <time> medians): the lower median per transition.
 
-    Ranks the values of a transition and keeps the middle one; transitions that
-    hold a large part of the log are ranked slice by slice.
+    ``counts`` is the ``count_contexts`` table of the activities, if known; it
+    tells which transitions hold a large part of the log.
     """
     labels = [F.col(f"{t}_next").alias(t) for t in times]
     rows = samples.select(
@@ -83,13 +85,8 @@ def time_table(samples: DataFrame, times: list[str], n: int) -> DataFrame:
         *labels,
     ).select("c.k", "c.ctx", "next", *times)
     group = ["k", "ctx", "next"]
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / 2).alias("_middle"))
-    hot, out = hot_groups(rows, group), None
-    for t in times:
-        ranked = number_rows(rows.select(*group, t), group, [t], "_rank", hot)
-        middle = ranked.join(sizes, group).where("_rank = _middle").select(*group, t)
-        out = middle if out is None else out.join(middle, group)
-    return out
+    hot = hot_counted(counts, group, "n") if counts is not None else None
+    return grouped_medians(rows, group, times, hot)
 
 
 @dataclass(frozen=True)
@@ -115,12 +112,11 @@ def _choices(counts: DataFrame, fields: list[str], out: str) -> DataFrame:
 def fit_ngrams(
     samples: DataFrame, n: int, end: int, times: list[str], min_support: int = 1
 ) -> NgramModel:
-    """Fits on training samples with columns ``ac_index``, ``rl_index`` and times."""
-    samples = pin(samples)
+    """Fits on pinned training samples of ``ac_index``, ``rl_index`` and times."""
     supported = (F.col("total") >= min_support) | (F.col("k") == 0)
     ac = pin(count_contexts(samples, "ac_index_next", n).where(supported))
     rl = count_contexts(samples, "rl_index_next", n).where(supported)
-    medians = time_table(samples, times, n)
+    medians = time_table(samples, times, n, ac)
     contexts = ac.select(F.col("k").alias("to_k"), F.col("ctx").alias("to")).distinct()
     moved = F.filter(F.concat(F.split("ctx", ","), F.array(F.col("next").cast("string"))), lambda v: v != "")
     steps = ac.where(F.col("next") != end).select(

@@ -41,19 +41,47 @@ def hot_groups(df: DataFrame, by: list[str]) -> list[int]:
     return top.select(F.transform(over, lambda t: t["item"]).alias("items")).first()["items"] or []
 
 
+def hot_counted(counts: DataFrame, by: list[str], rows: str) -> list[int]:
+    """``hot_groups`` from a table of group sizes: the largest HOT_GROUPS."""
+    over = counts.where(F.col(rows) > HOT_ROWS).orderBy(F.desc(rows)).limit(HOT_GROUPS)
+    return [r["h"] for r in over.select(F.xxhash64(*by).alias("h")).collect()]
+
+
 def _is_hot(by: list[str], hashes: list[int]) -> Column:
     return F.xxhash64(*by).isin(hashes)
 
 
+def _slices(df: DataFrame, by: list[str], order: list) -> DataFrame:
+    """Rows in range partitions of (by, order), numbered by ``_slice`` and ``_id``.
+
+    Rows with equal keys share a slice, so the keys should be (nearly) unique.
+    """
+    sorted_rows = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    rows = pin(sorted_rows.withColumn("_id", F.monotonically_increasing_id()))
+    return rows.withColumn("_slice", F.shiftright("_id", 33))
+
+
+def sliced_totals(df: DataFrame, by: list[str], order: list, weight: str, out: str) -> DataFrame:
+    """Running sum of ``weight`` within ``by``, current row included, by slices."""
+    rows = _slices(df, by, order)
+    earlier = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.groupBy(*by, "_slice").agg(F.sum(weight).alias("_sum"))
+    carried = carried.select(
+        *by, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carry")
+    )
+    upto = W.partitionBy(*by, "_slice").orderBy("_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_local", F.sum(weight).over(upto))
+    rows = rows.join(F.broadcast(carried), [*by, "_slice"])  # a row per slice and group
+    return rows.select(*df.columns, (F.col("_local") + F.col("_carry")).alias(out))
+
+
 def sliced_rank(df: DataFrame, by: list[str], order: list, out: str) -> DataFrame:
     """row_number within ``by`` without putting a group into one task.
 
     Range partitions are numbered locally; the rows before each slice come from
     a table with one row per (slice, group), so use it for few groups only.
     """
-    sorted_rows = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
-    rows = pin(sorted_rows.withColumn("_id", F.monotonically_increasing_id()))
-    rows = rows.withColumn("_slice", F.shiftright("_id", 33))
+    rows = _slices(df, by, order)
     slices = rows.groupBy(*by, "_slice").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
@@ -105,6 +133,34 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, rows: i
     )
 
 
+def grouped_medians(
+    df: DataFrame, by: list[str], values: list[str], hot: list[int] | None = None
+) -> DataFrame:
+    """Lower median of each value column per group, exactly.
+
+    Ordinary groups take one exchange and a sort per column. The values of hot
+    groups are counted first, so ties cost nothing, and the counts are summed
+    slice by slice. Group columns must not be NULL.
+    """
+    hot = hot_groups(df, by) if hot is None else hot
+    middle = F.ceil(F.count(F.lit(1)).over(W.partitionBy(*by)) / 2)
+    ranks = {f"_{v}": F.row_number().over(W.partitionBy(*by).orderBy(v)) for v in values}
+    picked = [F.max(F.when(F.col(f"_{v}") == F.col("_middle"), F.col(v))).alias(v) for v in values]
+    plain = df.where(~_is_hot(by, hot)) if hot else df
+    plain = plain.withColumns({"_middle": middle, **ranks}).groupBy(*by).agg(*picked)
+    if not hot:
+        return plain
+    rows = df.where(_is_hot(by, hot))
+    found = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / 2).alias("_middle"))
+    sizes = F.broadcast(found)  # at most HOT_GROUPS rows
+    for v in values:
+        counted = rows.groupBy(*by, v).agg(F.count(F.lit(1)).alias("_n"))
+        summed = sliced_totals(counted, by, [v], "_n", "_upto").join(sizes, by)
+        at_middle = summed.where("_upto >= _middle and _upto - _n < _middle")
+        found = found.join(at_middle.select(*by, v), by)
+    return plain.unionByName(found.drop("_middle"))
+
+
 def number_rows(
     df: DataFrame, by: list[str], order: list[str], out: str = "pos", hot: list[int] | None = None
 ) -> DataFrame:

@@ -29,43 +29,51 @@ def case_spans(log: DataFrame, schema: LogSchema) -> DataFrame:
     )
 
 
-def contained_parts(log: DataFrame, schema: LogSchema, size: float) -> DataFrame:
+def contained_parts(log: DataFrame, spans: DataFrame, schema: LogSchema, size: float) -> DataFrame:
     """(caseid, events, part) of the cases that fit into one side."""
     cutoff = quantile_disc(log.select(micros(schema.key).alias("key_us")), "key_us", size)
     cutoff = F.lit(cutoff).cast("bigint")
     part = F.when(F.col("last_us") <= cutoff, TRAIN).when(F.col("first_us") > cutoff, TEST)
-    spans = case_spans(log, schema).withColumn("part", part)
+    spans = spans.withColumn("part", part)
     return spans.where(F.col("part").isNotNull()).select("caseid", "events", "part")
 
 
-def trace_parts(log: DataFrame, schema: LogSchema, size: float) -> DataFrame:
-    spans = pin(case_spans(log, schema))
+def trace_parts(spans: DataFrame, size: float) -> DataFrame:
+    """(caseid, events, part) of all cases, by their start."""
     flagged = flag_smallest(spans, "first_us", ["caseid"], share(size), "_train")
     part = F.when(F.col("_train"), TRAIN).otherwise(TEST)
     return flagged.select("caseid", "events", part.alias("part"))
 
 
-def case_parts(log: DataFrame, schema: LogSchema, size=0.8, method="auto") -> DataFrame:
-    if method == "contained":
-        return contained_parts(log, schema, size)
-    if method == "trace":
-        return trace_parts(log, schema, size)
-    if method != "auto":
+def case_parts(
+    log: DataFrame, schema: LogSchema, size=0.8, method="auto", spans: DataFrame | None = None
+) -> DataFrame:
+    """``spans`` is the pinned ``case_spans`` of the log, if known."""
+    if method not in ("contained", "trace", "auto"):
         raise ValueError(method)
-    contained = pin(contained_parts(log, schema, size))
-    test_events = contained.where(F.col("part") == TEST).agg(F.sum("events")).first()[0] or 0
-    if test_events < log.count() // MIN_TEST_SHARE:
-        return trace_parts(log, schema, size)
+    spans = pin(case_spans(log, schema)) if spans is None else spans
+    if method == "trace":
+        return trace_parts(spans, size)
+    contained = contained_parts(log, spans, schema, size)
+    if method == "contained":
+        return contained
+    in_test = F.when(F.col("part") == TEST, F.col("events"))
+    test_events = contained.agg(F.coalesce(F.sum(in_test), F.lit(0))).first()[0]
+    events = spans.agg(F.coalesce(F.sum("events"), F.lit(0))).first()[0]
+    if test_events < events // MIN_TEST_SHARE:
+        return trace_parts(spans, size)
     return contained
 
 
-def label_parts(log: DataFrame, schema: LogSchema, size=0.8, method="auto") -> DataFrame:
+def label_parts(
+    log: DataFrame, schema: LogSchema, size=0.8, method="auto", spans: DataFrame | None = None
+) -> DataFrame:
     """Adds ``part``; events of dropped cases are left out.
 
     The case table has one row per case and no hot key; a hot case is a hot key
     of the event side only, which the adaptive skew join splits.
     """
-    parts = case_parts(log, schema, size, method).drop("events")
+    parts = case_parts(log, schema, size, method, spans).drop("events")
     return log.join(parts, "caseid")
 
 

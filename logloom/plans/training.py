@@ -12,9 +12,9 @@ from logloom.operators.encode import CategoryIndex, build_indexes, encode
 from logloom.operators.features import add_calculated_times, sample_columns
 from logloom.operators.ngram import NgramModel, fit_ngrams
 from logloom.operators.pairs import negative_samples
-from logloom.operators.positions import hot_groups
-from logloom.operators.samples import longest_trace, ngram_samples
-from logloom.operators.split import TEST, TRAIN, label_parts
+from logloom.operators.positions import hot_counted
+from logloom.operators.samples import ngram_samples
+from logloom.operators.split import TEST, TRAIN, case_spans, label_parts
 from logloom.plans.specs import ModelSpec, model_spec
 from logloom.runtime import pin
 from logloom.schema import LogSchema
@@ -54,15 +54,18 @@ def prepare(
 ) -> Prepared:
     """Indexes over the whole log; times scaled with the training part's range.
 
-    ``log`` has a ``role`` (see ``operators.roles``). The labelled log is pinned
-    once, both parts and everything after them read it.
+    ``log`` has a ``role`` (see ``operators.roles``). One table of case spans
+    serves the split, the longest trace and the search for hot cases. The
+    labelled log is pinned once, both parts and everything after them read it.
     """
     spec = model_spec(model_type)
-    hot = hot_groups(log, ["caseid"])
+    spans = pin(case_spans(log, schema))
+    hot = hot_counted(spans, ["caseid"], "events")
+    longest = spans.agg(F.coalesce(F.max("events"), F.lit(0))).first()[0]
     activities, roles = build_indexes(log, ["task", "role"])
     coded = encode(log, activities, "task", "ac_index")
     coded = encode(coded, roles, "role", "rl_index")
-    timed = label_parts(add_calculated_times(coded, schema, hot), schema, size, method)
+    timed = label_parts(add_calculated_times(coded, schema, hot), schema, size, method, spans)
     timed = pin(timed)
     train, test = timed.where(F.col("part") == TRAIN), timed.where(F.col("part") == TEST)
     extra = spec.additional_columns
@@ -70,7 +73,7 @@ def prepare(
     train, _ = scale_features(train.drop("part"), spec.scaler, schema, norm_method, extra, args)
     test, _ = scale_features(test.drop("part"), spec.scaler, schema, norm_method, extra, args)
     return Prepared(
-        train, test, activities, roles, args, norm_method, spec, schema, longest_trace(log), hot
+        train, test, activities, roles, args, norm_method, spec, schema, longest, hot
     )
 
 
@@ -81,7 +84,7 @@ def fit(prepared: Prepared, n: int = 5, min_support: int = 1) -> NgramModel:
         {f"{t}_norm_next": f"{t}_next" for t in prepared.schema.times}
     )
     times = prepared.schema.times
-    return fit_ngrams(renamed, n, prepared.activities.end, times, min_support)
+    return fit_ngrams(pin(renamed), n, prepared.activities.end, times, min_support)
 
 
 def training_samples(prepared: Prepared, n: int, columns: list[str] | None = None) -> DataFrame:
