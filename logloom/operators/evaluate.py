@@ -17,7 +17,7 @@ from logloom.operators.samples import ARRAY_EVENTS, longest_trace
 from logloom.runtime import pin
 from logloom.schema import LogSchema, drop_sentinels, prefix_cases
 
-# Entries of the run parameters that do not describe the experiment.
+# Entries of the run parameters that do not describe the experiment (fixed values).
 BOOKKEEPING = (
     "activity", "read_options", "column_names", "one_timestamp", "reorder", "index_ac",
     "index_rl", "dim", "max_dur", "variants", "is_single_exec",

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from logloom.functions.arrays import total
 from logloom.functions.scaling import rescaled
 from logloom.operators.encode import log_extent
+from logloom.operators.evaluate import (
+    accuracy, compare_logs, mae_next, mae_suffix, suffix_similarity,
+)
+from logloom.operators.features import sample_columns
 from logloom.operators.ngram import ARG_MAX, RANDOM_CHOICE, NgramModel, predict_next
-from logloom.operators.samples import next_event_samples, ngram_samples, suffix_samples
-from logloom.operators.samples import windowed_samples
+from logloom.operators.samples import (
+    next_event_samples, ngram_samples, suffix_samples, windowed_samples,
+)
 from logloom.operators.walks import generate_log, predict_suffixes, timed_choices
 from logloom.plans.training import Prepared
 
@@ -119,6 +124,44 @@ def _clock_states(prepared: Prepared, model: NgramModel) -> DataFrame:
     return timed_choices(samples, model)
 
 
+# The sample builder of a task; a context model's samples carry its extra columns.
+SAMPLERS = {"predict_next": next_event_samples, "pred_sfx": suffix_samples}
+
+
+def task_samples(prepared: Prepared, task: str) -> DataFrame:
+    """Next-event or prefix/suffix samples of the test part."""
+    if task not in SAMPLERS:
+        raise ValueError(task)
+    columns = sample_columns(prepared.schema, prepared.spec.additional_columns)
+    return SAMPLERS[task](prepared.test, columns, prepared.ends, prepared.schema)
+
+
+def _score_next(prepared: Prepared, records: DataFrame) -> dict[str, DataFrame]:
+    return {"accuracy": accuracy(records), "mae_next": mae_next(records)}
+
+
+def _score_suffixes(prepared: Prepared, records: DataFrame) -> dict[str, DataFrame]:
+    return {"similarity": suffix_similarity(records), "mae_suffix": mae_suffix(records)}
+
+
+def _score_logs(prepared: Prepared, records: DataFrame) -> dict[str, DataFrame]:
+    tiebreak = {c: F.col("pos") for c in prepared.schema.tiebreak}
+    runs = records.withColumns(tiebreak)
+    return {"log": compare_logs(prepared.test, runs, prepared.schema)}
+
+
+EVALUATORS = {
+    "predict_next": _score_next, "pred_sfx": _score_suffixes, "pred_log": _score_logs,
+}
+
+
+def evaluate(prepared: Prepared, task: str, records: DataFrame) -> dict[str, DataFrame]:
+    """Score tables of a task's ``predictions``, by metric."""
+    if task not in EVALUATORS:
+        raise ValueError(task)
+    return EVALUATORS[task](prepared, records)
+
+
 def predictions(prepared, model, task: str, variant: str, rep: int = 1, seed: int = 0):
     """Predictions of a task for ``rep`` runs, with ``run_num``."""
     if task not in TASKS:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Pseudo-activities, as they appear in logs and in decoded predictions.
+# Pseudo-activities in logs and decoded predictions, and column names (fixed values).
 PSEUDO_EVENTS = ("Start", "End")
 SENTINELS = ("Start", "End", "start", "end")
 SYSTEM_USER = "AUTO"

@@ -207,6 +207,29 @@ def test_runs_are_numbered(ready, model):
         P.predictions(ready, model, "other", G.ARG_MAX)
 
 
+def test_tasks_are_sampled_and_scored(make_log, model, ready):
+    context = prepare(random_log(make_log), "shared_cat_cx", method="trace")
+    assert {"weekday_prefix", "daytime_norm_suffix"} <= set(P.task_samples(context, "pred_sfx").columns)
+    for task in P.TASKS:
+        records = P.predictions(ready, model, task, G.ARG_MAX)
+        scores = P.evaluate(ready, task, records)
+        assert all(table.count() > 0 for table in scores.values())
+    with pytest.raises(ValueError):
+        P.task_samples(ready, "pred_log")
+    with pytest.raises(ValueError):
+        P.evaluate(ready, "other", None)
+
+
+def test_hot_groups_fit_the_same_states(skewed_log, request):
+    log = skewed_log.withColumn("role", F.col("user"))
+    columns = ("ctx", "k", "total", "ac", "rl", "best")
+    plain = rows_of(fit(prepare(log, method="trace"), N).states, *columns)
+    request.getfixturevalue("split_hot")
+    again = prepare(log, method="trace")
+    assert len(again.hot) == 1
+    assert rows_of(fit(again, N).states, *columns) == plain
+
+
 def test_specs():
     assert len(SPECS) == 11 and model_spec("shared_cat_gru_cx").additional_columns == ("daytime", "weekday")
     assert model_spec("specialized_gru").heads == model_spec("specialized").heads
