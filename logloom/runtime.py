@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="logloom-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session."""
+    """The folder all executors see: ``spark.checkpoint.dir`` of the session.
+
+    Only a local session, as in tests, may do without the setting.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="logloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder()
     return folder.rstrip("/")
 
 
