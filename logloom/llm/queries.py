@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import bpe
+from logloom.llm import bpe, fingerprints, sharding, token_files
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -23,6 +23,23 @@ def op4_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_edited(read(spark, folder, "documents"))
+
+
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = vocabulary("word_bpe_49k.json").decode()
+    manifest = token_files.write(read(spark, folder, "documents"), tokenizer, end_id=1)
+    return token_files.read(manifest, digest=True)
+
+
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.by_bytes(sharding.sizes(read(spark, folder, "documents")), shards=40)
+
+
 QUERIES = {
+    "op2_fingerprints": (op2_fingerprints, None),
     "op4_bpe_roundtrip": (op4_bpe_roundtrip, None),
+    "op5_token_files": (op5_token_files, None),
+    "op8_sharding": (op8_sharding, None),
 }
