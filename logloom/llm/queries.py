@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import bpe, fingerprints, sharding, token_files
+from logloom.llm import bpe, fingerprints, jaccard, sharding, token_files
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(manifest, digest=True)
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_components(read(spark, folder, "documents"))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.by_bytes(sharding.sizes(read(spark, folder, "documents")), shards=40)
 
@@ -41,5 +45,6 @@ QUERIES = {
     "op2_fingerprints": (op2_fingerprints, None),
     "op4_bpe_roundtrip": (op4_bpe_roundtrip, None),
     "op5_token_files": (op5_token_files, None),
+    "op6_jaccard_join": (op6_jaccard_join, None),
     "op8_sharding": (op8_sharding, None),
 }
