@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import bpe, fingerprints, jaccard, sharding, token_files
+from logloom.llm import bpe, decontaminate, fingerprints, jaccard, sharding, token_files
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_components(read(spark, folder, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = read(spark, folder, "documents"), read(spark, folder, "benchmark")
+    return decontaminate.contaminated(docs, benchmark)
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.by_bytes(sharding.sizes(read(spark, folder, "documents")), shards=40)
 
@@ -46,5 +51,6 @@ QUERIES = {
     "op4_bpe_roundtrip": (op4_bpe_roundtrip, None),
     "op5_token_files": (op5_token_files, None),
     "op6_jaccard_join": (op6_jaccard_join, None),
+    "op7_decontamination": (op7_decontamination, None),
     "op8_sharding": (op8_sharding, None),
 }
