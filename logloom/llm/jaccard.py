@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.cells import chunks, total
 from logloom.llm.text import SHINGLE_WORDS, blocks, column, shingle_sets, signed, texts
 from logloom.operators.roles import connected_components
 from logloom.runtime import pin
 
 PERCENT = 80
-# Cells of the count sketch, in rows of CHUNK cells: eight megabytes at any input size.
+# Cells of the count sketch: eight megabytes at any input size.
 CELL_BITS = 20
-CHUNK = 1 << 14
 # Sets a task remembers so that it indexes copies once; emptied beyond it.
 REMEMBERED = 1_000_000
 NO_ID = -(1 << 63)
@@ -56,7 +56,7 @@ def summaries(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(batches):
         cells = np.zeros(1 << CELL_BITS, np.uint32)
-        names = ["key", "n_shingles", "set_id", "chunk", "counts"]
+        names = ["key", "n_shingles", "set_id", "chunk", "cells"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in blocks(batches):
             sets = shingle_sets(*texts(column(batch, "text")), words)
@@ -69,40 +69,18 @@ def summaries(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                 [column(batch, "key"), pa.array(sizes), ids, pa.nulls(n, types[3]), pa.nulls(n, types[4])],
                 names,
             )
-        for chunk in range(len(cells) // CHUNK):
-            part = cells[chunk * CHUNK : (chunk + 1) * CHUNK]
-            if part.any():
-                row = [None, None, None, chunk, part.tobytes()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], t) for v, t in zip(row, types)], names
-                )
-
-    kind = "key long, n_shingles long, set_id long, chunk int, counts binary"
+        for chunk, part in chunks(cells):
+            row = [None, None, None, chunk, part]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
+
+    kind = "key long, n_shingles long, set_id long, chunk int, cells binary"
     return docs.select("key", "text").mapInArrow(run, kind)
 
 
 def frequency_levels(sketch: DataFrame) -> bytes:
     """A byte for each cell of the summed sketch: eight times the logarithm of its count."""
-    chunks = (1 << CELL_BITS) // CHUNK
-
-    def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(counts, np.uint32)
-                sums[chunk] = sums.get(chunk, np.zeros(CHUNK, np.uint64)) + part
-        for chunk, total in sums.items():
-            level = np.minimum(8 * np.log2(total + 1.0), 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary())],
-                ["chunk", "levels"],
-            )
-
-    summed = sketch.repartition(chunks, "chunk").mapInArrow(run, "chunk int, levels binary")
-    levels = bytearray(1 << CELL_BITS)
-    for row in summed.collect():  # a megabyte at any input size
-        levels[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = row["levels"]
-    return bytes(levels)
+    counts = total(sketch, 1 << CELL_BITS, "uint32", "uint64")
+    return np.minimum(8 * np.log2(counts + 1.0), 255).astype(np.uint8).tobytes()
 
 
 def postings(docs: DataFrame, levels: bytes, percent: int, words: int) -> DataFrame:
@@ -271,7 +249,7 @@ def link_components(
     docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), "text")
     found = pin(summaries(docs, words))
     rows = found.where("chunk is null").select("key", "n_shingles", "set_id")
-    levels = frequency_levels(found.where("chunk is not null").select("chunk", "counts"))
+    levels = frequency_levels(found.where("chunk is not null").select("chunk", "cells"))
     owners = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("key").alias("key"))
 
     listed = pin(lists(postings(docs, levels, percent, words), percent))

@@ -5,7 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import bpe, decontaminate, fingerprints, jaccard, sharding, token_files
+from logloom.llm import (
+    bpe,
+    decontaminate,
+    fingerprints,
+    jaccard,
+    language_id,
+    sharding,
+    token_files,
+)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -46,6 +54,10 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.by_bytes(sharding.sizes(read(spark, folder, "documents")), shards=40)
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identified_documents(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op2_fingerprints": (op2_fingerprints, None),
     "op4_bpe_roundtrip": (op4_bpe_roundtrip, None),
@@ -53,4 +65,5 @@ QUERIES = {
     "op6_jaccard_join": (op6_jaccard_join, None),
     "op7_decontamination": (op7_decontamination, None),
     "op8_sharding": (op8_sharding, None),
+    "op10_language_id": (op10_language_id, None),
 }
