@@ -11,6 +11,8 @@ from logloom.llm import (
     fingerprints,
     jaccard,
     language_id,
+    language_model,
+    secrets,
     sharding,
     token_files,
 )
@@ -26,6 +28,10 @@ def vocabulary(name: str) -> bytes:
         return f.read()
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, folder, "documents"))
+
+
 def op4_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(read(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
@@ -54,16 +60,22 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.by_bytes(sharding.sizes(read(spark, folder, "documents")), shards=40)
 
 
+def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(read(spark, folder, "documents"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identified_documents(read(spark, folder, "documents"))
 
 
 QUERIES = {
     "op2_fingerprints": (op2_fingerprints, None),
+    "op3_secrets": (op3_secrets, None),
     "op4_bpe_roundtrip": (op4_bpe_roundtrip, None),
     "op5_token_files": (op5_token_files, None),
     "op6_jaccard_join": (op6_jaccard_join, None),
     "op7_decontamination": (op7_decontamination, None),
     "op8_sharding": (op8_sharding, None),
+    "op9_language_model": (op9_language_model, None),
     "op10_language_id": (op10_language_id, None),
 }
