@@ -12,6 +12,7 @@ from logloom.llm import (
     jaccard,
     language_id,
     language_model,
+    pii,
     secrets,
     sharding,
     token_files,
@@ -37,6 +38,10 @@ def op4_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(read(spark, folder, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_edited(read(spark, folder, "documents"))
 
@@ -69,6 +74,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": (op1_pii, None),
     "op2_fingerprints": (op2_fingerprints, None),
     "op3_secrets": (op3_secrets, None),
     "op4_bpe_roundtrip": (op4_bpe_roundtrip, None),
