@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -10,6 +11,13 @@ import zlib
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
+def prose(seed: int, n: int) -> str:
+    """Invented words, hardly two alike."""
+    r = random.Random(seed)
+    syllables = [a + b for a in "bcdfglmnprst" for b in "aeiou"]
+    return " ".join("".join(r.choices(syllables, k=r.randint(2, 5))) for _ in range(n))
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
