@@ -50,6 +50,21 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
+class Table:
+    """Runs of ids, one after the other."""
+
+    def __init__(self):
+        self.ids = np.zeros(0, np.uint32)
+        self.starts = self.sizes = np.zeros(0, np.int64)
+
+    def add(self, runs: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        flat = np.fromiter(chain.from_iterable(runs), np.uint32, int(sizes.sum()))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, flat])
+
+
 class WordEncoder:
     """Encodes texts with a ``tokenizers`` file that drops white space.
 
@@ -74,7 +89,8 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.place: dict[str, int] = defaultdict(count().__next__)
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict = defaultdict(count().__next__)
+        self.piece_table = Table()
         self.ids = np.zeros(0, np.uint32)
         self.starts = self.sizes = np.zeros(0, np.int64)
 
@@ -86,44 +102,62 @@ class WordEncoder:
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def learn_pieces(self, pieces: list[str]) -> None:
-        known, tokenize = self.pieces, self.library.model.tokenize
+    def piece_ids(self, pieces: list) -> list[list[int]]:
+        """The ids of each new piece; a tuple stands for a word that goes in whole."""
+        tokenize = self.library.model.tokenize
+        found: list = [None] * len(pieces)
         others = []
-        for p in pieces:
-            if self.plain(p):
-                known[p] = [t.id for t in tokenize(p)]  # lower-case ASCII stays as it is
+        for k, p in enumerate(pieces):
+            if isinstance(p, tuple):
+                found[k] = self.whole(p[0])
+            elif self.plain(p):
+                found[k] = [t.id for t in tokenize(p)]  # lower-case ASCII stays as it is
             else:
-                others.append(p)
+                others.append(k)
         if others:
-            ids = np.array(self.whole(" ".join(others)), np.int64)
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self.whole(" ".join(pieces[k] for k in others)), np.int64)
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) == len(others):
-                parts = np.split(ids, ends[:-1])
-                known.update(zip(others, (x.tolist() for x in parts)))
+                ids = ids.tolist()
+                for k, a, b in zip(others, [0, *ends], ends):
+                    found[k] = ids[a:b]
             else:
-                known.update((p, self.whole(p)) for p in others)
+                for k in others:
+                    found[k] = self.whole(pieces[k])
+        return found
 
     def learn(self, words: list[str]) -> None:
-        parts, odd = [], []
-        for k, w in enumerate(words):
-            if w.isascii():
-                parts.append(self.cut(w.translate(LOWER)))
-            elif unicodedata.is_normalized("NFC", w) and len(w.lower()) == len(w):
-                parts.append(self.cut(w.translate(LOWER)))
-            else:
-                parts.append([])
-                odd.append(k)
-        new = {p: None for p in chain.from_iterable(parts) if p not in self.pieces}
-        self.learn_pieces(list(new))
-        get = self.pieces.__getitem__
-        found = [list(chain.from_iterable(map(get, p))) for p in parts]
-        for k in odd:
-            found[k] = self.whole(words[k])
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, flat])
+        parts = [self.parts(w) for w in words]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        known = len(self.pieces)
+        flat = chain.from_iterable(parts)
+        at = np.fromiter(map(self.pieces.__getitem__, flat), np.int64, int(counts.sum()))
+        found = self.piece_ids(list(islice(self.pieces, known, None)))
+        self.piece_table.add(found)
+        sizes = self.piece_table.sizes[at]
+        ids = spread(self.piece_table.ids, self.piece_table.starts[at], sizes)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        edges = upto[np.concatenate([[0], np.cumsum(counts)])]
+        self.starts = np.concatenate([self.starts, len(self.ids) + edges[:-1]])
+        self.sizes = np.concatenate([self.sizes, np.diff(edges)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def parts(self, word: str) -> tuple | list:
+        """The pieces of a word, or the word in a tuple if it must go in whole."""
+        w = word
+        if w.isascii():
+            w = w.lower()
+        else:
+            low = w.lower()
+            if len(low) != len(w) or not unicodedata.is_normalized("NFC", w):
+                return ((word,),)  # such a word may be cut elsewhere in the library
+            if low != w:
+                w = w.translate(LOWER)
+        if w.isalpha():
+            return (w,)
+        if w[-1] in ".,|" and w[:-1].isalpha():
+            return (w[:-1], w[-1])
+        return self.cut(w)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
