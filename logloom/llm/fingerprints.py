@@ -147,7 +147,8 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("place", F.struct(F.col("key"), F.xxhash64("text").alias("h")))
     places = keyed.select("place")
-    some = places.orderBy(F.xxhash64("place")).limit(KEYS_PER_CUT * parts).collect()
+    one_in = max(1, places.count() // (KEYS_PER_CUT * parts))
+    some = places.where(F.pmod(F.xxhash64("place"), F.lit(one_in)) == 0).distinct().collect()
     some = sorted({_comparable_key(r["place"]) for r in some})
     cuts = [some[len(some) * i // parts] for i in range(1, parts)] if some else []
     cuts = [_literal(c) for c in dict.fromkeys(cuts)]

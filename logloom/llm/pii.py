@@ -131,9 +131,9 @@ def occurrences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     before = F.max(F.when(~word, F.col("end"))).over(
         by_start.rowsBetween(W.unboundedPreceding, -1)
     )
-    after = F.min(F.when(~word, F.col("start"))).over(
-        by_start.rowsBetween(1, W.unboundedFollowing)
-    )
+    # downwards: a frame without end would be gone through again for every row
+    by_end = W.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"))
+    after = F.min(F.when(~word, F.col("start"))).over(by_end.rowsBetween(W.unboundedPreceding, -1))
     same = F.max(F.when(~word, F.col("start") == F.col("start"))).over(
         W.partitionBy("row", "start")
     )
@@ -178,6 +178,12 @@ def edges(found: DataFrame) -> DataFrame:
     )
 
 
+def _suggested() -> Column:
+    """Belief in an identifier: that not all of its sure patterns are wrong."""
+    score = F.when(F.col("score") >= SURE, F.least(F.col("score"), F.lit(0.999))).otherwise(0.0)
+    return 1 - F.exp(F.sum(F.log1p(-score)))
+
+
 def sure_patterns(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, score) of the patterns that are sure after ``rounds`` rounds of scoring.
 
@@ -194,17 +200,18 @@ def sure_patterns(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             (F.sum("b") / (F.count("*") + F.lit(SHRINK))).alias("score")
         )
         patterns = pin(patterns)
-        # an identifier fails only if all its patterns fail it
+        # an identifier fails only if all its sure patterns fail it
         items = (
             graph.select("pattern", "item", "seed")
             .join(patterns, "pattern")
             .groupBy("item")
             .agg(
                 F.max("seed").alias("known"),
-                (1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))))).alias("p"),
+                _suggested().alias("p"),
             )
         )
-        items = items.select("item", F.when(F.col("known"), 1.0).otherwise(F.col("p")).alias("b"))
+        believed = F.when(F.col("known"), 1.0).when(F.col("p") >= BELIEVED, F.col("p"))
+        items = items.select("item", F.coalesce(believed, F.lit(0.0)).alias("b"))
         belief = pin(graph.join(items, "item").select("pattern", "item", "seed", "seeds", "b"))
     return patterns.where(F.col("score") >= SURE)
 
@@ -212,7 +219,7 @@ def sure_patterns(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def discovered(found: DataFrame, patterns: DataFrame, graph: DataFrame) -> DataFrame:
     """(row, start, end) of the words that sure patterns give away."""
     items = graph.where("not seed").join(patterns, "pattern").groupBy("item").agg(
-        (1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))))).alias("p")
+        _suggested().alias("p")
     )
     items = items.where(F.col("p") >= BELIEVED)
     words = found.where(F.col("kind") == len(KINDS))
