@@ -30,7 +30,7 @@ FEATURES = 4
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
 ROUNDS = 2
 BATCH = 4096
-STEP = 0.35
+STEP = 1.5
 # Most frequent words whose counts travel with the tasks: six megabytes at any input.
 DICTIONARY = 1 << 19
 # Distinct words a task counts before it passes them on.
@@ -284,9 +284,9 @@ def partial_scores(docs: DataFrame, model: Model) -> DataFrame:
             in_list = at >= 0
             outside = np.ones(len(h), bool)
             outside[in_list] = v.group[at[in_list]] == CLASSES
-            counted = np.where(in_list, log_count[at] if len(v.counts) else 0, 0)
+            counted = np.where(in_list, log_count[at] if len(v.counts) else 0.0, 0.0)
             # words of the rare class that the dictionary knows score by their count here
-            log = log + np.where(outside & in_list, counted, 0)
+            log = log + np.where(outside & in_list, counted, 0.0)
             starts = first[:-1]
             words, times, missing = [], [], np.flatnonzero(~in_list)
             cut = np.searchsorted(missing, first)
