@@ -23,7 +23,10 @@ def sure_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (operator 6)."""
+    """The document with the smallest id of each group of near copies (operator 6).
+
+    Rows that repeat an id that stays all stay; documents without words link with none.
+    """
     classes = jaccard.link_components(docs)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
