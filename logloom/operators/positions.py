@@ -2,8 +2,8 @@
 
 A window over a case puts the whole case into one task. That is the right plan
 for ordinary cases, and a stalled job when one case holds a third of the log.
-The functions here find such groups first (one pass with a fixed-size sketch,
-no shuffle by group) and give them another plan: rows are range-partitioned by
+The functions here count the groups first (combined before the shuffle) and give the
+large ones another plan: rows are range-partitioned by
 (group, order), numbered slice by slice, and windows run over segments of fixed
 length that carry copies of the few neighbours they need.
 """
@@ -24,29 +24,33 @@ from logloom.schema import LogSchema
 HOT_ROWS = 1_000_000
 # Rows of a segment of such a group.
 SEGMENT_ROWS = 250_000
-# Size of the frequent-items sketch; bounds what the driver reads.
-HOT_GROUPS, SKETCH_ITEMS = 1_000, 10_000
 
 
 def hot_groups(df: DataFrame, by: list[str]) -> list[int]:
-    """Hashes of the groups with more than HOT_ROWS rows, at most HOT_GROUPS.
+    """Hashes of all groups with more than HOT_ROWS rows.
 
-    The sketch is approximate, which is harmless: both plans return the same
-    rows, the answer only chooses between them.
+    Counts are exact and combined before the shuffle. What the driver reads is one
+    number for each such group, so at most one for every HOT_ROWS rows.
     """
-    top = df.select(F.xxhash64(*by).alias("h")).agg(
-        F.expr(f"approx_top_k(h, {HOT_GROUPS}, {SKETCH_ITEMS})").alias("top")
-    )
-    over = F.filter("top", lambda t: t["count"] > F.lit(HOT_ROWS))
-    return top.select(F.transform(over, lambda t: t["item"]).alias("items")).first()["items"] or []
+    counts = df.groupBy(F.xxhash64(*by).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return [r["h"] for r in counts.where(F.col("n") > HOT_ROWS).select("h").collect()]
 
 
 def hot_counted(counts: DataFrame, by: list[str], rows: str) -> list[int]:
-    """``hot_groups`` from a table of group sizes: the largest HOT_GROUPS."""
-    over = counts.where(F.col(rows) > HOT_ROWS).orderBy(F.desc(rows)).limit(HOT_GROUPS)
+    """``hot_groups`` from a table of group sizes."""
+    over = counts.where(F.col(rows) > HOT_ROWS)
     return [r["h"] for r in over.select(F.xxhash64(*by).alias("h")).collect()]
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner"):
+    """Join on ``by`` that takes NULL as a value like others; ``left``'s columns stay."""
+    right = right.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on = on & left[c].eqNullSafe(right[f"_by_{c}"])
+    return left.join(right, on, how).drop(*[f"_by_{c}" for c in by])
+
+
 def _is_hot(by: list[str], hashes: list[int]) -> Column:
     return F.xxhash64(*by).isin(hashes)
 
@@ -71,7 +75,7 @@ def sliced_totals(df: DataFrame, by: list[str], order: list, weight: str, out: s
     )
     upto = W.partitionBy(*by, "_slice").orderBy("_id").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_local", F.sum(weight).over(upto))
-    rows = rows.join(F.broadcast(carried), [*by, "_slice"])  # a row per slice and group
+    rows = null_safe_join(rows, F.broadcast(carried), [*by, "_slice"])  # one per slice and group
     return rows.select(*df.columns, (F.col("_local") + F.col("_carry")).alias(out))
 
 
@@ -140,7 +144,7 @@ def grouped_medians(
 
     Ordinary groups take one exchange and a sort per column. The values of hot
     groups are counted first, so ties cost nothing, and the counts are summed
-    slice by slice. Group columns must not be NULL.
+    slice by slice.
     """
     hot = hot_groups(df, by) if hot is None else hot
     middle = F.ceil(F.count(F.lit(1)).over(W.partitionBy(*by)) / 2)
@@ -152,12 +156,12 @@ def grouped_medians(
         return plain
     rows = df.where(_is_hot(by, hot))
     found = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / 2).alias("_middle"))
-    sizes = F.broadcast(found)  # at most HOT_GROUPS rows
+    sizes = F.broadcast(found)  # a row for each hot group
     for v in values:
         counted = rows.groupBy(*by, v).agg(F.count(F.lit(1)).alias("_n"))
-        summed = sliced_totals(counted, by, [v], "_n", "_upto").join(sizes, by)
+        summed = null_safe_join(sliced_totals(counted, by, [v], "_n", "_upto"), sizes, by)
         at_middle = summed.where("_upto >= _middle and _upto - _n < _middle")
-        found = found.join(at_middle.select(*by, v), by)
+        found = null_safe_join(found, at_middle.select(*by, v), by)
     return plain.unionByName(found.drop("_middle"))
 
 
@@ -221,7 +225,7 @@ def over_traces(
     if not hot:
         return plain(log)
     placed = sliced_rank(log.where(_is_hot([case], hot)), [case], schema.order, "_pos")
-    starts = placed.groupBy(case).agg(F.min(key).alias("_start"))  # at most HOT_GROUPS rows
+    starts = placed.groupBy(case).agg(F.min(key).alias("_start"))  # a row for each hot case
     size = max(SEGMENT_ROWS, back, ahead)
     home = F.floor((F.col("_pos") - 1) / size)
     offset = (F.col("_pos") - 1) % size
@@ -232,7 +236,7 @@ def over_traces(
         F.when((offset < ahead) & (home > 0), F.array(home - 1)).otherwise(none),
     )
     segmented = (
-        placed.join(F.broadcast(starts), case)
+        null_safe_join(placed, F.broadcast(starts), [case])
         .withColumn("_home", home)
         .withColumn("_segment", F.explode(segments))
     )

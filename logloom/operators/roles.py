@@ -199,8 +199,8 @@ def discover_roles(log: DataFrame, sim_threshold: float = 0.7) -> DataFrame:
     profiles = pin(profiles)
     shapes = pin(
         profiles.groupBy("shape").agg(
-            F.min(F.struct("user", "tasks", "freqs")).alias("p")
-        ).select("shape", "p.*")
+            F.min(F.struct("tasks", "freqs")).alias("p")
+        ).select("shape", F.col("shape").alias("user"), "p.*")  # the node is the shape itself
     )
     edges, blocks = _block_pairs(shapes, shapes.count(), n_tasks, sim_threshold, forest=True)
     nodes = shapes.select(F.col("user").alias("node"))
@@ -211,11 +211,14 @@ def discover_roles(log: DataFrame, sim_threshold: float = 0.7) -> DataFrame:
     else:
         groups = connected_components(nodes, edges)
     of_shape = shapes.join(groups, F.col("user") == F.col("node")).select("shape", "component")
-    members = profiles.select("user", "shape").join(of_shape, "shape").select("user", "component")
+    members = profiles.select("user", "shape").join(of_shape, "shape").select(
+        "user", F.concat(F.lit("shape "), "component").alias("component")
+    )
     # Users with a constant profile correlate with nobody.
     members = pin(
         users.join(members, users["user"].eqNullSafe(members["user"]), "left").select(
-            users["user"], F.coalesce(members["component"], users["user"]).alias("component")
+            users["user"],
+            F.coalesce(members["component"], F.concat(F.lit("user "), users["user"])).alias("component"),
         )
     )
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("user").alias("u"))

@@ -10,7 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.arrays import one_hot, pad_last
-from logloom.operators.positions import SEGMENT_ROWS, Frame, number_rows, over_traces
+from logloom.operators.positions import (
+    SEGMENT_ROWS,
+    Frame,
+    null_safe_join,
+    number_rows,
+    over_traces,
+)
 from logloom.schema import LogSchema
 
 INDEXES = ("ac_index", "rl_index")
@@ -51,9 +57,8 @@ def _series(log: DataFrame, columns: list[str], schema: LogSchema, parts: bool)
         traces = (
             placed.groupBy("caseid", part)
             .agg(events["_v"].alias("_e"))
-            .join(sizes, "caseid")
-            .select("caseid", "part", last, "_e")
         )
+        traces = null_safe_join(traces, sizes, ["caseid"]).select("caseid", "part", last, "_e")
     return traces.select("caseid", "part", "last_part", *[F.col(f"_e.{c}").alias(c) for c in columns])
 
 
@@ -67,10 +72,10 @@ def to_traces(
 ) -> DataFrame:
     """One array per column and case, sentinels included.
 
-    ``ends`` maps the index columns to their ``end`` code. Cases above
-    ARRAY_EVENTS events come as consecutive parts.
+    ``ends`` maps the index columns to their ``end`` code. Every case comes in
+    consecutive parts of SEGMENT_ROWS events, so all but very long ones in one.
     """
-    traces = _series(log, columns, schema, longest_trace(log) > ARRAY_EVENTS)
+    traces = _series(log, columns, schema, parts=True)
     none = F.col("part") < F.col("last_part")
 
     def closed(column: str, end: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.times import micros
+from logloom.operators.positions import null_safe_join
 from logloom.operators.selection import flag_smallest, quantile_disc, share
 from logloom.runtime import pin
 from logloom.schema import LogSchema
@@ -74,7 +75,7 @@ def label_parts(
     of the event side only, which the adaptive skew join splits.
     """
     parts = case_parts(log, schema, size, method, spans).drop("events")
-    return log.join(parts, "caseid")
+    return null_safe_join(log, parts, ["caseid"])
 
 
 def split_timeline(

@@ -89,6 +89,10 @@ XES_TRACE = T.StructType(
 )
 
 
+# An offset from UTC at the end of a time.
+ZONE = r"(Z|([+-])(\d{2}):?(\d{2}))$"
+
+
 def _attribute(node: str, tag: str, key: str) -> Column:
     values = F.filter(F.col(f"{node}{tag}"), lambda a: a["_key"] == key)
     return F.get(values, F.lit(0))["_value"]
@@ -97,21 +101,29 @@ def _attribute(node: str, tag: str, key: str) -> Column:
 def read_xes(spark: SparkSession, path: str) -> DataFrame:
     """(caseid, task, user, event_type, timestamp) rows of an XES file.
 
-    A missing transition counts as ``complete``; zone offsets are dropped.
+    A missing transition counts as ``complete``; times are in UTC. The file is read
+    as text records that end with a trace, so a large one is read by many tasks.
     """
-    traces = spark.read.format("xml").option("rowTag", "trace").schema(XES_TRACE).load(path)
+    records = spark.read.option("lineSep", "</trace>").text(path)
+    trace = F.regexp_extract("value", r"(?s)<trace[\s>].*", 0)
+    records = records.select(trace.alias("x")).where(F.col("x") != "")
+    parsed = F.from_xml(F.concat("x", F.lit("</trace>")), XES_TRACE.simpleString(), {"rowTag": "trace"})
+    traces = records.select(parsed.alias("t")).select("t.*")
     case = _attribute("", "string", "concept:name")
     events = traces.select(case.alias("caseid"), F.explode("event").alias("e"))
-    stamp = F.regexp_replace(
-        _attribute("e.", "date", "time:timestamp"), r"(Z|[+-]\d{2}:?\d{2})$", ""
-    )
+    given = _attribute("e.", "date", "time:timestamp")
+    stamp = F.regexp_replace(given, ZONE, "")
+    sign = F.when(F.regexp_extract(given, ZONE, 2) == "-", -1).otherwise(1)
+    hours = F.coalesce(F.regexp_extract(given, ZONE, 3).try_cast("int"), F.lit(0))
+    minutes = F.coalesce(F.regexp_extract(given, ZONE, 4).try_cast("int"), F.lit(0))
+    offset = F.make_dt_interval(mins=sign * (hours * 60 + minutes))
     transition = F.lower(_attribute("e.", "string", "lifecycle:transition"))
     return events.select(
         "caseid",
         _attribute("e.", "string", "concept:name").alias("task"),
         _attribute("e.", "string", "org:resource").alias("user"),
         F.coalesce(transition, F.lit("complete")).alias("event_type"),
-        F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")).alias("timestamp"),
+        (F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")) - offset).alias("timestamp"),
     )
 
 

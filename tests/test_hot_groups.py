@@ -116,3 +116,27 @@ def test_other_partition_counts(spark, skewed_log, split_hot):
             assert rows_of(add_calculated_times(skewed_log), *TIMES) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_null_case_survives_the_hot_plan(skewed_log, split_hot):
+    """Plain and hot plan agree when the hot case, or a small one, has no id."""
+    from pyspark.sql import functions as F
+
+    from logloom.operators.features import add_calculated_times
+    from logloom.operators.positions import hot_groups
+
+    for gone in ("hot", "c7"):
+        log = skewed_log.withColumn("caseid", F.when(F.col("caseid") != gone, F.col("caseid")))
+        assert hot_groups(log, ["caseid"])
+        hot = add_calculated_times(log)
+        assert hot.count() == log.count()
+        named = add_calculated_times(log.fillna("none", ["caseid"]))
+        assert rows_of(hot.fillna("none", ["caseid"])) == rows_of(named)
+
+
+def test_all_hot_groups_are_found(spark, monkeypatch):
+    from logloom.operators import positions
+
+    monkeypatch.setattr(positions, "HOT_ROWS", 1)
+    groups = spark.range(3000).selectExpr("id div 2 as g")
+    assert len(positions.hot_groups(groups, ["g"])) == 1500

@@ -168,3 +168,12 @@ def test_auto_falls_back(timeline, make_log):
     assert parts == {"a": "train", "b": "test"}
     with pytest.raises(ValueError):
         case_parts(long, LogSchema(), 0.5, "other")
+
+
+def test_null_user_shares_a_role_by_its_profile(make_log):
+    from logloom.operators.roles import discover_roles
+
+    rows = [("c", t, u, 0, 1) for u in ("u1", "u2", None) for t in "AAB"]
+    rows += [("c", t, "u3", 0, 1) for t in "CCD"]
+    roles = {r.user: r.role for r in discover_roles(make_log(rows), 0.85).collect()}
+    assert roles["u1"] == roles["u2"] == roles[None] == "Role 1" and roles["u3"] == "Role 2"

@@ -68,7 +68,7 @@ def test_xes(spark, tmp_path):
     assert rows.count() == 3
     log = logs.pair_lifecycle(rows)
     assert rows_of(log.fillna("-", ["user"]), "caseid", "task", "user", "start_timestamp", "end_timestamp") == [
-        ("1", "A", "u1", datetime(2024, 1, 1, 8), datetime(2024, 1, 1, 8, 5, 0, 500000)),
+        ("1", "A", "u1", datetime(2024, 1, 1, 6), datetime(2024, 1, 1, 6, 5, 0, 500000)),  # in UTC
         ("2", "B", "-", datetime(2024, 1, 1, 9), datetime(2024, 1, 1, 9)),
     ]
     assert logs.complete_events(rows).count() == 2
@@ -131,3 +131,24 @@ def test_run_outputs(spark, tmp_path):
     assert rows_of(spark.read.parquet(str(tmp_path / "gen")), "run_num", "x") == [(0, 1), (1, 2)]
     runs.write_scores(rows, rows, str(tmp_path / "scores"))
     assert spark.read.parquet(str(tmp_path / "scores" / "test_log")).count() == 2
+
+
+def test_xes_times_are_utc_and_files_split(spark, tmp_path):
+    event = (
+        '<event><string key="concept:name" value="A"/><date key="time:timestamp" value="{}"/></event>'
+    )
+    times = ["2024-10-27T02:30:00.000+02:00", "2024-10-27T02:10:00.000+01:00", "2024-10-27T01:00:00Z"]
+    events = "".join(event.format(t) for t in times)
+    trace = '<trace><string key="concept:name" value="c{}"/>' + events + "</trace>\n"
+    path = tmp_path / "big.xes"
+    path.write_text("<log>\n" + "".join(trace.format(k) for k in range(3000)) + "</log>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        rows = logs.read_xes(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 1
+        got = rows_of(rows.select("caseid", "timestamp"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    at = [datetime(2024, 10, 27, 0, 30), datetime(2024, 10, 27, 1, 0), datetime(2024, 10, 27, 1, 10)]
+    assert got == sorted((f"c{k}", t) for k in range(3000) for t in at)
