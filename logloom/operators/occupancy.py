@@ -3,29 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.functions.times import MICROS, micros
+from logloom.functions.times import micros
+from logloom.operators.positions import sliced_totals
 from logloom.schema import NO_ROLE
 
-# A running sum goes over one bucket; the sums before it are carried in.
-BUCKET_SECONDS = 3_600
-
 
 def _open_events(changes: DataFrame, pool: list[str]) -> DataFrame:
-    """(pool, us, open): events with start <= us < end, at each change."""
+    """(pool, us, open): events with start <= us < end, at each change.
+
+    Summed slice by slice, so one busy pool, or the whole log, is many tasks.
+    """
     net = changes.groupBy(*pool, "us").agg(F.sum("change").alias("change"))
-    net = net.withColumn("bucket", F.expr(f"us div {BUCKET_SECONDS * MICROS}L"))
-    earlier = W.partitionBy(*pool).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    carried = net.groupBy(*pool, "bucket").agg(F.sum("change").alias("_sum"))
-    carried = carried.select(
-        *pool, "bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("carry")
-    )
-    within = W.partitionBy(*pool, "bucket").orderBy("us")
-    levels = net.withColumn("open", F.sum("change").over(within))
-    levels = levels.join(carried, [*pool, "bucket"])
-    return levels.select(*pool, "us", (F.col("open") + F.col("carry")).alias("open"))
+    return sliced_totals(net, pool, ["us"], "change", "open").select(*pool, "us", "open")
 
 
 def pool_occupancy(log: DataFrame, pools: DataFrame) -> DataFrame:
