@@ -73,13 +73,39 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identified_documents(read(spark, folder, "documents"))
 
 
+# Compares all pairs of documents that share a shingle; for small tables.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+      lambda x: x <> '') AS w
+  FROM documents),
+g AS (
+  SELECT doc_id, list_distinct(CASE
+      WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM w),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM g),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (
+  SELECT doc_id, doc_id AS c FROM documents
+  UNION
+  SELECT l.y, r.c FROM r JOIN links l ON l.x = r.doc_id)
+SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, m.component_id
+FROM g JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
 QUERIES = {
     "op1_pii": (op1_pii, None),
     "op2_fingerprints": (op2_fingerprints, None),
     "op3_secrets": (op3_secrets, None),
     "op4_bpe_roundtrip": (op4_bpe_roundtrip, None),
     "op5_token_files": (op5_token_files, None),
-    "op6_jaccard_join": (op6_jaccard_join, None),
+    "op6_jaccard_join": (op6_jaccard_join, JACCARD_SQL),
     "op7_decontamination": (op7_decontamination, None),
     "op8_sharding": (op8_sharding, None),
     "op9_language_model": (op9_language_model, None),
