@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from logloom.llm.text import blocks, column
 
 # Words a task remembers; the memory is emptied beyond it, which costs time only.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 # Bytes of text whose new words are replayed together.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 
 ENCODED = "doc_key long, n_tokens long, ids binary"
 
@@ -65,7 +65,7 @@ class Merges:
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of what each two neighbours form, -1 for none."""
-        key = left * self.width + right
+        key = left.astype(np.int64) * self.width + right
         if not len(self.keys):
             return np.full(len(key), -1, np.int64)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -103,16 +103,17 @@ def replay(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]
     what merging piece by piece gives.
     """
     sizes = np.array([len(p) for p in pieces], np.int64)
-    owner = np.repeat(np.arange(len(pieces)), sizes)
-    symbol = merges.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+    symbol = merges.bytes[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int32)
     n = len(symbol)
     if n == 0:
         return symbol.astype(np.uint32), np.zeros(len(pieces) + 1, np.int64)
     first = np.cumsum(sizes) - sizes
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after = np.arange(1, n + 1, dtype=np.int32)  # a block has less than 2**31 bytes
+    before = np.arange(-1, n - 1, dtype=np.int32)
     before[first[sizes > 0]] = -1
     after[(first + sizes - 1)[sizes > 0]] = -1
-    pair = np.full(n, -1, np.int64)
+    pair = np.full(n, -1, np.int32)
     inner = np.flatnonzero(after >= 0)
     pair[inner] = merges.of(symbol[inner], symbol[inner + 1])
     for k, piece in enumerate(pieces):

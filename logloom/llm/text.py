@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text that are worked on at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
