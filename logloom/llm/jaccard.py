@@ -27,12 +27,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.llm.cells import chunks, total
 from logloom.llm.text import SHINGLE_WORDS, blocks, column, shingle_sets, signed, texts
 from logloom.operators.roles import connected_components
-from logloom.runtime import pin
+from logloom.runtime import dimension, pin
 
 PERCENT = 80
 # Cells of the count sketch: eight megabytes at any input size.
@@ -193,35 +194,62 @@ def _links(overlap, a, b, percent: int):
     return (100 + percent) * overlap >= percent * (a.cast("long") + b.cast("long"))
 
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds ``overlap`` and both sizes to (a, b), from ``sets`` (set_id, items)."""
+# Rounds of comparing with leaders, at most, and the part of the sets still apart below
+# which another round is worth while. What they leave is found all the same.
+LEADER_ROUNDS, GAIN = 8, 0.8
+# Members of one leader that go through one task.
+TOGETHER = 256
+
+
+def compare(pairs: DataFrame, docs: DataFrame, active: DataFrame, words: int) -> DataFrame:
+    """Adds ``overlap`` and both sizes to (a, b): sets made from the texts again.
+
+    ``pairs`` is a written table, ``active`` (set_id, key) names a document of each set.
+    The sets of a pair meet at ``a``, whose own is sent once for up to TOGETHER others
+    and held while those stream by. Texts are not moved as long as the few documents
+    wanted fit a bounded broadcast.
+    """
+    salt = F.pmod(F.xxhash64("b"), F.col("parts"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    wanted = parts.select(
+        F.col("a").alias("set_id"),
+        "a",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+        F.lit(None).cast("long").alias("b"),
+    ).unionByName(
+        pairs.join(parts, "a").select(F.col("b").alias("set_id"), "a", salt.alias("part"), "b")
+    )
+    wanted = pin(wanted)
+    ids = pin(wanted.select("set_id").distinct().join(active, "set_id"))
+    found = docs.join(dimension(ids, ids.count()), "key").select("text", "set_id")
+    sets = found.mapInArrow(_sets(words), "set_id long, items binary")
+    sent = sets.join(dimension(wanted, wanted.count()), "set_id").select("a", "part", "b", "items")
 
     def run(batches):
+        leader, items, last = None, None, None
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            x = [np.frombuffer(i, np.uint64) for i in x]
-            y = [np.frombuffer(i, np.uint64) for i in y]
-            same = [len(np.intersect1d(i, j, assume_unique=True)) for i, j in zip(x, y)]
+            a, part, b = (c.to_pylist() for c in batch.columns[:3])
+            out = []
+            for i, at in enumerate(zip(a, part)):
+                if b[i] is None:
+                    leader, last = at, None
+                    items = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64).copy()
+                elif at == leader and b[i] != last:
+                    own = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
+                    same = len(np.intersect1d(items, own, assume_unique=True))
+                    out.append((a[i], b[i], same, len(items), len(own)))
+                    last = b[i]
+            columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(same, pa.int64()),
-                    pa.array([len(i) for i in x], pa.int64()),
-                    pa.array([len(i) for i in y], pa.int64()),
-                ],
-                ["a", "b", "overlap", "size_a", "size_b"],
+                [pa.array(c, pa.int64()) for c in columns], ["a", "b", "overlap", "size_a", "size_b"]
             )
 
-    left = sets.select(F.col("set_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long, overlap long, size_a long, size_b long")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = sent.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return met.mapInArrow(run, "a long, b long, overlap long, size_a long, size_b long")
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set_id, items) of the ``wanted`` (key, set_id), each set once."""
-
+def _sets(words: int):
     def run(batches):
         for batch in blocks(batches):
             sets = shingle_sets(*texts(column(batch, "text")), words)
@@ -231,9 +259,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             # rows that share the key of a wanted set need not have its text
             yield out.filter(pc.equal(ids, column(batch, "set_id")))
 
-    found = docs.select("key", "text").join(wanted.hint("shuffle_hash"), "key")
-    found = found.select("text", "set_id").mapInArrow(run, "set_id long, items binary")
-    return found.dropDuplicates(["set_id"])
+    return run
 
 
 def link_components(
@@ -254,21 +280,34 @@ def link_components(
 
     listed = pin(lists(postings(docs, levels, percent, words), percent))
     active = pin(owners.join(listed.select("set_id").distinct(), "set_id"))
-    sets = pin(fetch_sets(docs, active, words))
 
-    # leaders
-    reach = F.least("pos", "lead_pos") + 1 + F.least(
-        F.col("size") - F.col("pos"), F.col("lead_size") - F.col("lead_pos")
-    ) - 1
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        return compare(pin(pairs), docs, active, words)
+
+    # leaders: first those of the blocks, then members of large components
     to_leader = listed.where("leader <> set_id").where(
-        _links(reach, F.col("size"), F.col("lead_size"), percent)
+        _links(
+            _reach(F.col("pos"), F.col("size"), F.col("lead_pos"), F.col("lead_size")),
+            F.col("size"),
+            F.col("lead_size"),
+            percent,
+        )
     )
     pairs = to_leader.select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
-    answers = pin(compare(pairs, sets))
-    linked = answers.where(_links(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent))
-    edges = linked.select(F.col("a").alias("x"), F.col("b").alias("y"))
     nodes = active.select(F.col("set_id").alias("node"))
-    groups = connected_components(nodes, edges)
+    linked, groups, apart, live = None, None, None, listed
+    for k in range(LEADER_ROUNDS):
+        answers = overlaps(pairs)
+        found = answers.where(_links(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent))
+        linked = pin(found if linked is None else linked.unionByName(found))
+        edges = linked.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        groups = pin(connected_components(nodes, edges))
+        live = pin(_open_lists(live, groups, k))
+        pairs = pin(_with_members(live, percent, k))
+        left = pairs.count()
+        if not left or (apart is not None and left > GAIN * apart):
+            break
+        apart = left
     homes = linked.groupBy("b").agg(
         F.min_by(
             F.struct(
@@ -291,7 +330,8 @@ def link_components(
     sized = listed.groupBy("set_id").agg(F.max("size").alias("size"))
     placed = pin(placed.join(sized, "set_id"))
 
-    more = pin(_remaining_links(listed, placed, sets, percent))
+    # lists of one component have nothing left to find
+    more = pin(_remaining_links(live, placed, overlaps, percent))
     joined = connected_components(placed.select(F.col("component").alias("node")).distinct(), more)
     joined = joined.select(F.col("node").alias("part"), F.col("component").alias("final"))
     named = placed.select("set_id", F.col("component").alias("part")).join(joined, "part")
@@ -315,30 +355,70 @@ def link_components(
     )
 
 
-def _remaining_links(listed: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _reach(pos_a, size_a, pos_b, size_b):
+    """The most shingles two sets can share that have one at these positions in common."""
+    return F.least(pos_a, pos_b) + F.least(size_a - pos_a, size_b - pos_b)
+
+
+def _open_lists(live: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """The lists with more than one component, and of each a member ``c`` of its largest one.
+
+    Another member is chosen in each turn. Lists only ever leave, as components grow.
+    """
+    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
+    known = groups.join(sizes, "component").withColumnRenamed("node", "set_id")
+    rows = live.select("shingle", "set_id", "size", "pos").join(known, "set_id")
+    of_list = W.partitionBy("shingle")
+    chosen = F.max_by(
+        F.struct("set_id", "size", "pos", "component"),
+        F.struct("members", "component", F.xxhash64("set_id", F.lit(turn))),
+    )
+    rows = rows.withColumns({
+        "low": F.min("component").over(of_list),
+        "high": F.max("component").over(of_list),
+        "c": chosen.over(of_list),
+    })
+    return rows.where("low <> high").drop("low", "high", "members")
+
+
+def _with_members(live: DataFrame, percent: int, turn: int) -> DataFrame:
+    """A pair (a, b) for each set b that shares a list with a set of a larger component.
+
+    Of the lists of a set one is chosen that may link it. In a group of near copies most
+    sets find their way into one component by this, at one comparison in each turn.
+    """
+    near = live.where(
+        (F.col("component") != F.col("c.component"))
+        & _links(
+            _reach(F.col("pos"), F.col("size"), F.col("c.pos"), F.col("c.size")),
+            F.col("size"),
+            F.col("c.size"),
+            percent,
+        )
+    )
+    return near.groupBy(F.col("set_id").alias("b")).agg(
+        F.min_by("c.set_id", F.xxhash64("c.set_id", "set_id", F.lit(turn))).alias("a")
+    ).select("a", "b")
+
+
+def _remaining_links(listed: DataFrame, placed: DataFrame, overlaps, percent: int) -> DataFrame:
     """Links (x, y) between components, from all pairs that share a list but no component."""
     rows = listed.select("shingle", "set_id", "size", "pos").join(
-        placed.select("set_id", "component", "home", "adds"), "set_id"
-    )
-    several = (  # lists within one component have nothing left to find
-        rows.groupBy("shingle")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low <> high")
-        .select("shingle")
+        placed.select("set_id", "component", "home"), "set_id"
     )
     spans = (
-        rows.join(several, "shingle")
-        .groupBy("shingle", "component", "home")
+        rows.groupBy("shingle", "component", "home")
         .agg(
             F.min("size").alias("small"),
             F.max("size").alias("large"),
             F.max("pos").alias("pos"),
-            F.max(F.col("size") - F.col("pos") - 1).alias("rest"),
+            F.max(F.col("size") - F.col("pos")).alias("rest"),
         )
     )
     spans = pin(spans)
     a, b = spans.alias("a"), spans.alias("b")
-    reach = F.least("a.pos", "b.pos") + 1 + F.least("a.rest", "b.rest")
+    # of the members of two blocks, as in _reach
+    reach = F.least("a.pos", "b.pos") + F.least("a.rest", "b.rest")
     near = (
         (F.col("a.shingle") == F.col("b.shingle"))
         & (F.col("a.home") < F.col("b.home"))
@@ -348,7 +428,7 @@ def _remaining_links(listed: DataFrame, placed: DataFrame, sets: DataFrame, perc
         & _links(reach, F.col("a.small"), F.col("b.small"), percent)
     )
     pairs = a.join(b, near).select(F.col("a.home").alias("a"), F.col("b.home").alias("b")).distinct()
-    answers = pin(compare(pairs, sets))
+    answers = pin(overlaps(pairs))
     direct = answers.where(_links(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent))
 
     # members of two homes: their overlap lies within what they add to and lack of these
@@ -401,7 +481,7 @@ def _remaining_links(listed: DataFrame, placed: DataFrame, sets: DataFrame, perc
         .distinct()
     )
     derived = pin(derived)
-    open_still = compare(derived.where("not sure").select("a", "b").distinct(), sets)
+    open_still = overlaps(derived.where("not sure").select("a", "b").distinct())
     open_still = open_still.where(
         _links(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent)
     )
