@@ -61,3 +61,36 @@ def test_odd_rows(clashing, odd_rows, no_docs, make_docs):
     assert li.identified_documents(no_docs).count() == 0
     nothing = li.identified_documents(make_docs([(1, "text")]).withColumn("lang", F.lit(None).cast("string")))
     assert [tuple(r) for r in nothing.collect()] == [(1, None, None, None, False)]
+
+
+def letters(k, n, seed):
+    """Text of the k-th of many languages, each with letters of its own."""
+    r = random.Random(f"letters {k}")
+    sound = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(8)]
+    r = random.Random(seed)
+    return " ".join("".join(r.choices(sound, k=r.randint(1, 3))) for _ in range(n))
+
+
+def test_small_languages_are_modelled(make_docs):
+    """Six rows of 2,406 declare a language; its texts, two of them undeclared, keep it."""
+    langs = list(SYLLABLES)
+    docs = [(k, text(langs[k % 3], 12, k), langs[k % 3], "hot") for k in range(2400)]
+    small = [(5000 + k, letters(0, 30, k), "sm" if k < 6 else None, "hot") for k in range(8)]
+    got = found(make_docs(docs + small))
+    assert [(got[5000 + k].language, got[5000 + k].kept) for k in range(8)] == [("sm", True)] * 8
+    assert all(got[k].language == langs[k % 3] for k in range(2400))
+
+
+def test_many_languages(make_docs):
+    """With 220 equal languages each has less than a two-hundredth of the rows."""
+    docs = [(k, letters(k % 220, 30, k), f"l{k % 220:03}", None) for k in range(880)]
+    got = found(make_docs(docs))
+    assert sum(got[k].language == f"l{k % 220:03}" and got[k].kept for k in range(880)) > 870
+
+
+def test_junk_codes_are_no_languages(make_docs, rows):
+    """Codes of single rows, and one dealt at random over all languages."""
+    junk = [(i, t, f"x{i}" if i % 10 == 0 else "unknown" if i % 10 == 1 else la, s) for i, t, la, s in rows]
+    got = found(make_docs(junk))
+    right = [got[i].language == la for i, _, la, _ in rows]
+    assert sum(right) / len(right) > 0.97 and {r.language for r in got.values()} == set(SYLLABLES)
