@@ -4,7 +4,9 @@ Shingles are the runs of ``SHINGLE_BYTES`` bytes of the text; a shorter text is
 shingle. A sketch holds all distinct hashes below ``2**64 / SCALE``, and besides always
 the ``FLOOR`` smallest, so a short text is not left without any. Both rules depend only
 on the set of hashes, so the sketch of a union is made from the sketches alone, and two
-documents of very unequal length can be compared.
+documents of very unequal length can be compared. Of a short document only the hashes
+below the long one's limit can be, one in ``SCALE``; if it has none there, its containment
+is not known.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from logloom.llm.text import BLOCK_BYTES, mix
 
 SHINGLE_BYTES = 16  # a power of two
-SCALE = 64
+SCALE = 16
 FLOOR = 32
 THRESHOLD = np.uint64((1 << 64) // SCALE)
 # Keys looked at for each partition when the cuts between partitions are chosen.
@@ -91,11 +93,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(a) + len(b) - same)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated part of the first document's shingles that the second has."""
-    a, b = _comparable(a, b)
+def containment(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Estimated part of the first document's shingles that the second has.
+
+    An empty document is contained in any; None if no hash of the first is comparable.
+    """
     if not len(a):
         return 1.0
+    a, b = _comparable(a, b)
+    if not len(a):
+        return None
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
 
 

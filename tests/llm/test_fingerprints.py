@@ -43,6 +43,23 @@ def test_very_unequal_documents():
     assert fp.likeness(x, y) < 0.15
 
 
+def test_short_texts_against_long_ones():
+    """Unrelated texts of 50 and 100 shingles are in no long one, cuts of it are."""
+    long, *_ = fp.sketches([prose(4, 20_000).encode()])
+    r = random.Random(2)
+    cuts = prose(4, 20_000).encode()
+    for shingles, unknown in ((50, 0.1), (100, 0.01)):
+        n = shingles + fp.SHINGLE_BYTES - 1
+        strange = fp.sketches([bytes(r.choices(range(33, 127), k=n)) for _ in range(400)])
+        got = [fp.containment(s, long) for s in strange]
+        assert not any(got) and sum(x is None for x in got) <= unknown * len(got)
+        parts = fp.sketches([cuts[a : a + n] for a in range(0, 80_000, 200)])
+        got = [fp.containment(s, long) for s in parts]
+        assert {x for x in got if x is not None} == {1.0}
+        assert sum(x is None for x in got) <= unknown * len(got)
+    assert fp.containment(np.zeros(0, np.uint64), long) == 1.0
+
+
 def test_blocks_do_not_matter():
     texts = [prose(k, 30 * k).encode() for k in range(1, 8)] + [b"", b"x", b"y" * 100]
     together = fp.sketches(texts)
