@@ -20,6 +20,8 @@ as small as its texts, and only those cells travel with the tasks.
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,12 @@ COUNTED = 1 << 20
 ROUNDING = 2.0**-53
 ACCEPT = 0.5
 
+# What is never shown, to its end or to that of the page; then any other tag.
+HIDDEN = re.compile(
+    r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)"
+)
+TAG = re.compile(r"</?[A-Za-z!?](?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+>|</?[A-Za-z!?][^<>]*+>")
+
 EVIDENCE = ("_declared", "_suffix", "_host")
 
 
@@ -61,11 +69,27 @@ def document_evidence(docs: DataFrame) -> DataFrame:
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """Pages: ``<html lang>``, and suffix and host of ``url``; ``text`` is the markup."""
-    host = F.lower(F.parse_url(F.col("url"), F.lit("HOST")))
+    """Pages: ``<html lang>``, and suffix and host of ``url``; ``text`` is what shows."""
+    # by hand, as parse_url refuses addresses with odd characters in their path
+    host = F.lower(F.regexp_extract("url", r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)", 1))
     declared = F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2,3})", 1)
     suffix = F.substring_index(host, ".", -1)
-    return with_evidence(pages.withColumn("text", F.col("html")), declared, suffix, host)
+    ready = with_evidence(pages, declared, suffix, host)
+    kept = [c for c in ready.columns if c != "text"]
+
+    def run(batches):
+        for batch in blocks(batches, "_html"):
+            seen = [None if h is None else visible(h) for h in column(batch, "_html").to_pylist()]
+            columns = [column(batch, c) for c in kept] + [pa.array(seen, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "text"])
+
+    out = ready.select(*kept).schema.add("text", "string")
+    return ready.select(*kept, F.col("html").alias("_html")).mapInArrow(run, out)
+
+
+def visible(markup: str) -> str:
+    """The text of a page: no comments, scripts, styles or tags, references resolved."""
+    return html.unescape(TAG.sub(" ", HIDDEN.sub(" ", markup)))
 
 
 def _symbols() -> np.ndarray:
@@ -403,6 +427,18 @@ def identified_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def identified_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, language, posterior, by_text, kept) of every page."""
+    rows = page_evidence(pages.select("page_id", "url", "html")).drop("url", "html")
+    return identify(rows).select(
+        "page_id",
+        F.col("_language").alias("language"),
+        F.col("_posterior").alias("posterior"),
+        F.col("_by_text").alias("by_text"),
+        F.col("_kept").alias("kept"),
+    )
+
+
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language is sure enough, with their own columns."""
     return identify(document_evidence(docs)).where("_kept").select(*docs.columns)

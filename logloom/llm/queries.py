@@ -73,6 +73,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identified_documents(read(spark, folder, "documents"))
 
 
+def op10_page_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identified_pages(read(spark, folder, "pages"))
+
+
 # Compares all pairs of documents that share a shingle; for small tables.
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (
@@ -110,4 +114,5 @@ QUERIES = {
     "op8_sharding": (op8_sharding, None),
     "op9_language_model": (op9_language_model, None),
     "op10_language_id": (op10_language_id, None),
+    "op10_page_language_id": (op10_page_language_id, None),
 }

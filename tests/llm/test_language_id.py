@@ -94,3 +94,29 @@ def test_junk_codes_are_no_languages(make_docs, rows):
     got = found(make_docs(junk))
     right = [got[i].language == la for i, _, la, _ in rows]
     assert sum(right) / len(right) > 0.97 and {r.language for r in got.values()} == set(SYLLABLES)
+
+
+def test_visible_text():
+    page = """<!DOCTYPE html><html lang="fr"><style>p{margin:0}</style><script>var t="</p>";a(0 < 1);</script>
+    <!-- ad > 0 --><p title="a > b">Un&eacute; &amp; 1 < 2<br>deux<SCRIPT src=x>hid</SCRIPT ><p>trois<!-- never closed"""
+    assert li.visible(page).split() == ["Uné", "&", "1", "<", "2", "deux", "trois"]
+
+
+def test_page_query_uses_every_evidence(spark, tmp_path):
+    """All pages are answered; one whose text is cut short goes by suffix, host and markup."""
+    from logloom.llm.queries import QUERIES
+
+    code = "<script>" + "the and then other handed " * 40 + "</script>"
+    langs = ["fr", "en", "de"]
+    site = {"fr": "fr", "en": "com", "de": "de"}
+    pages = [(k, f"https://h{k % 9}.site.{site[langs[k % 3]]}/x",
+              f"<html lang={langs[k % 3]}>{code}<p>{text(langs[k % 3], 30, k)}</p>") for k in range(240)]
+    pages += [(900, "https://new.site.fr/", f"<html>{code}<p>zz</p>"), (901, "https://h8.site.de/", "<p>zz</p>"),
+              (902, None, None), (None, "no address", f"<p>{text('en', 60, 1)}</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["op10_page_language_id"][0](spark, str(tmp_path))
+    got = {r.page_id: r for r in found.collect()}
+    assert len(got) == len(pages)
+    assert all(got[k].by_text == got[k].language == langs[k % 3] and got[k].kept for k in range(240))
+    assert (got[900].language, got[901].language, got[None].language) == ("fr", "de", "en")
+    assert got[902].by_text is None and not got[902].kept
