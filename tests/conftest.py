@@ -1,13 +1,14 @@
 import sys
-from datetime import datetime, timedelta
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
-T0 = datetime(2024, 1, 1, 8, 0, 0)  # a Monday
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+
+from helpers import T0  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -79,8 +80,3 @@ def split_hot(monkeypatch):
 
     monkeypatch.setattr(positions, "HOT_ROWS", 50)
     monkeypatch.setattr(positions, "SEGMENT_ROWS", 16)
-
-
-def rows_of(df, *columns):
-    columns = columns or sorted(df.columns)
-    return sorted(tuple(r) for r in df.select(*columns).collect())

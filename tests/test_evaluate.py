@@ -2,7 +2,7 @@ import random
 
 import duckdb
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from logloom.functions.distance import _similarity, _timed, edit_distance

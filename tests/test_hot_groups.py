@@ -1,6 +1,6 @@
 """The plans for hot groups return what the plain plans return."""
 
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from logloom.operators import evaluate, positions

@@ -2,7 +2,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import T0, rows_of
+from helpers import T0, rows_of
 from pyspark.sql import functions as F
 
 from logloom.functions.draws import uniform

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 
 from logloom.operators import roles as X
 from logloom.operators.selection import flag_smallest, kth_smallest, quantile_disc, sample_rows, share

@@ -1,7 +1,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from logloom.operators.encode import build_index
