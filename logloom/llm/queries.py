@@ -13,9 +13,12 @@ from logloom.llm import (
     language_id,
     language_model,
     pii,
+    ranked_search,
+    resampling,
     secrets,
     sharding,
     token_files,
+    toxicity,
 )
 
 
@@ -77,6 +80,18 @@ def op10_page_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identified_pages(read(spark, folder, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 # Compares all pairs of documents that share a shingle; for small tables.
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (
@@ -103,6 +118,85 @@ SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, m.component_id
 FROM g JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
 """
 
+# Holds every document against every item.
+SEARCH_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS item, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM benchmark),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+m AS (
+  SELECT doc, doc_id, 100 - 90 + ((90 * CAST(len(t) AS BIGINT) * s.n) // s.l) AS m, t
+  FROM d, s WHERE len(t) > 0),
+p AS (
+  SELECT doc, doc_id, m, term, count(*) AS tf
+  FROM (SELECT doc, doc_id, m, unnest(t) AS term FROM m)
+  WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * s.n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p, s GROUP BY term, s.n),
+r AS (
+  SELECT item, item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term) GROUP BY item, item_id, doc, doc_id),
+k AS (
+  SELECT item_id, doc_id, score,
+    CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+# The CRC byte by byte, once for each distinct feature.
+RESAMPLING_SQL = r"""
+WITH t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT row_number() OVER () AS doc, doc_id, text, true AS raw FROM documents
+  UNION ALL SELECT 0, NULL, text, false FROM benchmark),
+w AS (
+  SELECT doc, doc_id, raw, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM d),
+f AS (
+  SELECT doc, raw, unnest(list_concat(w,
+      list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+      list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f
+  FROM w),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+b AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2),
+      lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+      lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM h, t),
+n AS (
+  SELECT b, count(*) FILTER (raw) AS s, count(*) FILTER (NOT raw) AS t FROM f JOIN b USING (f) GROUP BY b),
+g AS (
+  SELECT b, CAST(floor(1000 * ln((t + 1) * CAST(sum(s) OVER () + 10000 AS DOUBLE)
+      / ((s + 1) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS g
+  FROM n),
+k AS (
+  SELECT doc, count(*) AS n_features, CAST(sum(g) AS BIGINT) AS weight
+  FROM f JOIN b USING (f) JOIN g USING (b) WHERE raw GROUP BY doc),
+r AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(
+      CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM w LEFT JOIN k USING (doc) WHERE raw),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+    (count(*) FILTER (n_words >= 20) OVER ()) * 5 // 100 AS drawn
+  FROM r)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+  CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank
+FROM p
+"""
+
 QUERIES = {
     "op1_pii": (op1_pii, None),
     "op2_fingerprints": (op2_fingerprints, None),
@@ -115,4 +209,7 @@ QUERIES = {
     "op9_language_model": (op9_language_model, None),
     "op10_language_id": (op10_language_id, None),
     "op10_page_language_id": (op10_page_language_id, None),
+    "op11_toxicity": (op11_toxicity, None),
+    "op12_ranked_search": (op12_ranked_search, SEARCH_SQL),
+    "op13_importance_resampling": (op13_importance_resampling, RESAMPLING_SQL),
 }

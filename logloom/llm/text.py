@@ -84,6 +84,22 @@ def words(
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def runs(
+    data: np.ndarray, offsets: np.ndarray, member: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``words`` where a word is a maximal run of the bytes that ``member`` marks."""
+    n = len(data)
+    inside = np.zeros(n + 1, bool)
+    inside[:n] = member[data]
+    opens, closes = inside[:n].copy(), inside[:n].copy()
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    opens[1:] &= ~inside[: max(n - 1, 0)] | edge[1:n]
+    closes &= ~inside[1:] | edge[1:]
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte ranges, blind to the case of A-Z."""
     if not len(starts):
