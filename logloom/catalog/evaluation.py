@@ -147,6 +147,39 @@ dl AS (SELECT (coalesce(sum({_sim("oneA.s", "oneB.s")}), 0) + (SELECT m FROM sam
     / (SELECT greatest((SELECT count(*) FROM seqA), (SELECT count(*) FROM seqB))) AS sim_val
   FROM oneA JOIN oneB USING (rn))
 """
+# Cases ranked by (length, sequence, cycle time, case) and paired; the whole table of each
+# pair row by row, a row as a list that grows cell by cell.
+TSD = f"""
+{S.TIMED},
+tp AS (SELECT max(dur) AS dmax, max(wait) AS wmax FROM ft),
+sq AS (SELECT caseid, count(*) AS size, string_agg(task, chr(31) ORDER BY {S.ORD}) AS key,
+    max(e_us) - min(k_us) AS c, list(task ORDER BY {S.ORD}) AS t,
+    list(coalesce(dur / nullif(dmax, 0), 0) ORDER BY {S.ORD}) AS d,
+    list(coalesce(wait / nullif(wmax, 0), 0) ORDER BY {S.ORD}) AS w
+  FROM ft, tp GROUP BY caseid),
+rk AS (SELECT sq.*, first, row_number() OVER (PARTITION BY first ORDER BY size, key, c, caseid) AS rn
+  FROM sq JOIN pt USING (caseid)),
+cell AS (SELECT a.rn, a.t AS ta, a.d AS da, a.w AS wa, b.t AS tb, b.d AS db, b.w AS wb
+  FROM rk a JOIN rk b ON a.rn = b.rn AND a.first AND NOT b.first),
+dp AS (
+  SELECT *, 0 AS i, [list_transform(range(len(tb) + 1), lambda j: CAST(j AS DOUBLE))] AS m FROM cell
+  UNION ALL
+  SELECT rn, ta, da, wa, tb, db, wb, i + 1, list_append(m, list_reduce(
+      list_prepend([CAST(i + 1 AS DOUBLE)], list_transform(range(1, len(tb) + 1), lambda j: [CAST(j AS DOUBLE)])),
+      lambda row, x: list_append(row, least(
+        m[i + 1][CAST(x[1] AS INT)] + CASE WHEN ta[i + 1] = tb[CAST(x[1] AS INT)]
+          THEN (abs(da[i + 1] - db[CAST(x[1] AS INT)]) + abs(wa[i + 1] - wb[CAST(x[1] AS INT)])) / 2 ELSE 1 END,
+        m[i + 1][CAST(x[1] AS INT) + 1] + 1,
+        row[CAST(x[1] AS INT)] + 1,
+        coalesce(m[list_max(list_filter(range(1, i + 1), lambda k: ta[k] = tb[CAST(x[1] AS INT)]))]
+            [list_max(list_filter(range(1, CAST(x[1] AS INT)), lambda l: tb[l] = ta[i + 1]))]
+          + i - list_max(list_filter(range(1, i + 1), lambda k: ta[k] = tb[CAST(x[1] AS INT)]))
+          + x[1] - list_max(list_filter(range(1, CAST(x[1] AS INT)), lambda l: tb[l] = ta[i + 1])), 1e30)))))
+  FROM dp WHERE i < len(ta)),
+tsd AS (SELECT sum(1 - m[len(ta) + 1][len(tb) + 1] / greatest(len(ta), len(tb)))
+    / (SELECT max(rn) FROM rk) AS sim_val
+  FROM dp WHERE i = len(ta))
+"""
 _GENERATED_PAIR = """
 lgA AS (SELECT caseid, task, k_us, e_us, o1, o2, o3 FROM te),
 lgB AS (SELECT caseid, task, e_us - d AS k_us, e_us, pos AS o1, 0 AS o2, 0 AS o3 FROM gl)
@@ -210,7 +243,10 @@ QUERIES = {
         _compare("dl"),
         S.with_(PAIR, DL, select=f"SELECT {S.rnd('sim_val', 'sim_val', 4)} FROM dl"),
     ),
-    "log_tsd": (_compare("tsd"), None),
+    "log_tsd": (
+        _compare("tsd"),
+        S.with_("RECURSIVE " + PAIR, TSD, select=f"SELECT {S.rnd('sim_val', 'sim_val', 4)} FROM tsd"),
+    ),
     "log_mae": (_compare("log_mae"), _scored(PAIR, _LOG_MAE)),
     "cycle_mae": (_compare("mae"), _scored(PAIR, _MAE)),
     "day_hour_emd": (

@@ -13,7 +13,6 @@ from logloom.functions.distance import similarity, timed_similarity
 from logloom.functions.times import micros, weekday
 from logloom.operators.features import add_calculated_times
 from logloom.operators.positions import global_rank, running_total
-from logloom.operators.samples import ARRAY_EVENTS, longest_trace
 from logloom.runtime import pin
 from logloom.schema import LogSchema, drop_sentinels, prefix_cases
 
@@ -152,9 +151,6 @@ def cycle_mae(log: DataFrame, sim: DataFrame, schema: LogSchema = LogSchema()) -
 
 def _traces(log: DataFrame, schema: LogSchema, fields: list[str]) -> DataFrame:
     """(caseid, tasks, ...) arrays per case in event order."""
-    longest = longest_trace(log)
-    if longest > ARRAY_EVENTS:
-        raise ValueError(f"edit distances of a case of {longest} events are not computed")
     events = F.sort_array(F.collect_list(F.struct(*schema.order, "task", *fields))).alias("e")
     return log.groupBy("caseid").agg(events).select(
         "caseid", F.col("e.task").alias("tasks"), *[F.col(f"e.{f}").alias(f) for f in fields]

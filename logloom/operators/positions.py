@@ -184,6 +184,23 @@ def number_rows(
     return plain(df.where(~_is_hot(by, hot))).unionByName(split)
 
 
+def placed_in_cases(df: DataFrame, order: list[str], pos: str, size: str) -> DataFrame:
+    """Each event's 1-based position in its case and the case's number of events."""
+
+    def plain(rows):
+        w = W.partitionBy("caseid")
+        number = F.row_number().over(w.orderBy(*order)).cast("bigint")
+        return rows.withColumns({pos: number, size: F.count(F.lit(1)).over(w)})
+
+    hot = hot_groups(df, ["caseid"])
+    if not hot:
+        return plain(df)
+    split = sliced_rank(df.where(_is_hot(["caseid"], hot)), ["caseid"], order, pos)
+    sizes = split.groupBy("caseid").agg(F.max(pos).alias(size))  # a row for each hot case
+    split = null_safe_join(split, F.broadcast(sizes), ["caseid"])
+    return plain(df.where(~_is_hot(["caseid"], hot))).unionByName(split)
+
+
 @dataclass(frozen=True)
 class Frame:
     """What a trace-ordered expression may refer to."""

@@ -10,20 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.arrays import one_hot, pad_last
-from logloom.operators.positions import (
-    SEGMENT_ROWS,
-    Frame,
-    null_safe_join,
-    number_rows,
-    over_traces,
-)
+from logloom.operators.positions import SEGMENT_ROWS, Frame, over_traces, placed_in_cases
 from logloom.schema import LogSchema
 
 INDEXES = ("ac_index", "rl_index")
-# Longest trace that is held as one array; longer ones come in parts.
-ARRAY_EVENTS = 1_000_000
-# Cuts of one trace that one task expands into prefixes and suffixes.
-CUTS_PER_TASK = 512
+# Events of a part of a trace; the cuts within one part are expanded by one task.
+PART_EVENTS = 512
 
 
 def _typed(columns: list[str]) -> list[Column]:
@@ -41,32 +33,16 @@ def _ends(columns: list[str], ends: dict[str, int]) -> list[Column]:
     return [F.lit(ends[c]) if c in ends else _zero(c) for c in columns]
 
 
-def _series(log: DataFrame, columns: list[str], schema: LogSchema, parts: bool) -> DataFrame:
-    """(caseid, part, last_part, <column> arrays) without sentinels."""
-    packed = F.struct(*schema.order, F.struct(*_typed(columns)).alias("_v"))
-    if not parts:
-        events = F.sort_array(F.collect_list(packed))["_v"].alias("_e")
-        traces = log.groupBy("caseid").agg(events)
-        traces = traces.withColumns({"part": F.lit(0), "last_part": F.lit(0)})
-    else:
-        placed = number_rows(log, ["caseid"], schema.order, "_pos")
-        sizes = log.groupBy("caseid").agg(F.count(F.lit(1)).alias("_n"))
-        part = F.expr(f"cast((_pos - 1) div {SEGMENT_ROWS} as int)").alias("part")
-        events = F.sort_array(F.collect_list(F.struct("_pos", F.struct(*_typed(columns)).alias("_v"))))
-        last = F.expr(f"cast((_n - 1) div {SEGMENT_ROWS} as int)").alias("last_part")
-        traces = (
-            placed.groupBy("caseid", part)
-            .agg(events["_v"].alias("_e"))
-        )
-        traces = null_safe_join(traces, sizes, ["caseid"]).select("caseid", "part", last, "_e")
+def _series(log: DataFrame, columns: list[str], schema: LogSchema, size: int) -> DataFrame:
+    """(caseid, part, last_part, <column> arrays) of ``size`` events, without sentinels."""
+    placed = placed_in_cases(log, schema.order, "_pos", "_n")
+    number = lambda c, name: F.expr(f"cast(({c} - 1) div {size} as int)").alias(name)
+    events = F.sort_array(F.collect_list(F.struct("_pos", F.struct(*_typed(columns)).alias("_v"))))
+    keys = ["caseid", number("_pos", "part"), number("_n", "last_part")]
+    traces = placed.groupBy(*keys).agg(events["_v"].alias("_e"))
     return traces.select("caseid", "part", "last_part", *[F.col(f"_e.{c}").alias(c) for c in columns])
 
 
-def longest_trace(log: DataFrame) -> int:
-    sizes = log.groupBy("caseid").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
 def to_traces(
     log: DataFrame, columns: list[str], ends: dict[str, int], schema: LogSchema = LogSchema()
 ) -> DataFrame:
@@ -75,7 +51,7 @@ def to_traces(
     ``ends`` maps the index columns to their ``end`` code. Every case comes in
     consecutive parts of SEGMENT_ROWS events, so all but very long ones in one.
     """
-    traces = _series(log, columns, schema, parts=True)
+    traces = _series(log, columns, schema, SEGMENT_ROWS)
     none = F.col("part") < F.col("last_part")
 
     def closed(column: str, end: Column) -> Column:
@@ -141,63 +117,92 @@ def ngram_samples(log, columns, n, ends, schema=LogSchema(), hot=None) -> DataFr
     return windowed_samples(log, columns, n, ends, schema, True, hot)
 
 
-def _cuts(log, columns, ends, schema, first, last_offset) -> DataFrame:
-    """(caseid, cut, <column> arrays with sentinels) for cut = first..L+last_offset.
+def _located(parts: DataFrame, columns: list[str], tails: bool) -> DataFrame:
+    """The parts with what lies before them in their case and, if asked for, after them.
 
-    A case's cuts are spread over tasks in runs of CUTS_PER_TASK before its
-    prefixes and suffixes, quadratic in its length, are expanded.
+    Adds arrays ``<column>_head`` and ``<column>_tail``. A case of one part has nothing
+    around it. The parts of a longer case are sent to each part that they precede (or
+    follow), so its parts are completed in tasks of their own.
     """
-    longest = longest_trace(log)
-    if longest > ARRAY_EVENTS:
-        raise ValueError(
-            f"a case of {longest} events has no array of all its prefixes; use windowed_samples"
-        )
-    traces = _series(log, columns, schema, parts=False)
-    closing = [
-        F.concat(F.array(_zero(c)), F.col(c), F.array(e)).alias(c)
-        for c, e in zip(columns, _ends(columns, ends))
-    ]
+
+    def none(name):
+        return F.slice(name, 1, 0)
+
+    around = [*[(c, "head") for c in columns], *[(c, "tail") for c in columns if tails]]
+    alone = parts.where("last_part = 0")
+    alone = alone.select("*", *[none(c).alias(f"{c}_{side}") for c, side in around])
+    sent = parts.where("last_part > 0").select(
+        "caseid",
+        "last_part",
+        F.struct("part", *columns).alias("_p"),
+        F.explode(F.sequence(F.lit(0) if tails else F.col("part"), F.col("last_part"))).alias("_at"),
+    )
+    met = sent.repartition("caseid", "_at").groupBy("caseid", "_at", "last_part")
+    met = met.agg(F.sort_array(F.collect_list("_p")).alias("_all"))
+    picks = {
+        "head": F.filter("_all", lambda p: p["part"] < F.col("_at")),
+        "tail": F.filter("_all", lambda p: p["part"] > F.col("_at")),
+    }
+    own = F.filter("_all", lambda p: p["part"] == F.col("_at"))[0]
+    many = met.select(
+        "caseid",
+        F.col("_at").alias("part"),
+        "last_part",
+        *[own[c].alias(c) for c in columns],
+        *[F.flatten(picks[side][c]).alias(f"{c}_{side}") for c, side in around],
+    )
+    return alone.unionByName(many)
+
+
+def _cuts(log, columns, schema, include_end: bool, tails: bool) -> DataFrame:
+    """A row for each cut: its part, what lies around the part, and ``cut`` and ``_k``.
+
+    ``_k`` is the number of events of the part before the cut. Only what is selected from
+    these rows is as long as the case; the rows of a part share one input row.
+    """
+    located = _located(_series(log, columns, schema, PART_EVENTS), columns, tails)
     size = F.size(columns[0])
-    traces = traces.select("caseid", (size + last_offset).alias("_top"), *closing)
-    if longest > CUTS_PER_TASK:
-        run = F.explode(F.sequence(F.lit(0), F.expr(f"cast(_top div {CUTS_PER_TASK} as int)")))
-        traces = traces.withColumn("_run", run).repartition("caseid", "_run")
-        low = F.greatest(F.lit(first), F.col("_run") * CUTS_PER_TASK)
-        high = F.least(F.col("_top"), (F.col("_run") + 1) * CUTS_PER_TASK - 1)
-    else:
-        low, high = F.lit(first), F.col("_top")
-    cuts = F.when(low <= high, F.sequence(low, high))
-    return traces.withColumn("cut", F.explode(cuts))
+    top = size - 1
+    if include_end:
+        top = F.when(F.col("part") == F.col("last_part"), size).otherwise(size - 1)
+    rows = located.withColumn("_k", F.explode(F.sequence(F.lit(0), top)))
+    return rows.withColumn("cut", F.col("part") * PART_EVENTS + F.col("_k"))
+
+
+def _prefix(column: str) -> Column:
+    inside = F.slice(column, F.lit(1), F.col("_k"))
+    return F.concat(F.array(_zero(column)), F.col(f"{column}_head"), inside)
 
 
 def next_event_samples(
     log, columns, ends, schema=LogSchema(), include_end: bool = False
 ) -> DataFrame:
-    """Growing prefixes and the value after them.
+    """Growing prefixes and the value after them, for cases of any length.
 
     L rows per case, ``end`` is no label unless ``include_end``.
     """
-    cuts = _cuts(log, columns, ends, schema, 0, 0 if include_end else -1)
-    return cuts.select(
-        "caseid",
-        "cut",
-        *[F.slice(c, F.lit(1), F.col("cut") + 1).alias(f"{c}_prefix") for c in columns],
-        *[F.element_at(c, F.col("cut") + 2).alias(f"{c}_next") for c in columns],
-    )
+    cuts = _cuts(log, columns, schema, include_end, tails=False)
+    last = F.col("_k") == F.size(columns[0])
+    labels = [
+        F.when(last, end).otherwise(F.get(F.col(c), F.col("_k"))).alias(f"{c}_next")
+        for c, end in zip(columns, _ends(columns, ends))
+    ]
+    return cuts.select("caseid", "cut", *[_prefix(c).alias(f"{c}_prefix") for c in columns], *labels)
 
 
 def suffix_samples(log, columns, ends, schema=LogSchema()) -> DataFrame:
-    """Every cut of a case into prefix and suffix; L+1 rows, ``end`` included."""
-    cuts = _cuts(log, columns, ends, schema, 0, 0)
-    return cuts.select(
-        "caseid",
-        "cut",
-        *[F.slice(c, F.lit(1), F.col("cut") + 1).alias(f"{c}_prefix") for c in columns],
-        *[
-            F.slice(c, F.col("cut") + 2, F.size(c) - F.col("cut") - 1).alias(f"{c}_suffix")
-            for c in columns
-        ],
-    )
+    """Every cut of a case into prefix and suffix; L+1 rows, ``end`` included.
+
+    Cases may have any length.
+    """
+    cuts = _cuts(log, columns, schema, include_end=True, tails=True)
+    suffixes = [
+        F.concat(
+            F.slice(c, F.col("_k") + 1, F.size(c) - F.col("_k")), F.col(f"{c}_tail"), F.array(end)
+        ).alias(f"{c}_suffix")
+        for c, end in zip(columns, _ends(columns, ends))
+    ]
+    return cuts.select("caseid", "cut", *[_prefix(c).alias(f"{c}_prefix") for c in columns], *suffixes)
 
 
 def stack_features(samples: DataFrame, columns: list[str], suffix="prefix") -> DataFrame:
@@ -214,5 +219,3 @@ def stack_features(samples: DataFrame, columns: list[str], suffix="prefix") -> D
 def one_hot_labels(samples: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """Replaces the index labels by 0/1 arrays of the given sizes."""
     return samples.withColumns({f"{c}_next": one_hot(F.col(f"{c}_next"), n) for c, n in sizes.items()})
-
-

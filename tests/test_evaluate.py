@@ -1,30 +1,75 @@
 import random
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
-from helpers import rows_of
+from helpers import plain_edit_distance, rows_of
 from pyspark.sql import functions as F
 
-from logloom.functions.distance import _similarity, _timed, edit_distance
+from logloom.functions import distance
 from logloom.operators import evaluate as E
 from logloom.operators.occupancy import pool_occupancy
 
 
+def distances(left, right, *measures):
+    series = [pd.Series([np.array(list(x), dtype=object) for x in side]) for side in (left, right)]
+    timed = [[pd.Series([np.array(x) for x in side]) for side in m] for m in measures]
+    return distance.distances(*distance._sequences(*series, *timed)).tolist()
+
+
+def similarities(left, right, *measures):
+    longer = [max(len(a), len(b), 1) for a, b in zip(left, right)]
+    return [1 - d / n for d, n in zip(distances(left, right, *measures), longer)]
+
+
 @pytest.mark.parametrize("a, b, d", [("", "", 0), ("abc", "abc", 0), ("abcd", "acbd", 1), ("ca", "abc", 2), ("", "xy", 2)])
 def test_distance(a, b, d):
-    assert edit_distance(a, b) == edit_distance(b, a) == d
+    assert distances([a, b], [b, a]) == [d, d]
 
 
 def test_distance_matches_the_builtin_of_another_engine():
     rng, con = random.Random(5), duckdb.connect()
-    for _ in range(200):
-        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 7))) for _ in range(2))
-        assert edit_distance(a, b) == con.execute("SELECT damerau_levenshtein(?, ?)", [a, b]).fetchone()[0]
+    pairs = [["".join(rng.choices("abc", k=rng.randint(0, 7))) for _ in range(2)] for _ in range(200)]
+    want = [con.execute("SELECT damerau_levenshtein(?, ?)", p).fetchone()[0] for p in pairs]
+    assert distances(*zip(*pairs)) == want
+
+
+@pytest.mark.parametrize("cells", [1, 60, 1 << 18])
+def test_distances_match_the_whole_table(monkeypatch, cells):
+    """All lengths and alphabets, near and far pairs, with and without measures."""
+    monkeypatch.setattr(distance, "BATCH_CELLS", cells)
+    r = random.Random(cells)
+    left, right = [], []
+    for _ in range(120):
+        letters = "abcdefgh"[: r.choice([1, 2, 3, 8])]
+        a = "".join(r.choices(letters, k=r.randint(0, 25)))
+        near = "".join(x for x in a if r.random() < 0.8)
+        left.append(a)
+        right.append(r.choice([a, near, "".join(r.choices(letters, k=r.randint(0, 25)))]))
+    assert distances(left, right) == [plain_edit_distance(a, b) for a, b in zip(left, right)]
+    dur, wait = ([[[r.choice([0.0, 1.0, r.random()]) for _ in x] for x in side] for side in (left, right)] for _ in "dw")
+    want = [
+        plain_edit_distance(
+            a, b, lambda i, j, p=p: (abs(dur[0][p][i] - dur[1][p][j]) + abs(wait[0][p][i] - wait[1][p][j])) / 2
+        )
+        for p, (a, b) in enumerate(zip(left, right))
+    ]
+    assert distances(left, right, dur, wait) == pytest.approx(want, abs=1e-9)
+
+
+def test_long_sequences_in_linear_memory():
+    """Two sequences whose whole table has 10^10 cells, alike but for their middles."""
+    r = random.Random(3)
+    a = r.choices("abcdefgh", k=100_000)
+    b = a[:50_000] + list("xyzzy") + a[50_003:]
+    assert distances([a], [b]) == [5]
 
 
 def test_similarities():
-    assert _similarity([], []) == 1.0 and _similarity([1, 2], [1, 3]) == 0.5
-    assert _timed("ab", [0.5, 0], [0, 0], "ab", [0.1, 0], [0, 0]) == pytest.approx(1 - 0.2 / 2)
+    assert similarities([[], [1, 2]], [[], [1, 3]]) == [1.0, 0.5]
+    dur, wait = ([[0.5, 0.0]], [[0.1, 0.0]]), ([[0.0, 0.0]], [[0.0, 0.0]])
+    assert similarities(["ab"], ["ab"], dur, wait) == [pytest.approx(1 - 0.2 / 2)]
 
 
 RECORDS = (
@@ -106,10 +151,7 @@ def test_histogram_distance(make_log):
     assert E.day_hour_emd(left, right).first()[0] == pytest.approx(2 / 7)
 
 
-def test_occupancy(make_log, spark, monkeypatch):
-    from logloom.operators import occupancy
-
-    monkeypatch.setattr(occupancy, "BUCKET_SECONDS", 7)
+def test_occupancy(make_log, spark):
     rng = random.Random(8)
     rows = []
     for i in range(60):

@@ -77,7 +77,6 @@ def test_traces_in_parts(skewed_log, split_hot, monkeypatch):
 
     log, ends = coded(skewed_log), {"ac_index": 6}
     whole = {r["caseid"]: r["ac_index"] for r in to_traces(log, ["ac_index"], ends).collect()}
-    monkeypatch.setattr(samples, "ARRAY_EVENTS", 50)
     monkeypatch.setattr(samples, "SEGMENT_ROWS", 16)
     parts = {}
     for r in to_traces(log, ["ac_index"], ends).orderBy("caseid", "part").collect():

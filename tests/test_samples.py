@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from helpers import rows_of
 from pyspark.sql import functions as F
@@ -75,16 +77,33 @@ def test_suffixes_hold_the_end(coded):
     assert got == [(0, [0], [1, 3, 4]), (1, [0, 1], [3, 4]), (2, [0, 1, 3], [4])]
 
 
-def test_long_traces_are_expanded_by_runs(coded, monkeypatch):
-    plain = rows_of(X.suffix_samples(coded, ["ac_index"], ENDS))
-    monkeypatch.setattr(X, "CUTS_PER_TASK", 2)
-    assert rows_of(X.suffix_samples(coded, ["ac_index"], ENDS)) == plain
-
-
-def test_prefix_arrays_have_a_limit(coded, monkeypatch):
-    monkeypatch.setattr(X, "ARRAY_EVENTS", 2)
-    with pytest.raises(ValueError):
-        X.next_event_samples(coded, ["ac_index"], ENDS)
+@pytest.mark.parametrize("build", [X.suffix_samples, X.next_event_samples])
+def test_cases_of_many_parts(skewed_log, split_hot, monkeypatch, build):
+    """Cases beyond every bound give the rows of the plain plan."""
+    log = skewed_log.withColumns({"ac_index": F.ascii("task") - 64, "dur_norm": F.col("event_key") / 7})
+    columns, ends = ["ac_index", "dur_norm"], {"ac_index": 6}
+    whole = {r["caseid"]: r for r in log.groupBy("caseid").agg(
+        F.sort_array(F.collect_list(F.struct("start_timestamp", "event_key", "ac_index", "dur_norm"))).alias("e")
+    ).collect()}
+    want = []
+    for case, r in whole.items():
+        a = [0, *[e["ac_index"] for e in r["e"]], 6]
+        d = [0.0, *[e["dur_norm"] for e in r["e"]], 0.0]
+        for cut in range(len(a) - 1 - (build is X.next_event_samples)):
+            rest = (a[cut + 1 :], d[cut + 1 :]) if build is X.suffix_samples else (a[cut + 1], d[cut + 1])
+            want.append((case, cut, a[: cut + 1], d[: cut + 1], *rest))
+    second = "suffix" if build is X.suffix_samples else "next"
+    names = ["caseid", "cut", *[f"{c}_prefix" for c in columns], *[f"{c}_{second}" for c in columns]]
+    for size in (512, 50, 7, 1):
+        monkeypatch.setattr(X, "PART_EVENTS", size)
+        assert rows_of(build(log, columns, ends), *names) == sorted(want)
+
+
+def test_parts_of_a_case_are_completed_apart(skewed_log, monkeypatch):
+    monkeypatch.setattr(X, "PART_EVENTS", 10)
+    log = skewed_log.withColumn("ac_index", F.ascii("task") - 64)
+    plan = X.suffix_samples(log, ["ac_index"], {"ac_index": 6})._jdf.queryExecution().toString()
+    assert re.search(r"hashpartitioning\(caseid#\d+, _at#\d+", plan)
 
 
 def test_sample_counts(skewed_log):
