@@ -1,10 +1,17 @@
 """Resource roles: groups of users whose task profiles correlate.
 
 Users with proportional profiles (equal up to scale and shift) are collapsed
-first, so copies cost nothing. The distinct profiles are packed into blocks of
-bounded size; each pair of blocks is one matrix product inside a task, which
-returns the pairs above the threshold, or just a spanning forest of them when
-only components are wanted.
+first, so copies cost nothing. Centred and scaled to length one, the others are
+points whose angles are a metric: the correlation is the cosine. They are grouped
+by the nearest of a few pivots and packed into blocks of neighbours. A block knows
+how near and how far its points are from each pivot, and two blocks whose
+distances from any pivot are further apart than the angle of the threshold have no
+similar users. What is left is one matrix product for each pair of blocks, which
+returns the pairs above the threshold.
+
+When only components are wanted, blocks are joined inside first, then by one user
+of each component and block, and only users of different components are compared
+after that.
 """
 
 from __future__ import annotations
@@ -14,13 +21,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators.positions import global_rank, number_rows
+from logloom.operators.positions import global_rank, null_safe_join, number_rows
 from logloom.runtime import dimension, pin
 from logloom.schema import drop_pseudo_events, drop_system_user
 
 # Cells of a block's matrix (32 MB of doubles).
 BLOCK_CELLS = 4_000_000
 BLOCK_ROWS = 2_000
+# Pivots, at most; they are collected and travel with the tasks.
+PIVOTS = 128
+# Groups of users that meet all tasks apart.
+SALTS = 64
+# Added to angles before they are compared with bounds.
+SLACK = 1e-6
 
 
 def task_user_counts(log: DataFrame) -> DataFrame:
@@ -31,13 +44,14 @@ def task_user_counts(log: DataFrame) -> DataFrame:
 def user_task_profiles(log: DataFrame) -> DataFrame:
     """Every user with every task, zero where the user never did the task."""
     counts = pin(task_user_counts(log))
-    tasks = [r["task"] for r in counts.select("task").distinct().orderBy("task").collect()]
-    grid = counts.select("user").distinct()
-    grid = grid.select("user", F.explode(F.array(*[F.lit(t) for t in tasks])).alias("task"))
-    own = grid["user"].eqNullSafe(counts["user"]) & (grid["task"] == counts["task"])
-    return grid.join(counts, own, "left").select(
-        grid["user"], grid["task"], F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq")
-    )
+    # tasks go to each of a fixed number of groups of users
+    salted = F.pmod(F.xxhash64("user"), F.lit(SALTS)).alias("_salt")
+    users = counts.select("user").distinct().select("user", salted)
+    tasks = counts.select("task").distinct()
+    tasks = tasks.select("task", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    grid = users.join(tasks, "_salt").drop("_salt")
+    own = null_safe_join(grid, counts, ["user", "task"], "left")
+    return own.select("user", "task", F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"))
 
 
 def _profiles(log: DataFrame) -> tuple[DataFrame, int]:
@@ -69,22 +83,34 @@ def _profiles(log: DataFrame) -> tuple[DataFrame, int]:
     )
 
 
+def _units(part: pd.DataFrame, n_tasks: int) -> np.ndarray:
+    """Centred profiles of length one, a line for each row."""
+    matrix = np.zeros((len(part), n_tasks))
+    for row, (tasks, freqs) in enumerate(zip(part["tasks"], part["freqs"])):
+        matrix[row, tasks] = freqs
+    matrix -= matrix.mean(axis=1, keepdims=True)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix
+
+
 def _correlated(n_tasks: int, threshold: float, forest: bool):
-    """Kernel over one pair of blocks: the pairs with r > threshold."""
+    """Kernel over one pair of blocks: the pairs with r > threshold.
+
+    Where rows have a ``component``, only those of different ones are compared.
+    """
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("user", ignore_index=True)
-        matrix = np.zeros((len(part), n_tasks))
-        for row, (tasks, freqs) in enumerate(zip(part["tasks"], part["freqs"])):
-            matrix[row, tasks] = freqs
-        matrix -= matrix.mean(axis=1, keepdims=True)
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix = _units(part, n_tasks)
         r = matrix @ matrix.T
         linked = r > threshold
         np.fill_diagonal(linked, False)
         if part["low"].iat[0] != part["high"].iat[0]:
             block = part["block"].to_numpy()
             linked &= block[:, None] != block[None, :]
+        if "component" in part:
+            component = pd.factorize(part["component"])[0]
+            linked &= component[:, None] != component[None, :]
         x, y = _stars(linked) if forest else np.nonzero(np.triu(linked))
         users = part["user"].to_numpy()
         return pd.DataFrame({"x": users[x], "y": users[y], "r": r[x, y]})
@@ -110,33 +136,144 @@ def _stars(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([empty, *centres]), np.concatenate([empty, *leaves])
 
 
-def _block_pairs(profiles: DataFrame, rows: int, n_tasks: int, threshold: float, forest: bool):
-    """(edges, number of blocks) among ``profiles``."""
+EDGES = "x string, y string, r double"
+
+
+def _pivots(profiles: DataFrame, n_tasks: int, count: int) -> np.ndarray:
+    """Profiles far from each other, picked from four times as many that are drawn."""
+    drawn = profiles.orderBy(F.xxhash64("user"), "user").limit(4 * count).toPandas()
+    points = _units(drawn, n_tasks)
+    picked = [0]
+    nearest = points @ points[0]
+    while len(picked) < min(count, len(points)):
+        picked.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, points @ points[picked[-1]])
+    return points[picked]
+
+
+def _angles(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(points @ pivots.T, -1, 1))
+
+
+def metric_blocks(profiles: DataFrame, rows: int, n_tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of neighbours: (block, user, tasks, freqs) and (block, nearest, farthest).
+
+    The second table has a row for each block with its users' least and largest angle to
+    each pivot.
+    """
     size = max(1, min(BLOCK_ROWS, BLOCK_CELLS // max(n_tasks, 1)))
-    blocks = max(1, -(-rows // size))
-    ranked = global_rank(profiles.select("user", "tasks", "freqs"), ["user"], "_rank", rows)
-    block = F.expr(f"cast((_rank - 1) div {size} as int)")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    paired = (
-        ranked.withColumn("block", block)
-        .withColumn("other", other)
-        .select(
-            F.least("block", "other").alias("low"),
-            F.greatest("block", "other").alias("high"),
-            "block", "user", "tasks", "freqs",
-        )
-    )
-    kernel = _correlated(n_tasks, threshold, forest)
-    edges = paired.groupBy("low", "high").applyInPandas(kernel, "x string, y string, r double")
-    return edges, blocks
+    blocks = -(-rows // size)
+    count = max(1, min(PIVOTS, 2 * blocks, BLOCK_CELLS // max(4 * n_tasks, 1)))
+    profiles = profiles.select("user", "tasks", "freqs")
+    pivots = _pivots(profiles, n_tasks, count)
+
+    def nearest(parts):
+        for part in parts:
+            for at in range(0, len(part), size):
+                some = part.iloc[at : at + size]
+                angles = _angles(_units(some, n_tasks), pivots)
+                yield some.assign(pivot=angles.argmin(axis=1), angle=angles.min(axis=1))
+
+    def extent(key, part):
+        angles = _angles(_units(part, n_tasks), pivots)
+        return pd.DataFrame({"block": [key[0]], "nearest": [angles.min(axis=0)], "farthest": [angles.max(axis=0)]})
+
+    placed = "user string, tasks array<int>, freqs array<double>, pivot long, angle double"
+    located = pin(profiles.mapInPandas(nearest, placed))
+    numbered = number_rows(located, ["pivot"], ["angle", "user"], "_pos")
+    block = F.shiftleft("pivot", 40) + F.expr(f"(_pos - 1) div {size}")
+    members = pin(numbered.select(block.alias("block"), "user", "tasks", "freqs"))
+    extents = members.groupBy("block").applyInPandas(
+        extent, "block long, nearest array<double>, farthest array<double>"
+    )
+    return members, pin(extents)
+
+
+def close_blocks(extents: DataFrame, threshold: float) -> DataFrame:
+    """(low, high): the pairs of blocks, low < high, that may hold similar users.
+
+    Blocks meet in stretches of their angle to the first pivot; the bounds of the
+    other pivots are checked on those that do.
+    """
+    reach = float(np.arccos(threshold)) + SLACK
+    width = max(reach, 0.02)
+    stretch = lambda a: F.floor(a / F.lit(width)).cast("int")
+    near, far = F.col("nearest")[0], F.col("farthest")[0]
+    wide = F.sequence(stretch(near - reach), stretch(far + reach))
+    left = extents.select(F.col("block").alias("low"), F.explode(wide).alias("at"),
+                          F.col("nearest").alias("n1"), F.col("farthest").alias("f1"))
+    right = extents.select(F.col("block").alias("high"), F.explode(F.sequence(stretch(near), stretch(far))).alias("at"),
+                           F.col("nearest").alias("n2"), F.col("farthest").alias("f2"))
+    apart = lambda n, f: F.exists(F.zip_with(n, f, lambda a, b: a - b), lambda d: d > reach)
+    met = left.join(right, "at").where("low < high")
+    return met.where(~apart("n1", "f2") & ~apart("n2", "f1")).select("low", "high").distinct()
+
+
+def _compare(members: DataFrame, pairs: DataFrame, n_tasks: int, threshold: float, forest: bool) -> DataFrame:
+    """Similar users of each pair of blocks; a pair of a block with itself is all of it."""
+    ends = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    met = members.join(ends, "block")
+    return met.groupBy("low", "high").applyInPandas(_correlated(n_tasks, threshold, forest), EDGES)
+
+
+def _in_one_block(profiles: DataFrame, rows: int, n_tasks: int) -> DataFrame | None:
+    """The profiles as one block, if they fit."""
+    if rows > max(1, min(BLOCK_ROWS, BLOCK_CELLS // max(n_tasks, 1))):
+        return None
+    zero = F.lit(0).cast("bigint")
+    return profiles.select(zero.alias("low"), zero.alias("high"), zero.alias("block"), "user", "tasks", "freqs")
+
+
+def _similar(profiles: DataFrame, rows: int, n_tasks: int, threshold: float) -> DataFrame:
+    """All pairs with r > threshold."""
+    alone = _in_one_block(profiles, rows, n_tasks)
+    if alone is not None:
+        return alone.groupBy("low", "high").applyInPandas(_correlated(n_tasks, threshold, False), EDGES)
+    members, extents = metric_blocks(profiles, rows, n_tasks)
+    own = extents.select(F.col("block").alias("low"), F.col("block").alias("high"))
+    pairs = pin(close_blocks(extents, threshold).unionByName(own))
+    return _compare(members, pairs, n_tasks, threshold, forest=False)
+
+
+def _components(profiles: DataFrame, rows: int, n_tasks: int, threshold: float) -> DataFrame:
+    """(node, component) of the graph of pairs with r > threshold."""
+    nodes = profiles.select(F.col("user").alias("node"))
+    alone = _in_one_block(profiles, rows, n_tasks)
+    if alone is not None:  # the kernel sees every pair, its stars are the components
+        stars = alone.groupBy("low", "high").applyInPandas(_correlated(n_tasks, threshold, True), EDGES)
+        stars = stars.select(F.col("y").alias("node"), F.col("x").alias("component"))
+        found = nodes.join(stars, "node", "left")
+        return found.select("node", F.coalesce("component", "node").alias("component"))
+    members, extents = metric_blocks(profiles, rows, n_tasks)
+    own = extents.select(F.col("block").alias("low"), F.col("block").alias("high"))
+    inside = pin(_compare(members, own, n_tasks, threshold, forest=True))
+    leaves = inside.select(F.col("y").alias("user")).distinct()
+    pairs = pin(close_blocks(extents, threshold))
+    # one user of each component of a block, its centre
+    centres = members.join(leaves, "user", "left_anti")
+    edges = inside.unionByName(_compare(centres, pairs, n_tasks, threshold, forest=True))
+    found = pin(connected_components(nodes, pin(edges)))
+    coloured = pin(members.join(found, members["user"] == found["node"]).drop("node"))
+    open_pairs = different_components(pairs, coloured)
+    rest = pin(_compare(coloured, open_pairs, n_tasks, threshold, forest=True))
+    links = found.select(F.col("node").alias("x"), F.col("component").alias("y"))
+    return connected_components(nodes, links.unionByName(rest.select("x", "y")))
+
+
+def different_components(pairs: DataFrame, coloured: DataFrame) -> DataFrame:
+    """The pairs of blocks whose users are not all of one component."""
+    spans = pin(coloured.groupBy("block").agg(F.min("component").alias("a"), F.max("component").alias("b")))
+    low = spans.select(F.col("block").alias("low"), F.col("a").alias("a1"), F.col("b").alias("b1"))
+    high = spans.select(F.col("block").alias("high"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    met = pairs.join(low, "low").join(high, "high")
+    return met.where(~((F.col("a1") == F.col("b2")) & (F.col("b1") == F.col("a2")))).select("low", "high")
 
 
 def similar_users(log: DataFrame, sim_threshold: float = 0.7) -> DataFrame:
     """Pairs x < y of users with Pearson r > threshold. Constant profiles have none."""
     profiles, n_tasks = _profiles(log)
     profiles = pin(profiles)
-    edges, _ = _block_pairs(profiles, profiles.count(), n_tasks, sim_threshold, forest=False)
-    return edges
+    return _similar(profiles, profiles.count(), n_tasks, sim_threshold)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -202,14 +339,7 @@ def discover_roles(log: DataFrame, sim_threshold: float = 0.7) -> DataFrame:
             F.min(F.struct("tasks", "freqs")).alias("p")
         ).select("shape", F.col("shape").alias("user"), "p.*")  # the node is the shape itself
     )
-    edges, blocks = _block_pairs(shapes, shapes.count(), n_tasks, sim_threshold, forest=True)
-    nodes = shapes.select(F.col("user").alias("node"))
-    if blocks == 1:  # the kernel saw every pair, its stars are the components
-        stars = edges.select(F.col("y").alias("node"), F.col("x").alias("component"))
-        groups = nodes.join(stars, "node", "left")
-        groups = groups.select("node", F.coalesce("component", "node").alias("component"))
-    else:
-        groups = connected_components(nodes, edges)
+    groups = _components(shapes, shapes.count(), n_tasks, sim_threshold)
     of_shape = shapes.join(groups, F.col("user") == F.col("node")).select("shape", "component")
     members = profiles.select("user", "shape").join(of_shape, "shape").select(
         "user", F.concat(F.lit("shape "), "component").alias("component")

@@ -91,6 +91,47 @@ def test_blocks_do_not_change_the_roles(crowd, monkeypatch, threshold):
     assert len(set(names.values())) == len(groups)
 
 
+def wide_profiles(spark, groups, each):
+    """Users of well separated groups: (profiles, number of tasks, angles' cosines)."""
+    rng = np.random.default_rng(groups)
+    n_tasks = 24
+    centres = rng.integers(0, 60, (groups, n_tasks)) * (rng.random((groups, n_tasks)) < 0.3)
+    rows, freqs = [], []
+    for k in range(groups * each):
+        f = np.maximum(centres[k % groups] * 10 + rng.integers(0, 12, n_tasks), 0)
+        freqs.append(f)
+        rows.append((f"u{k:05d}", list(range(n_tasks)), [float(x) for x in f]))
+    df = spark.createDataFrame(rows, "user string, tasks array<int>, freqs array<double>")
+    return df, n_tasks, np.corrcoef(np.array(freqs))
+
+
+def test_few_block_pairs_are_compared(spark, monkeypatch):
+    """Ten times the users: pairs of blocks grow far slower than all pairs, none is lost."""
+    monkeypatch.setattr(X, "BLOCK_ROWS", 10)
+    counts = []
+    for groups, each in ((12, 10), (60, 20)):
+        df, n_tasks, r = wide_profiles(spark, groups, each)
+        n = groups * each
+        _, extents = X.metric_blocks(df, n, n_tasks)
+        blocks = extents.count()
+        counts.append((X.close_blocks(extents, 0.95).count(), blocks * (blocks - 1) // 2))
+        got = {(x, y) for x, y, _ in rows_of(X._similar(df, n, n_tasks, 0.95), "x", "y", "r")}
+        x, y = np.nonzero(np.triu(r > 0.95, 1))
+        assert got == {(f"u{a:05d}", f"u{b:05d}") for a, b in zip(x, y)}
+    assert counts[1][0] < 0.2 * counts[1][1]
+
+
+def test_joined_components_are_not_compared_again(spark, monkeypatch):
+    """One group: after its blocks are joined by their centres no pair is left."""
+    monkeypatch.setattr(X, "BLOCK_ROWS", 10)
+    df, n_tasks, r = wide_profiles(spark, 1, 200)
+    open_pairs = []
+    kept = X.different_components
+    monkeypatch.setattr(X, "different_components", lambda p, c: open_pairs.append(kept(p, c)) or open_pairs[-1])
+    found = rows_of(X._components(df, 200, n_tasks, 0.9), "node", "component")
+    assert r.min() > 0.9 and {c for _, c in found} == {"u00000"} and open_pairs[0].count() == 0
+
+
 def test_components_of_a_path_and_a_hub(spark):
     path = [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(20)]
     hub = [("q99", f"q{i:02d}") for i in range(15)]
