@@ -4,29 +4,73 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.draws import draw_key, uniform
 from logloom.functions.times import micros
 from logloom.operators.positions import global_rank
 from logloom.operators.selection import sample_rows
-from logloom.runtime import dimension, pin
+from logloom.runtime import pin
 from logloom.schema import LogSchema
 
+# Ranks of unobserved pairs that one row is expanded to.
+PIECE = 4096
+# Ranks of a stretch in which draws meet runs of unobserved pairs.
+STRETCH = 64
+
 
 def observed_pairs(log: DataFrame) -> DataFrame:
     return log.groupBy("ac_index", "rl_index").agg(F.count(F.lit(1)).alias("n"))
 
 
+def gaps(log: DataFrame, n_activities: int, n_roles: int) -> tuple[DataFrame, int]:
+    """(low, high, shift): the runs of index pairs that the log does not hold; their number.
+
+    All pairs, sentinels included, are laid on a line by (activity, role). Unobserved ones
+    are ranked from 0; those ranked low..high - 1 lie ``shift`` places after their rank.
+    One row for each observed pair at most, whatever the size of the grid.
+    """
+    place = (F.col("ac_index").cast("bigint") * n_roles + F.col("rl_index")).alias("_place")
+    inside = F.col("ac_index").between(0, n_activities - 1) & F.col("rl_index").between(0, n_roles - 1)
+    taken = pin(log.where(inside).select(place).distinct())
+    n = taken.count()
+    size = n_activities * n_roles - n
+    ranked = pin(global_rank(taken, ["_place"], "_i", n).select("_i", (F.col("_place") - F.col("_i") + 1).alias("high")))
+    before = ranked.select((F.col("_i") + 1).alias("_i"), F.col("high").alias("low"))
+    found = ranked.join(before, "_i", "left").select(
+        F.coalesce("low", F.lit(0)).alias("low"), "high", (F.col("_i") - 1).alias("shift")
+    )
+    last = log.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("_i"))
+    last = last.join(ranked, "_i", "left").select(
+        F.coalesce("high", F.lit(0)).alias("low"), F.lit(size).cast("bigint").alias("high"), F.col("_i").alias("shift")
+    )
+    return found.unionByName(last).where("low < high"), size
+
+
+def _pieces(runs: DataFrame, width: int) -> DataFrame:
+    """The runs cut at the multiples of ``width``, with the number of their stretch."""
+    cut = F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}")))
+    pieces = runs.withColumn("stretch", cut)
+    return pieces.withColumns(
+        {
+            "low": F.greatest("low", F.col("stretch") * width),
+            "high": F.least("high", (F.col("stretch") + 1) * width),
+        }
+    )
+
+
+def _pair(place: Column, n_roles: int) -> list[Column]:
+    role = (place % n_roles).cast("int")
+    return [F.floor((place - place % n_roles) / n_roles).cast("int").alias("ac_index"), role.alias("rl_index")]
+
+
 def unobserved_pairs(log: DataFrame, n_activities: int, n_roles: int) -> DataFrame:
     """Index pairs, sentinels included, that the log does not hold."""
-    spark = log.sparkSession
-    grid = spark.range(n_activities).select(
-        F.col("id").cast("int").alias("ac_index"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_roles - 1))).alias("rl_index"),
-    )
-    return grid.join(observed_pairs(log), ["ac_index", "rl_index"], "left_anti")
+    runs, _ = gaps(log, n_activities, n_roles)
+    rank = F.explode(F.sequence("low", F.col("high") - 1))
+    places = _pieces(runs, PIECE).select((rank.alias("_rank")), "shift")
+    return places.select(*_pair(F.col("_rank") + F.col("shift"), n_roles))
 
 
 def negative_samples(
@@ -58,16 +102,20 @@ def negative_samples(
         "ac_index", "rl_index", F.lit(positive_label).alias("label"), F.col("_draw").alias("_key")
     )
     count = n_positive or round(events.count() / 3)
-    free = pin(unobserved_pairs(events, n_activities, n_roles))
-    size = free.count()
+    runs, size = gaps(events, n_activities, n_roles)
     if size == 0:
         return _shuffled(positives, seed)
-    ranked = global_rank(free, ["ac_index", "rl_index"], "_rank", size)
+    # a stretch of ranks has at most so many runs, and about one draw if there are few
+    width = max(STRETCH, -(-size // max(count * ratio, 1)))
     draws = log.sparkSession.range(count * ratio).withColumn(
-        "_rank", F.floor(uniform(F.lit("negative"), F.col("id"), str(seed)) * size) + 1
+        "_rank", F.floor(uniform(F.lit("negative"), F.col("id"), str(seed)) * size)
     )
-    negatives = draws.join(dimension(ranked, size), "_rank").select(
-        "ac_index", "rl_index", F.lit(1 - positive_label).alias("label"), F.col("id").alias("_key")
+    draws = draws.withColumn("stretch", F.expr(f"_rank div {width}"))
+    met = draws.join(_pieces(runs, width), "stretch").where("_rank >= low and _rank < high")
+    negatives = met.select(
+        *_pair(F.col("_rank") + F.col("shift"), n_roles),
+        F.lit(1 - positive_label).alias("label"),
+        F.col("id").alias("_key"),
     )
     return _shuffled(positives.unionByName(negatives), seed)
 

@@ -33,38 +33,67 @@ STEPS_PER_PIN = 4
 
 
 def likeliest_paths(model: NgramModel, max_steps: int) -> DataFrame:
-    """(state, ac, rl, <time>) arrays: the arg-max continuation of each state.
+    """(state, loop, ac, rl, <time>): the arg-max continuation of each state.
 
-    The arg-max step maps a state to one state, so paths are composed instead
-    of walked: each round joins four paths end to end, which takes
-    log4(max_steps) joins of the state table and never touches the cases. Ends
-    at ``end`` (included) or after ``max_steps`` steps.
+    The arg-max step maps a state to one state, so a continuation runs into a cycle or
+    ends. The arrays go through each state once; ``loop`` is the place (from 0) where they
+    start over, null where the continuation ends at ``end`` (included). So they are as
+    long as the model has them, however long the longest case is. Paths are composed:
+    each round joins four of them end to end.
     """
     parts = ["ac", "rl", *model.times]
-    step = model.states.select(
+    paths = model.states.select(
         F.col("ctx").alias("state"),
+        F.lit(None).cast("int").alias("loop"),
         F.array("best.next").alias("ac"),
         F.array("best_rl").alias("rl"),
         *[F.array(f"best.{t}").alias(t) for t in model.times],
+        F.array("ctx").alias("_seen"),
         F.col("best.to").alias("to"),
     )
-    length = 1
-    paths = pin(step)
-    while length < max_steps and not paths.where("to is not null").isEmpty():
+    paths = pin(paths)
+    while not paths.where((F.size("_seen") < max_steps) & F.col("to").isNotNull()).isEmpty():
         longer = paths
-        for i in range(3):
+        for _ in range(3):
             more = paths.select(
                 F.col("state").alias("_from"),
-                *[F.col(p).alias(f"_{p}") for p in parts],
+                *[F.col(p).alias(f"_{p}") for p in ["loop", *parts]],
+                F.col("_seen").alias("_more"),
                 F.col("to").alias("_to"),
             )
-            tail = [F.coalesce(f"_{p}", F.slice(p, 1, 0)) for p in parts]
-            grown = [F.slice(F.concat(p, t), 1, max_steps).alias(p) for p, t in zip(parts, tail)]
-            longer = longer.join(more, F.col("to") == F.col("_from"), "left").select(
-                "state", *grown, F.col("_to").alias("to")
-            )
-        paths, length = pin(longer), length * 4
-    return paths.select("state", *[F.slice(p, 1, max_steps).alias(p) for p in parts])
+            longer = _joined(longer.join(more, F.col("to") == F.col("_from"), "left"), parts)
+        paths = pin(longer)
+    return paths.drop("_seen", "to")
+
+
+def _joined(rows: DataFrame, parts: list[str]) -> DataFrame:
+    """Paths with those they lead to appended; closed at the first state met again."""
+    went_on = F.col("_from").isNotNull()
+    both = F.when(went_on, F.concat("_seen", "_more")).otherwise(F.col("_seen"))
+    rows = rows.withColumn("_both", both).withColumn("_once", F.array_distinct("_both"))
+    met_again = F.size("_once") < F.size("_both")
+    first = F.array_position("_once", F.get(F.col("_both"), F.size("_once"))).cast("int") - 1
+    loop = F.when(went_on & met_again, first).when(went_on, F.size("_seen") + F.col("_loop"))
+    grown = [
+        F.when(went_on, F.slice(F.concat(p, f"_{p}"), 1, F.size("_once"))).otherwise(F.col(p)).alias(p)
+        for p in parts
+    ]
+    return rows.select(
+        "state",
+        F.coalesce("loop", loop).alias("loop"),
+        *grown,
+        F.col("_once").alias("_seen"),
+        F.when(~met_again, F.col("_to")).alias("to"),
+    )
+
+
+def unrolled(values: Column, loop: Column, steps: int) -> Column:
+    """The first ``steps`` elements of a path that starts over at ``loop``, if it does."""
+    size = F.size(values)
+    length = F.when(loop.isNull(), F.least(size, F.lit(steps))).otherwise(F.lit(steps))
+    place = lambda i: F.when(i < size, i).otherwise(loop + (i - size) % (size - loop))
+    walked = F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.get(values, place(i)))
+    return F.when(loop.isNull(), F.slice(values, 1, length)).otherwise(walked)
 
 
 def predict_suffixes(
@@ -81,7 +110,9 @@ def predict_suffixes(
     if check_variant(variant) == ARG_MAX:
         paths = pin(likeliest_paths(model, steps))
         states = attach_states(samples, model, [])
-        return states.join(paths.withColumnsRenamed(names), "state").drop("state")
+        rows = states.join(paths.withColumnsRenamed(names), "state")
+        ends = {name: unrolled(F.col(name), F.col("loop"), steps) for name in names.values()}
+        return rows.withColumns(ends).drop("state", "loop")
     rows = pin(attach_states(samples, model, []))
     walkers = rows.select(F.struct("caseid", "cut").alias("id"), "state")
     keys = [F.col("id.caseid"), F.col("id.cut")]

@@ -121,6 +121,31 @@ def test_suffixes_follow_the_best_choice(ready, model, counts):
         assert len(r["dur_pred"]) == len(r["rl_pred"]) == len(want)
 
 
+@pytest.mark.parametrize("steps", [1, 2, 7, 50, 1000])
+def test_paths_are_as_long_as_the_model(spark, steps):
+    """Chains that end, chains that run into cycles, cycles alone; any number of steps."""
+    from logloom.operators.walks import likeliest_paths, unrolled
+
+    to = {f"c{i}": f"c{i + 1}" for i in range(9)} | {"c9": None}  # ends
+    to |= {f"t{i}": f"t{i + 1}" for i in range(5)} | {"t5": "r0"} | {f"r{i}": f"r{(i + 1) % 3}" for i in range(3)}
+    to |= {"self": "self", "b1": "t2", "b2": "b1"}
+    number = {s: i for i, s in enumerate(sorted(to))}
+    rows = [(s, (number[s], t, float(number[s])), -number[s]) for s, t in to.items()]
+    states = spark.createDataFrame(rows, "ctx string, best struct<next: int, to: string, dur: double>, best_rl int")
+    paths = likeliest_paths(G.NgramModel(states, 2, 99, ("dur",)), steps)
+    assert paths.agg(F.max(F.size("ac"))).first()[0] <= len(to)
+    got = {
+        r["state"]: (r["ac"], r["rl"], r["dur"])
+        for r in paths.select("state", *[unrolled(F.col(c), F.col("loop"), steps).alias(c) for c in ("ac", "rl", "dur")]).collect()
+    }
+    for state in to:
+        want, at = [], state
+        while at is not None and len(want) < steps:
+            want.append(number[at])
+            at = to[at]
+        assert got[state] == (want, [-x for x in want], [float(x) for x in want])
+
+
 def test_remaining_time(ready, model):
     rows = P.suffix_records(ready, model)
     for r in rows.withColumn("t", P.remaining_time(rows)).collect():

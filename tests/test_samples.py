@@ -161,6 +161,29 @@ def test_pairs_and_negatives(make_log):
     assert bad.count() == 0
 
 
+@pytest.mark.parametrize("taken", [0, 1, 5, 40, 62, 63])
+def test_complement_of_the_observed_pairs(spark, monkeypatch, taken):
+    """Runs of unobserved pairs against the grid, also cut into stretches of three ranks."""
+    import random
+
+    from logloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "STRETCH", 3)
+    monkeypatch.setattr(pairs, "PIECE", 4)
+    grid = [(a, r) for a in range(7) for r in range(9)]
+    seen = random.Random(taken).sample(grid, taken)
+    rows = [(f"c{i}", i, a, r) for i, (a, r) in enumerate([*seen, *seen, (7, 0), (0, 9), (None, 1)])]
+    log = spark.createDataFrame(rows, "caseid string, k int, ac_index int, rl_index int")
+    runs, size = pairs.gaps(log, 7, 9)
+    assert size == 63 - taken and runs.count() <= taken + 1
+    free = sorted(set(grid) - set(seen))
+    assert rows_of(unobserved_pairs(log, 7, 9)) == free
+    plan = unobserved_pairs(log, 7, 9)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "LeftAnti" not in plan
+    ranked = [(low, high, shift) for high, low, shift in rows_of(pairs._pieces(runs, 3), "high", "low", "shift")]
+    assert sorted(x + s for low, high, s in ranked for x in range(low, high)) == [a * 9 + r for a, r in free]
+
+
 def test_polarity_and_full_grid(make_log):
     log = pairs_log(make_log, 6)
     zero = negative_samples(log, 3, 4, seed=5, positive_label=0)
