@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.names import own_names
 from logloom.llm.text import blocks, column, grams, texts, word_hashes
 
 MIN_MATCH = 5
@@ -238,4 +239,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
     """The rows of which no item is covered by ``threshold`` or more."""
-    return judge(docs, benchmark).where(covered_part() < threshold).drop(*RESULT)
+    docs, back = own_names(docs)
+    kept = judge(docs, benchmark).where(covered_part() < threshold)
+    return kept.drop(*RESULT).withColumnsRenamed(back)

@@ -157,23 +157,20 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     one_in = max(1, places.count() // (KEYS_PER_CUT * parts))
     some = places.where(F.pmod(F.xxhash64("place"), F.lit(one_in)) == 0).distinct().collect()
     some = sorted({_comparable_key(r["place"]) for r in some})
-    cuts = [some[len(some) * i // parts] for i in range(1, parts)] if some else []
-    cuts = [_literal(c) for c in dict.fromkeys(cuts)]
-    # null keys are the smallest, in Spark's order of structs as well
-    below = F.size(F.filter(F.array(*cuts), lambda c: c <= F.col("place"))) if cuts else F.lit(0)
-    ranged = keyed.withColumn("part", F.lit(parts - 1) - below)
+    cuts = list(dict.fromkeys(some[len(some) * i // parts] for i in range(1, parts))) if some else []
+    ranged = keyed.withColumn("part", (F.lit(parts - 1) - _cuts_below(cuts)).cast("int"))
     heads = ranged.groupBy("part").agg(F.max("place").alias("place")).collect()
     heads.sort(key=lambda r: r["part"])
-    send = F.when(F.lit(False), F.lit(-1))
-    for i, r in enumerate(heads):  # a row that begins a range also ends the one before
-        send = send.when(F.col("part") == r["part"], F.lit(heads[i - 1]["part"]))
-    first = {r["part"]: _literal(_comparable_key(r["place"])) for r in heads}
-    at_head = F.lit(False)
-    for part, place in first.items():
-        at_head = at_head | ((F.col("part") == part) & F.col("place").eqNullSafe(place))
+    # by range: its first row, and the range before it, which ends with that row too
+    at = {r["part"]: (_literal(_comparable_key(r["place"])), heads[i - 1]["part"]) for i, r in enumerate(heads)}
+    nowhere = (F.lit(None).cast("struct<key:long,h:long>"), -1)
+    rows = [at.get(p, nowhere) for p in range(parts)]
+    first = F.get(F.array(*[place for place, _ in rows]), F.col("part"))
+    before = F.get(F.array(*[F.lit(to) for _, to in rows]), F.col("part"))
     none = F.array().cast("array<struct<to:int,halo:boolean>>")
-    copy = F.struct(send.cast("int").alias("to"), F.lit(True).alias("halo"))
-    own = F.struct(F.col("part").cast("int").alias("to"), F.lit(False).alias("halo"))
+    copy = F.struct(before.cast("int").alias("to"), F.lit(True).alias("halo"))
+    own = F.struct(F.col("part").alias("to"), F.lit(False).alias("halo"))
+    at_head = F.col("place") == first
     targets = F.concat(F.array(own), F.when(at_head, F.array(copy)).otherwise(none))
     sent = ranged.select("key", "text", "place", F.explode(targets).alias("t"))
     return (
@@ -184,6 +181,21 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     )
 
 
+def _cuts_below(cuts: list[tuple]):
+    """How many of the ascending cuts are at or below ``place``: first by groups of them.
+
+    All cuts are elements of two array literals, so the plan has the same depth however
+    many there are. Null keys are the smallest, in Spark's order of structs as well.
+    """
+    if not cuts:
+        return F.lit(0)
+    groups = [cuts[i : i + CUTS_IN_GROUP] for i in range(0, len(cuts), CUTS_IN_GROUP)]
+    below = lambda array: F.size(F.filter(array, lambda c: c <= F.col("place")))
+    whole = below(F.array(*[_literal(g[0]) for g in groups]))
+    inside = F.get(F.array(*[F.array(*map(_literal, g)) for g in groups]), whole - 1)
+    return F.when(whole == 0, 0).otherwise((whole - 1) * CUTS_IN_GROUP + below(inside))
+
+
 def _comparable_key(place) -> tuple:
     return (place["key"] is not None, place["key"] or 0, place["h"])
 
@@ -193,6 +205,9 @@ def _literal(place: tuple):
     return F.struct(key.alias("key"), F.lit(place[2]).cast("long").alias("h"))
 
 
+# Cuts between ranges that are compared with a row after its group of cuts is found.
+CUTS_IN_GROUP = 64
+
 EDITED = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
     "edited_fingerprint string, near_edited double, near_next double"

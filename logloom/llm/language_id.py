@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.names import own_names
 from logloom.llm.text import BLOCK_BYTES, blocks, column, mix, texts
 from logloom.runtime import pin
 
@@ -441,4 +442,6 @@ def identified_pages(pages: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language is sure enough, with their own columns."""
-    return identify(document_evidence(docs)).where("_kept").select(*docs.columns)
+    docs, back = own_names(docs)
+    kept = identify(document_evidence(docs)).where("_kept").select(*docs.columns)
+    return kept.withColumnsRenamed(back)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.llm.names import own_names
 from logloom.runtime import pin
 
 KINDS = ("email", "ip", "card", "phone")
@@ -280,6 +281,7 @@ def redact(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Of spans that overlap, the one that begins first stands for all; ties go to the
     longer. All rows and columns stay; null texts stay null.
     """
+    docs, back = own_names(docs)
     every = spans(docs, key).where("kind is not null").select(
         "doc_id", "text_hash", "start", "end", "name"
     ).distinct()  # repeated rows have the same spans
@@ -309,4 +311,5 @@ def redact(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
         F.concat(F.array_join(kept, ""), tail)
     )
-    return docs.join(pieces, on, "left").withColumn("text", text).select(*docs.columns)
+    redacted = docs.join(pieces, on, "left").withColumn("text", text).select(*docs.columns)
+    return redacted.withColumnsRenamed(back)

@@ -1,6 +1,7 @@
 """Secret scans: what a candidate adds to a compressed neighbourhood.
 
-Candidates are long runs of key characters with a sensitive word close before them. A
+Candidates are long runs of key characters with a sensitive word close before them, on
+the same or the next line, and the lines that follow a candidate directly. A
 zstandard compressor is primed with the text around the candidate and with the
 identifiers that are common around candidates in the whole corpus; the candidate's
 novelty is the number of bytes it adds to the compressed neighbourhood, for each of its
@@ -11,7 +12,9 @@ random keys are not. The plain patterns of known secrets are always reported.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import zstandard
@@ -31,18 +34,25 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "novel")
 
-# A candidate: a run of key characters, with letters and digits in it.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# A candidate: a run of key characters.
+LEAST = 16
+RUN = re.compile(r"[A-Za-z0-9+/_=-]*")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 SENSITIVE = re.compile(
-    r"(?i)pass(?:word|wd|phrase)|secret|token|api[_-]?key|credential|auth|private[_-]?key|bearer|access[_-]?key"
+    r"(?i)pass(?:word|wd|phrase)|secret|token|api[_-]?key|credential|auth|private[ _-]?key|bearer|access[_-]?key"
 )
-# Characters of the line before a candidate in which a sensitive word counts.
-REACH = 48
+# Characters after a sensitive word, line breaks included, in which a candidate may begin;
+# after a candidate another one may follow on the next line.
+REACH, NEXT_LINE = 48, 2
+# Letters alone are a candidate if they change case as often as this; words don't.
+CASE_CHANGES = 4
 # Characters of text around a candidate that prime the compressor.
 AROUND = 400
 # Bytes of common identifiers that prime it too, and added bytes for each own byte.
 DICTIONARY_BYTES = 16 << 10
 NOVELTY = 0.75
+# Values of this length are coded by the frequencies of their letters.
+ENTROPY_CODED, ENTROPY = 64, 0.9
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -69,23 +79,44 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def candidates(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str]]:
-    """(start, end, candidate, surrounding text) of what the patterns left open."""
+    """(start, end, candidate, surrounding text) of what the patterns left open.
+
+    Candidates do not overlap. Each is looked for once, in the reach of the sensitive
+    words before it, so the time is linear in the text.
+    """
+    starts, ends, most = [], [], 0
+    for _, a, b in sorted(known, key=lambda s: s[1]):
+        most = max(most, b)
+        starts.append(a)
+        ends.append(most)
     found = []
+    done = 0
     for word in SENSITIVE.finditer(text):
-        line = text.find("\n", word.end())
-        stop = min(word.end() + REACH, line if line >= 0 else len(text))
-        for m in CANDIDATE.finditer(text, word.end()):
-            if m.start() >= stop:
+        at, stop = max(word.end(), done), word.end() + REACH
+        while at < stop:
+            m = CANDIDATE.search(text, at, stop + LEAST - 1)
+            if not m:
                 break
-            a, b = m.span()
-            own = m.group()
-            if not (re.search("[0-9]", own) and re.search("[A-Za-z]", own)):
-                continue
-            if any(s < b and a < e for _, s, e in known) or (found and found[-1][0] >= a):
-                continue
-            around = text[max(0, a - AROUND) : a] + text[b : b + AROUND]
-            found.append((a, b, own, around))
-    return found
+            a = m.start()
+            b = at = done = RUN.match(text, a).end()
+            stop = max(stop, b + NEXT_LINE)
+            before = bisect_left(starts, b)
+            if keyish(text[a:b]) and not (before and ends[before - 1] > a):
+                found.append((a, b))
+    # no candidate is ordinary because another one, or its copy, is close to it
+    pieces, last = [], 0
+    for a, b in found:
+        pieces += [text[last:a], " " * (b - a)]
+        last = b
+    blank = "".join([*pieces, text[last:]]) if found else text
+    return [(a, b, text[a:b], blank[max(0, a - AROUND) : a] + blank[b : b + AROUND]) for a, b in found]
+
+
+def keyish(value: str) -> bool:
+    """Digits, alone or among letters, or letters that change case too often for words."""
+    if re.search("[0-9]", value):
+        return True
+    return len(re.findall("[a-z][A-Z]|[A-Z][a-z]", value)) >= CASE_CHANGES
 
 
 def novelty(value: str, around: str, dictionary: bytes) -> float:
@@ -98,6 +129,19 @@ def novelty(value: str, around: str, dictionary: bytes) -> float:
     return (len(press.compress(tail + own)) - len(press.compress(tail))) / max(1, len(own))
 
 
+def threshold(value: str, least: float) -> float:
+    """Added bytes for each own byte from which ``value`` is novel.
+
+    The compressor codes the letters of a long value by their frequencies, so no value of
+    few different letters can reach ``least``. Of those ENTROPY of what random letters of
+    the value's alphabet take is asked for.
+    """
+    if len(value) < ENTROPY_CODED:
+        return least
+    alphabet = sum(n for kind, n in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), ("[^A-Za-z0-9]", 4)) if re.search(kind, value))
+    return min(least, ENTROPY * math.log2(alphabet) / 8)
+
+
 SCANNED = (
     "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, "
     "open array<struct<start:int,end:int,value:string,around:string>>"
@@ -178,7 +222,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", least: float = NOVELTY) -
                 new = [
                     ("novel", c["start"], c["end"])
                     for c in left
-                    if novelty(c["value"], c["around"], dictionary) >= least
+                    if novelty(c["value"], c["around"], dictionary) >= threshold(c["value"], least)
                 ]
                 spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)]
                 spans = sorted(spans + new, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

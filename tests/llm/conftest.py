@@ -54,7 +54,10 @@ def clashing(odd_docs):
     """The odd documents with extra columns named as the operators name theirs."""
     names = (
         "key row part kind start end ids n_tokens shard slot size spans set_id component item_id "
-        "covered held_out language kept posterior halo place value before after tie to"
+        "covered held_out language kept posterior halo place value before after tie to "
+        "_spans _id _hash _kept _language _posterior _by_text _declared _suffix _host _host_mass "
+        "_suffix_mass _at_host _at_suffix _html _tiled_item _tiled_words _tiled_length _tiled_count "
+        "_before _after _same _row _salt _of _r _short _part _tie"
     )
     from pyspark.sql import functions as F
 

@@ -89,3 +89,17 @@ def test_odd_rows(clashing, odd_rows, no_docs, make_docs):
     assert alone.edited_sha256 == brute.sha(b"abab") and alone.near_next == 1.0
     marks = fp.fingerprint(clashing).collect()
     assert len(marks) == len(odd_rows)
+
+
+def test_many_partitions(make_docs, spark):
+    """More ranges than a chain of conditions could hold."""
+    rows = [(i, prose(i, 4)) for i in range(3000)] + [(7, "again"), (None, "no id"), (5, prose(5, 4))]
+    docs = make_docs(rows)
+    want = sorted((r.doc_id or -1, r.edited_sha256, r.near_next) for r in fp.compare_edited(docs).collect())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        got = sorted((r.doc_id or -1, r.edited_sha256, r.near_next) for r in fp.compare_edited(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want

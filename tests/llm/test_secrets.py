@@ -64,6 +64,35 @@ def test_dictionary_makes_names_ordinary():
     assert sc.novelty(key(5), "some text", b"user session") > sc.NOVELTY
 
 
+def test_shapes_of_candidates(make_docs):
+    r = random.Random(9)
+    letters = "".join(r.choice(ALPHABET[:52]) for _ in range(21))
+    digits = "".join(r.choice("0123456789") for _ in range(20))
+    lines = [key(20 + i, 64) for i in range(3)]
+    pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----\n"
+    rows = [
+        (1, pem),
+        (2, f"api_key:\n  {key(4)}\n"),
+        (3, f"the bearer is {letters} here"),
+        (4, f"the bearer is {digits} here"),
+        (5, "the author is internationalization_of_everything here"),
+        (6, f"auth {key(6)} and auth {key(7)}"),
+    ]
+    got = {r.doc_id: r for r in sc.find_secrets(make_docs(rows)).collect()}
+    for line in lines:
+        assert f"novel:{pem.index(line)}:{pem.index(line) + 64}" in got[1].spans
+    assert [got[i].n_novel for i in range(2, 7)] == [1, 1, 1, 0, 2]
+
+
+def test_time_is_linear():
+    import time
+
+    for text in ("token a " * 130_000, "token_" * 170_000, "secret " + "auth-x" * 170_000):
+        start = time.time()
+        sc.candidates(text, [("hex", i, i + 4) for i in range(0, len(text), 8)])
+        assert time.time() - start < 5
+
+
 def test_odd_rows(clashing, odd_rows, no_docs, make_docs):
     got = sc.find_secrets(clashing).collect()
     assert len(got) == len(odd_rows)
