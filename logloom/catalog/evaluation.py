@@ -1,5 +1,7 @@
 """Registered queries: scores of predictions and generated logs."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from logloom.catalog import models as M
@@ -8,7 +10,8 @@ from logloom.catalog.common import INTERVAL, big, r6, user_roles
 from logloom.operators import evaluate as E
 from logloom.operators.occupancy import pool_occupancy
 from logloom.operators.split import split_timeline
-from logloom.plans.prediction import generated_log, next_event_records, suffix_records
+from logloom.operators.ngram import RANDOM_CHOICE
+from logloom.plans.prediction import next_event_records, predictions, suffix_records
 from logloom.sources.adapters import shipment_log, user_day_log, user_log
 
 
@@ -54,13 +57,14 @@ def _compare(metric):
     return query
 
 
+RUNS = 3
+
+
 def log_metrics(spark, folder):
-    """All metrics of one generated log, as a metric table."""
+    """All metrics of repeated generated logs, as a metric table."""
     ready, model = M.trained(spark, folder)
-    runs = generated_log(ready, model, seed=M.SEED).withColumns(
-        {"run_num": F.lit(0), "event_key": F.col("pos")}
-    )
-    table = E.compare_logs(ready.test, runs, metrics=("day_hour_emd", "log_mae", "dl", "mae"))
+    runs = predictions(ready, model, "pred_log", RANDOM_CHOICE, RUNS, M.SEED)
+    table = E.compare_logs(ready.test, runs.withColumn("event_key", F.col("pos")))
     return table.select(big("run_num"), "metric", _r4("sim_val"))
 
 
@@ -150,17 +154,20 @@ dl AS (SELECT (coalesce(sum({_sim("oneA.s", "oneB.s")}), 0) + (SELECT m FROM sam
 # Cases ranked by (length, sequence, cycle time, case) and paired; the whole table of each
 # pair row by row, a row as a list that grows cell by cell.
 TSD = f"""
-{S.TIMED},
-tp AS (SELECT max(dur) AS dmax, max(wait) AS wmax FROM ft),
-sq AS (SELECT caseid, count(*) AS size, string_agg(task, chr(31) ORDER BY {S.ORD}) AS key,
+fx AS (SELECT side, caseid, task, {S.ORD}, (e_us - s_us) / 1e6 AS dur, e_us,
+    greatest(coalesce(s_us - lag(e_us) OVER w, 0), 0) / 1e6 AS wait
+  FROM (SELECT 1 AS side, caseid, task, s_us, e_us, {S.ORD} FROM lgA
+    UNION ALL SELECT 2, caseid, task, s_us, e_us, {S.ORD} FROM lgB)
+  WINDOW w AS (PARTITION BY side, caseid ORDER BY {S.ORD})),
+tp AS (SELECT max(dur) AS dmax, max(wait) AS wmax FROM fx),
+sq AS (SELECT side, caseid, count(*) AS size, string_agg(task, chr(31) ORDER BY {S.ORD}) AS key,
     max(e_us) - min(k_us) AS c, list(task ORDER BY {S.ORD}) AS t,
     list(coalesce(dur / nullif(dmax, 0), 0) ORDER BY {S.ORD}) AS d,
     list(coalesce(wait / nullif(wmax, 0), 0) ORDER BY {S.ORD}) AS w
-  FROM ft, tp GROUP BY caseid),
-rk AS (SELECT sq.*, first, row_number() OVER (PARTITION BY first ORDER BY size, key, c, caseid) AS rn
-  FROM sq JOIN pt USING (caseid)),
+  FROM fx, tp GROUP BY side, caseid),
+rk AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY size, key, c, caseid) AS rn FROM sq),
 cell AS (SELECT a.rn, a.t AS ta, a.d AS da, a.w AS wa, b.t AS tb, b.d AS db, b.w AS wb
-  FROM rk a JOIN rk b ON a.rn = b.rn AND a.first AND NOT b.first),
+  FROM rk a JOIN rk b ON a.rn = b.rn AND a.side = 1 AND b.side = 2),
 dp AS (
   SELECT *, 0 AS i, [list_transform(range(len(tb) + 1), lambda j: CAST(j AS DOUBLE))] AS m FROM cell
   UNION ALL
@@ -180,12 +187,39 @@ tsd AS (SELECT sum(1 - m[len(ta) + 1][len(tb) + 1] / greatest(len(ta), len(tb)))
     / (SELECT max(rn) FROM rk) AS sim_val
   FROM dp WHERE i = len(ta))
 """
+# Walks of all runs at once: the case's id is behind the run's number.
+_ALL_RUNS = f"""
+w0 AS (SELECT r || ':' || id AS id, win FROM (
+    SELECT 'Case' || lpad(CAST(i AS VARCHAR), CAST(length(CAST(nc AS VARCHAR)) AS INT), '0') AS id, [0, 0, 0] AS win
+    FROM (SELECT count(DISTINCT caseid) AS nc FROM te), LATERAL (SELECT unnest(range(nc)) AS i)), range({RUNS}) t(r))
+"""
+_OF_RUN = "split_part(h.id, ':', 2)", f"'{M.SEED}-' || split_part(h.id, ':', 1)"
 _GENERATED_PAIR = """
-lgA AS (SELECT caseid, task, k_us, e_us, o1, o2, o3 FROM te),
-lgB AS (SELECT caseid, task, e_us - d AS k_us, e_us, pos AS o1, 0 AS o2, 0 AS o3 FROM gl)
+lgA AS (SELECT caseid, task, k_us, s_us, e_us, o1, o2, o3 FROM te),
+lgB AS (SELECT caseid, task, e_us - d AS k_us, e_us - d AS s_us, e_us, pos AS o1, 0 AS o2, 0 AS o3 FROM gl
+  WHERE caseid LIKE '{run}:%')
 """
 
 
+def _runs_sql() -> str:
+    """The clauses of every metric once for each run, with names of their own."""
+    body = [_GENERATED_PAIR, CYCLES, DL, _EMD, TSD]
+    names = sorted({m for part in body for m in re.findall(r"\b(\w+) AS \(\s*SELECT", part)})
+    clauses, rows = [], []
+    values = {"dl": "SELECT sim_val FROM dl", "day_hour_emd": "SELECT sim_val FROM emd",
+              "log_mae": _LOG_MAE, "mae": _MAE, "tsd": "SELECT sim_val FROM tsd"}
+    for run in range(RUNS):
+        own = re.compile(rf"\b({'|'.join(names)})\b(?!')")
+        renamed = lambda sql: own.sub(lambda m: f"{m[1]}_{run}", sql.replace("{run}", str(run)))  # noqa: B023, E731
+        clauses += [renamed(part) for part in body]
+        rows += [f"SELECT CAST({run} AS BIGINT) AS run_num, '{m}' AS metric, sim_val FROM ({renamed(v)})" for m, v in values.items()]
+    rounded = S.rnd("sim_val", "sim_val", 4)
+    return S.with_(
+        "RECURSIVE " + M.STATES, _ALL_RUNS, M.walk_sql("w0", True, *_OF_RUN), M.GENERATED, *clauses,
+        select=f"SELECT run_num, metric, {rounded} FROM ({' UNION ALL '.join(rows)})",
+    )
+
+
 def _walked(*clauses, select):
     return S.with_(
         "RECURSIVE " + M.STATES, M._PER_CUT, M.walk_sql("w0", False), *clauses, select=select
@@ -253,16 +287,7 @@ QUERIES = {
         _compare("day_hour_emd"),
         S.with_(PAIR, _EMD, select=f"SELECT {S.rnd('sim_val', 'sim_val', 4)} FROM emd"),
     ),
-    "log_metrics": (
-        log_metrics,
-        S.with_("RECURSIVE " + M.STATES, M._CASES, M.walk_sql("w0", True), M.GENERATED,
-            _GENERATED_PAIR, CYCLES, DL, _EMD, select=f"""
-            SELECT CAST(0 AS BIGINT) AS run_num, metric, {S.rnd("sim_val", "sim_val", 4)} FROM (
-              SELECT 'dl' AS metric, sim_val FROM dl
-              UNION ALL SELECT 'day_hour_emd', sim_val FROM emd
-              UNION ALL SELECT 'log_mae', sim_val FROM ({_LOG_MAE})
-              UNION ALL SELECT 'mae', sim_val FROM ({_MAE}))"""),
-    ),
+    "log_metrics": (log_metrics, _runs_sql()),
     "pool_occupancy": (
         occupancy,
         S.with_(S.USER_LOG, S.ROLED, """

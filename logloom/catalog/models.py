@@ -155,20 +155,20 @@ _NEXT_COLUMNS = f"""
 _RUN = f"'{SEED}-0'"
 
 
-def _drawn(alias, head, salt, keys, key="rs.ctx"):
+def _drawn(alias, head, salt, keys, key="rs.ctx", run=_RUN):
     """Join condition: the choice whose share holds the draw."""
-    u = draw(salt, *keys, _RUN)
+    u = draw(salt, *keys, run)
     return (
         f"{alias}.head = '{head}' AND {alias}.ctx = {key} AND {alias}.upto > {u} * {alias}.total"
         f" AND {alias}.upto - {alias}.n <= {u} * {alias}.total"
     )
 
 
-def walk_sql(clause: str, salted: bool) -> str:
+def walk_sql(clause: str, salted: bool, case: str = "h.id", run: str = _RUN) -> str:
     """Recursive steps from ``clause`` rows (id, win): wk(id, step, nx, rnx, dm, wm, win)."""
     if salted:
-        ac = _drawn("c", "ac", "ac", ["h.id", "h.step + 1"], "h.ctx")
-        rl = _drawn("q", "rl", "rl", ["h.id", "h.step + 1"], "h.ctx")
+        ac = _drawn("c", "ac", "ac", [case, "h.step + 1"], "h.ctx", run)
+        rl = _drawn("q", "rl", "rl", [case, "h.step + 1"], "h.ctx", run)
     else:
         ac = "c.head = 'ac' AND c.ctx = h.ctx AND c.rn = 1"
         rl = "q.head = 'rl' AND q.ctx = h.ctx AND q.rn = 1"

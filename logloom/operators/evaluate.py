@@ -12,7 +12,9 @@ from logloom.functions.arrays import total
 from logloom.functions.distance import similarity, timed_similarity
 from logloom.functions.times import micros, weekday
 from logloom.operators.features import add_calculated_times
-from logloom.operators.positions import global_rank, running_total
+from logloom.operators.positions import (
+    global_rank, grouped_running_total, null_safe_join, number_rows,
+)
 from logloom.runtime import pin
 from logloom.schema import LogSchema, drop_sentinels, prefix_cases
 
@@ -89,21 +91,32 @@ def describe(scores: DataFrame, params: dict) -> DataFrame:
     return scores.withColumns({k: F.lit(v) for k, v in experiment_descriptor(params).items()})
 
 
-def cycle_times(log: DataFrame, schema: LogSchema = LogSchema()) -> DataFrame:
+def cycle_times(log: DataFrame, schema: LogSchema = LogSchema(), by: tuple = ()) -> DataFrame:
     """(caseid, cycle_us): last end minus first order key of each case."""
     span = F.max(micros("end_timestamp")) - F.min(micros(schema.key))
-    return log.groupBy("caseid").agg(span.alias("cycle_us"))
+    return log.groupBy(*by, "caseid").agg(span.alias("cycle_us"))
 
 
-def log_mae(log: DataFrame, sim: DataFrame, schema: LogSchema = LogSchema()) -> DataFrame:
-    """Difference of the mean cycle times, in seconds."""
-    means = [cycle_times(x, schema).agg(F.avg("cycle_us").alias("m")) for x in (log, sim)]
-    both = means[0].withColumn("side", F.lit(1)).unionByName(means[1].withColumn("side", F.lit(-1)))
-    return both.agg((F.abs(F.sum(F.col("m") * F.col("side"))) / 1e6).alias("sim_val"))
+# The metrics below compare one log with all runs of generated logs in one plan. ``runs``
+# has ``run_num`` and case ids that are unique over all runs; ``numbers`` are the runs'.
+RUN = "run_num"
+
+
+def _for_each(df: DataFrame, numbers: list[int]) -> DataFrame:
+    """A small table of the log, once for each run."""
+    return df.withColumn(RUN, F.explode(F.array(*[F.lit(n) for n in numbers])))
+
+
+def _log_mae(log: DataFrame, runs: DataFrame, numbers: list[int], schema: LogSchema) -> DataFrame:
+    own = _for_each(cycle_times(log, schema).agg(F.avg("cycle_us").alias("own")), numbers)
+    means = cycle_times(runs, schema, (RUN,)).groupBy(RUN).agg(F.avg("cycle_us").alias("m"))
+    return means.join(own, RUN).select(RUN, (F.abs(F.col("own") - F.col("m")) / 1e6).alias("sim_val"))
 
 
-def couple(left: DataFrame, right: DataFrame, order: list[str], out: list[str]) -> DataFrame:
-    """Matches two weighted lists in order: (l, r, mass).
+def couple(
+    left: DataFrame, right: DataFrame, order: list[str], out: list[str], by: str | None = None
+) -> DataFrame:
+    """Matches two weighted lists in order, for each value of ``by``: (by, l, r, mass).
 
     Both sides hold distinct rows with a weight ``n``. Laid end to end in
     ``order`` they cut the same line; each stretch of it is one pair, so the
@@ -111,54 +124,155 @@ def couple(left: DataFrame, right: DataFrame, order: list[str], out: list[str])
     bounded mass, and within a slice the current row of either side is the last
     one seen.
     """
-    sides = []
-    for side in (left, right):
-        side = pin(side)
-        rows, mass = side.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        sides.append((running_total(side, order, "n", "_low", rows), mass))
-    line = min(mass for _, mass in sides)
+    if by is None:
+        sides = [x.withColumn("_by", F.lit(0)) for x in (left, right)]
+        return couple(*sides, order, out, "_by").drop("_by")
+    sides = [pin(side) for side in (left, right)]
+    masses = [x.groupBy(by).agg(F.sum("n").alias(m)) for x, m in zip(sides, ("_m", "_m2"))]
+    lines = masses[0].join(masses[1], by).select(by, F.least("_m", "_m2").alias("_line"))
+    lines = F.broadcast(pin(lines))  # a row for each run
     starts = []
-    for (side, _), name in zip(sides, ("l", "r")):
-        high = F.least(F.col("_low") + F.col("n"), F.lit(line)) - 1
+    for side, name in zip(sides, ("l", "r")):
+        side = grouped_running_total(side, by, order, "n", "_low").join(lines, by)
+        high = F.least(F.col("_low") + F.col("n"), F.col("_line")) - 1
         slices = F.sequence(F.expr(f"_low div {SLICE_MASS}"), F.floor(high / SLICE_MASS))
-        pieces = side.where(F.col("_low") < line).withColumn("slice", F.explode(slices))
+        pieces = side.where("_low < _line").withColumn("slice", F.explode(slices))
         at = F.greatest(F.col("_low"), F.col("slice") * SLICE_MASS)
-        starts.append(pieces.select("slice", at.alias("at"), F.struct(*out).alias(name)))
+        starts.append(pieces.select(by, "slice", "_line", at.alias("at"), F.struct(*out).alias(name)))
     merged = starts[0].unionByName(starts[1], allowMissingColumns=True)
-    merged = merged.groupBy("slice", "at").agg(
-        F.first("l", ignorenulls=True).alias("l"), F.first("r", ignorenulls=True).alias("r")
+    merged = merged.groupBy(by, "slice", "at").agg(
+        F.first("_line").alias("_line"),
+        F.first("l", ignorenulls=True).alias("l"),
+        F.first("r", ignorenulls=True).alias("r"),
     )
-    w = W.partitionBy("slice").orderBy("at")
+    w = W.partitionBy(by, "slice").orderBy("at")
     upto = w.rowsBetween(W.unboundedPreceding, 0)
-    end = F.least((F.col("slice") + 1) * SLICE_MASS, F.lit(line))
+    end = F.least((F.col("slice") + 1) * SLICE_MASS, F.col("_line"))
     return merged.select(
+        by,
         F.last("l", ignorenulls=True).over(upto).alias("l"),
         F.last("r", ignorenulls=True).over(upto).alias("r"),
         (F.coalesce(F.lead("at").over(w), end) - F.col("at")).alias("mass"),
     )
 
 
-def cycle_mae(log: DataFrame, sim: DataFrame, schema: LogSchema = LogSchema()) -> DataFrame:
-    """Mean difference of cycle times paired by rank, in seconds."""
-    sides = [
-        cycle_times(x, schema).groupBy("cycle_us").agg(F.count(F.lit(1)).alias("n"))
-        for x in (log, sim)
-    ]
-    pairs = couple(*sides, ["cycle_us"], ["cycle_us"])
+def _cycle_mae(log: DataFrame, runs: DataFrame, numbers: list[int], schema: LogSchema) -> DataFrame:
+    count = F.count(F.lit(1)).alias("n")
+    own = _for_each(cycle_times(log, schema).groupBy("cycle_us").agg(count), numbers)
+    theirs = cycle_times(runs, schema, (RUN,)).groupBy(RUN, "cycle_us").agg(count)
+    pairs = couple(own, theirs, ["cycle_us"], ["cycle_us"], RUN)
     error = F.sum(F.abs(F.col("l.cycle_us") - F.col("r.cycle_us")) * F.col("mass"))
-    return pairs.agg((error / F.sum("mass") / 1e6).alias("sim_val"))
+    return pairs.groupBy(RUN).agg((error / F.sum("mass") / 1e6).alias("sim_val"))
 
 
-def _traces(log: DataFrame, schema: LogSchema, fields: list[str]) -> DataFrame:
+def _traces(log: DataFrame, schema: LogSchema, fields: list[str], by: tuple = ()) -> DataFrame:
     """(caseid, tasks, ...) arrays per case in event order."""
     events = F.sort_array(F.collect_list(F.struct(*schema.order, "task", *fields))).alias("e")
-    return log.groupBy("caseid").agg(events).select(
-        "caseid", F.col("e.task").alias("tasks"), *[F.col(f"e.{f}").alias(f) for f in fields]
+    return log.groupBy(*by, "caseid").agg(events).select(
+        *by, "caseid", F.col("e.task").alias("tasks"), *[F.col(f"e.{f}").alias(f) for f in fields]
+    )
+
+
+def _control_flow(log: DataFrame, runs: DataFrame, numbers: list[int], schema: LogSchema) -> DataFrame:
+    count = F.count(F.lit(1))
+    own = _traces(log, schema, []).groupBy("tasks").agg(count.alias("nl"))
+    own = _for_each(pin(own), numbers)
+    theirs = _traces(runs, schema, [], (RUN,)).groupBy(RUN, "tasks").agg(count.alias("nr"))
+    both = own.join(theirs, [RUN, "tasks"], "full")
+    both = pin(both.select(RUN, "tasks", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("nl", "nr")]))
+    totals = both.groupBy(RUN).agg(
+        F.sum(F.least("nl", "nr")).alias("same"), F.greatest(F.sum("nl"), F.sum("nr")).alias("cases")
+    )
+    rest = both.withColumns({"size": F.size("tasks"), "key": F.array_join("tasks", "\x1f")})
+    residual = [
+        rest.select(RUN, "tasks", "size", "key", (F.col(a) - F.col(b)).alias("n")).where("n > 0")
+        for a, b in (("nl", "nr"), ("nr", "nl"))
+    ]
+    pairs = couple(*residual, ["size", "key"], ["tasks"], RUN)
+    pairs = pairs.select(RUN, F.col("l.tasks").alias("a"), F.col("r.tasks").alias("b"), "mass")
+    scored = pairs.groupBy(RUN, "a", "b").agg(F.sum("mass").alias("n"))
+    scored = scored.withColumn("s", similarity("a", "b"))
+    summed = scored.groupBy(RUN).agg(F.sum(F.col("s") * F.col("n")).alias("s"))
+    value = (F.coalesce("s", F.lit(0.0)) + F.col("same")) / F.greatest("cases", F.lit(1))
+    return totals.join(summed, RUN, "left").select(RUN, value.alias("sim_val"))
+
+
+def _timed_strings(log: DataFrame, runs: DataFrame, numbers: list[int], schema: LogSchema) -> DataFrame:
+    fields = schema.times
+    sides, tops, sizes = [], [], []
+    for x, by in ((log, ()), (runs, (RUN,))):
+        timed = add_calculated_times(x, schema)
+        top = timed.groupBy(*by).agg(*[F.max(f).alias(f) for f in fields])
+        tops.append(top if by else _for_each(top, numbers))
+        traces = _traces(timed, schema, fields, by)
+        traces = null_safe_join(traces, cycle_times(x, schema, by), [*by, "caseid"])
+        traces = pin(traces.withColumns({"size": F.size("tasks"), "key": F.array_join("tasks", "\x1f")}))
+        order = ["size", "key", "cycle_us", "caseid"]
+        if by:
+            sizes.append(traces.groupBy(RUN).agg(F.count(F.lit(1)).alias("n")))
+            ranked = number_rows(traces, [RUN], order, "rank")
+        else:
+            count = traces.count()
+            sizes.append(_for_each(log.sparkSession.range(1).select(F.lit(count).alias("n")), numbers))
+            ranked = global_rank(traces, order, "rank", count)
+        ranked = ranked.select(*by, "rank", F.struct(F.col("tasks").alias("task"), *fields).alias("side"))
+        sides.append(ranked.withColumnRenamed("side", "r" if by else "l"))
+    top = tops[0].unionByName(tops[1]).groupBy(RUN).agg(*[F.max(f).alias(f"_{f}") for f in fields])
+    pairs = sides[1].join(sides[0], "rank").join(F.broadcast(top), RUN)  # a row for each run
+
+    def shares(side):
+        share = lambda f: F.transform(
+            F.col(side)[f], lambda v: F.coalesce(F.try_divide(v, F.col(f"_{f}")), F.lit(0.0))
+        )
+        zero = F.transform(F.col(side)["task"], lambda v: F.lit(0.0))
+        times = {f: share(f) if f in fields else zero for f in ("dur", "wait")}
+        return F.struct(F.col(side)["task"].alias("task"), *[c.alias(f) for f, c in times.items()])
+
+    scaled = pairs.select(RUN, shares("l").alias("l"), shares("r").alias("r"))
+    summed = scaled.withColumn("s", timed_similarity("l", "r")).groupBy(RUN).agg(F.sum("s").alias("s"))
+    most = sizes[0].unionByName(sizes[1]).groupBy(RUN).agg(F.max("n").alias("n"))
+    value = F.coalesce("s", F.lit(0.0)) / F.greatest("n", F.lit(1))
+    return most.join(summed, RUN, "left").select(RUN, value.alias("sim_val"))
+
+
+def _day_hours(log: DataFrame, runs: DataFrame, numbers: list[int], schema: LogSchema) -> DataFrame:
+    def histogram(x, by, sign):
+        cells = x.select(*by, weekday(schema.key).alias("weekday"), F.hour(schema.key).alias("hour"))
+        counts = cells.groupBy(*by, "weekday", "hour").agg(F.count(F.lit(1)).alias("n"))
+        share = F.col("n") / F.sum("n").over(W.partitionBy(*by))  # at most 168 rows of a run
+        return counts.select(*by, "weekday", "hour", (share * sign).alias("share"))
+
+    grid = log.sparkSession.range(168).select(
+        F.expr("cast(id div 24 as int)").alias("weekday"),
+        F.expr("cast(id % 24 as int)").alias("hour"),
+        F.lit(0.0).alias("share"),
     )
+    own = _for_each(histogram(log, (), 1).unionByName(grid), numbers)
+    cells = own.unionByName(histogram(runs, (RUN,), -1))
+    cells = cells.groupBy(RUN, "weekday", "hour").agg(F.sum("share").alias("d"))
+    moved = F.abs(F.sum("d").over(W.partitionBy(RUN, "weekday").orderBy("hour")))
+    days = cells.withColumn("moved", moved).groupBy(RUN, "weekday").agg(F.sum("moved").alias("emd"))
+    return days.groupBy(RUN).agg(F.avg("emd").alias("sim_val"))
+
+
+_BY_RUN = {
+    "tsd": _timed_strings, "day_hour_emd": _day_hours, "log_mae": _log_mae, "dl": _control_flow,
+    "mae": _cycle_mae,
+}
 
 
-def _variants(log: DataFrame, schema: LogSchema) -> DataFrame:
-    return _traces(log, schema, []).groupBy("tasks").agg(F.count(F.lit(1)).alias("n"))
+def _of_one(metric: str, log: DataFrame, sim: DataFrame, schema: LogSchema) -> DataFrame:
+    return _BY_RUN[metric](log, sim.withColumn(RUN, F.lit(0)), [0], schema).select("sim_val")
+
+
+def log_mae(log: DataFrame, sim: DataFrame, schema: LogSchema = LogSchema()) -> DataFrame:
+    """Difference of the mean cycle times, in seconds."""
+    return _of_one("log_mae", log, sim, schema)
+
+
+def cycle_mae(log: DataFrame, sim: DataFrame, schema: LogSchema = LogSchema()) -> DataFrame:
+    """Mean difference of cycle times paired by rank, in seconds."""
+    return _of_one("mae", log, sim, schema)
 
 
 def control_flow_similarity(
@@ -169,24 +283,7 @@ def control_flow_similarity(
     Cases with equal sequences are paired first; what is left is paired in the
     order (length, sequence). Unpaired cases count as 0.
     """
-    left, right = (_variants(x, schema) for x in (log, sim))
-    both = left.withColumnRenamed("n", "nl").join(right.withColumnRenamed("n", "nr"), "tasks", "full")
-    both = pin(both.select("tasks", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("nl", "nr")]))
-    same, nl, nr = both.agg(
-        F.sum(F.least("nl", "nr")), F.sum("nl"), F.sum("nr")
-    ).first()  # three numbers
-    key = F.array_join("tasks", "\x1f")
-    rest = both.withColumns({"size": F.size("tasks"), "key": key})
-    residual = [
-        rest.select("tasks", "size", "key", (F.col(a) - F.col(b)).alias("n")).where("n > 0")
-        for a, b in (("nl", "nr"), ("nr", "nl"))
-    ]
-    pairs = couple(*residual, ["size", "key"], ["tasks"])
-    pairs = pairs.select(F.col("l.tasks").alias("a"), F.col("r.tasks").alias("b"), "mass")
-    scored = pairs.groupBy("a", "b").agg(F.sum("mass").alias("n"))
-    scored = scored.withColumn("s", similarity("a", "b"))
-    summed = F.coalesce(F.sum(F.col("s") * F.col("n")), F.lit(0.0)) + float(same or 0)
-    return scored.agg((summed / float(max(nl or 0, nr or 0, 1))).alias("sim_val"))
+    return _of_one("dl", log, sim, schema)
 
 
 def timed_string_similarity(
@@ -198,49 +295,12 @@ def timed_string_similarity(
     activity costs half its difference in duration and in wait, each as a share
     of the largest in either log. Unpaired cases count as 0.
     """
-    timed = [add_calculated_times(x, schema) for x in (log, sim)]
-    fields = schema.times
-    tops = reduce(DataFrame.unionByName, [x.select(*fields) for x in timed])
-    tops = tops.agg(*[F.max(f) for f in fields]).first()
-    ranked, sizes = [], []
-    for x in timed:
-        shares = {f: F.try_divide(F.col(f), F.lit(top)) for f, top in zip(fields, tops)}
-        shares = {f: F.coalesce(c, F.lit(0.0)) for f, c in shares.items()}
-        shares.setdefault("wait", F.lit(0.0))
-        traces = _traces(x.withColumns(shares), schema, ["dur", "wait"])
-        traces = traces.join(cycle_times(x, schema), "caseid").withColumns(
-            {"size": F.size("tasks"), "key": F.array_join("tasks", "\x1f")}
-        )
-        traces = pin(traces)
-        sizes.append(traces.count())
-        order = ["size", "key", "cycle_us", "caseid"]
-        side = F.struct(F.col("tasks").alias("task"), "dur", "wait")
-        ranked.append(global_rank(traces, order, "rank", sizes[-1]).select("rank", side.alias("side")))
-    left, right = ranked[0].withColumnRenamed("side", "l"), ranked[1].withColumnRenamed("side", "r")
-    scored = left.join(right, "rank").withColumn("s", timed_similarity("l", "r"))
-    summed = F.coalesce(F.sum("s"), F.lit(0.0))
-    return scored.agg((summed / float(max(*sizes, 1))).alias("sim_val"))
+    return _of_one("tsd", log, sim, schema)
 
 
 def day_hour_emd(log: DataFrame, sim: DataFrame, schema: LogSchema = LogSchema()) -> DataFrame:
     """Earth mover's distance of the hourly histograms, averaged over weekdays."""
-    def histogram(x, sign):
-        cells = x.select(weekday(schema.key).alias("weekday"), F.hour(schema.key).alias("hour"))
-        counts = cells.groupBy("weekday", "hour").agg(F.count(F.lit(1)).alias("n"))
-        share = F.col("n") / F.sum("n").over(W.partitionBy())  # at most 168 rows
-        return counts.select("weekday", "hour", (share * sign).alias("share"))
-
-    spark = log.sparkSession
-    grid = spark.range(168).select(
-        F.expr("cast(id div 24 as int)").alias("weekday"),
-        F.expr("cast(id % 24 as int)").alias("hour"),
-        F.lit(0.0).alias("share"),
-    )
-    cells = histogram(log, 1).unionByName(histogram(sim, -1)).unionByName(grid)
-    cells = cells.groupBy("weekday", "hour").agg(F.sum("share").alias("d"))
-    moved = F.sum("d").over(W.partitionBy("weekday").orderBy("hour"))
-    days = cells.withColumn("moved", F.abs(moved)).groupBy("weekday").agg(F.sum("moved").alias("emd"))
-    return days.agg(F.avg("emd").alias("sim_val"))
+    return _of_one("day_hour_emd", log, sim, schema)
 
 
 METRICS = {
@@ -257,16 +317,14 @@ def compare_logs(
 ) -> DataFrame:
     """(run_num, metric, sim_val): each run of a generated log against ``log``.
 
-    ``runs`` has ``run_num``; its events need the schema's order columns.
+    ``runs`` has ``run_num``; its events need the schema's order columns. All runs go
+    through one plan for each metric, whatever their number.
     """
     log = pin(prefix_cases(drop_sentinels(log)))
-    runs = pin(drop_sentinels(runs))
-    numbers = sorted(r[0] for r in runs.select("run_num").distinct().collect())
-    rows = [
-        METRICS[metric](log, runs.where(F.col("run_num") == run), schema).select(
-            F.lit(run).alias("run_num"), F.lit(metric).alias("metric"), "sim_val"
-        )
-        for run in numbers
-        for metric in metrics
+    own_case = F.concat_ws("\x1f", F.col(RUN), F.col("caseid"))
+    runs = pin(drop_sentinels(runs).withColumn("caseid", own_case))
+    numbers = sorted(r[0] for r in runs.select(RUN).distinct().collect())  # repetitions
+    tables = [
+        _BY_RUN[m](log, runs, numbers, schema).select(RUN, F.lit(m).alias("metric"), "sim_val") for m in metrics
     ]
-    return reduce(DataFrame.unionByName, rows)
+    return reduce(DataFrame.unionByName, tables)

@@ -113,28 +113,16 @@ def global_rank(df: DataFrame, order: list, out: str, rows: int) -> DataFrame:
     return sliced_rank(df, [], order, out)
 
 
-def running_total(df: DataFrame, order: list[str], value: str, out: str, rows: int) -> DataFrame:
-    """Sum of ``value`` over the rows before the current one, in ``order``."""
-    if rows <= HOT_ROWS:
-        before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
-    ranked = sliced_rank(df, [], order, "_rank").withColumn(
-        "_block", F.floor((F.col("_rank") - 1) / SEGMENT_ROWS)
-    )
-    ranked = pin(ranked)
-    earlier = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = (
-        ranked.groupBy("_block")
-        .agg(F.sum(value).alias("_sum"))
-        .select("_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carry"))
-    )
-    before = W.partitionBy("_block").orderBy("_rank").rowsBetween(W.unboundedPreceding, -1)
-    local = F.coalesce(F.sum(value).over(before), F.lit(0))
-    return (
-        ranked.join(F.broadcast(blocks), "_block")
-        .withColumn(out, local + F.col("_carry"))
-        .drop("_rank", "_block", "_carry")
-    )
+def grouped_running_total(df: DataFrame, by: str, order: list[str], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows before the current one in its group, in ``order``."""
+    hot = hot_groups(df, [by])
+    before = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    total = F.coalesce(F.sum(value).over(before), F.lit(0))
+    if not hot:
+        return df.withColumn(out, total)
+    plain = df.where(~_is_hot([by], hot)).withColumn(out, total)
+    split = sliced_totals(df.where(_is_hot([by], hot)), [by], order, value, out)
+    return plain.unionByName(split.withColumn(out, F.col(out) - F.col(value)))
 
 
 def grouped_medians(

@@ -13,11 +13,12 @@ from logloom.operators.evaluate import (
 )
 from logloom.operators.features import sample_columns
 from logloom.operators.ngram import ARG_MAX, RANDOM_CHOICE, NgramModel, predict_next
+from logloom.operators.routing import RoutedModel, fit_routed, predict_routed
 from logloom.operators.samples import (
     next_event_samples, ngram_samples, suffix_samples, windowed_samples,
 )
 from logloom.operators.walks import generate_log, predict_suffixes, timed_choices
-from logloom.plans.training import Prepared
+from logloom.plans.training import Prepared, training_samples
 
 
 def _seconds(prepared: Prepared, time: str):
@@ -65,6 +66,32 @@ def next_event_records(
     return rows.select(*out)
 
 
+def _routed_columns(prepared: Prepared) -> list[str]:
+    clock = "daytime" if "daytime" in prepared.train.columns else "daytime_norm"
+    return ["ac_index", "rl_index", *prepared.schema.times, clock, "weekday"]
+
+
+def fit_heads(prepared: Prepared, n: int = 5, min_support: int = 1) -> RoutedModel:
+    """A next-event model whose heads see what the prepared model type routes to them."""
+    samples = training_samples(prepared, n, _routed_columns(prepared))
+    heads = prepared.spec.heads
+    return fit_routed(samples, heads, n, prepared.activities.end, prepared.schema.times, min_support)
+
+
+def routed_records(prepared: Prepared, model: RoutedModel) -> DataFrame:
+    """Expected and predicted next events of the test part by the heads' own contexts."""
+    samples = windowed_samples(
+        prepared.test, _routed_columns(prepared), model.n, prepared.ends, prepared.schema, False, prepared.hot
+    )
+    rows = predict_routed(samples, model)
+    out = ["caseid", "cut", F.col("ac_index_next").alias("ac_expect"), "ac_pred",
+           F.col("rl_index_next").alias("rl_expect"), "rl_pred"]
+    for t in prepared.schema.times:
+        name = _names(prepared, t)
+        out += [F.col(f"{t}_next").alias(f"{name}_expect"), F.col(f"{t}_pred").alias(f"{name}_pred")]
+    return rows.select(*out)
+
+
 def suffix_records(
     prepared: Prepared, model: NgramModel, variant: str = ARG_MAX, seed: int = 0, run: int = 0
 ) -> DataFrame:

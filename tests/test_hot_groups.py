@@ -49,15 +49,17 @@ def test_number_rows(skewed_log, split_hot):
     assert rows_of(split, "event_key", "pos") == plain
 
 
-def test_global_rank_and_running_total(spark, split_hot):
+def test_global_rank_and_running_totals(spark, split_hot):
     df = spark.range(200).select(F.col("id"), (F.col("id") * 7 % 13).alias("n"))
     ranked = positions.global_rank(df, [F.desc("id")], "rank", 200)
     assert all(r["rank"] == 200 - r["id"] for r in ranked.collect())
-    total, upto = 0, {}
+    df = df.withColumn("g", (F.col("id") % 10 < 7).cast("int"))
+    upto, totals = {}, {0: 0, 1: 0}
     for i in range(200):
-        upto[i] = total
-        total += i * 7 % 13
-    got = positions.running_total(df, ["id"], "n", "before", 200)
+        g = int(i % 10 < 7)
+        upto[i] = totals[g]
+        totals[g] += i * 7 % 13
+    got = positions.grouped_running_total(df, "g", ["id"], "n", "before")
     assert {r["id"]: r["before"] for r in got.collect()} == upto
 
 
