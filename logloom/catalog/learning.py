@@ -6,14 +6,20 @@ from pyspark.sql import functions as F
 
 from logloom.catalog import models as M
 from logloom.catalog import sql as S
-from logloom.catalog.common import big, prepared, r6, user_roles
+from logloom.catalog.common import INTERVAL, big, prepared, r6, text, user_roles
+from logloom.functions.arrays import push
+from logloom.operators import evaluate as E
 from logloom.operators import learners as L
 from logloom.operators import trials as X
-from logloom.operators.samples import ngram_samples
+from logloom.operators.features import filter_features
+from logloom.operators.ngram import RANDOM_CHOICE
+from logloom.operators.pairs import embedding_dimension
+from logloom.operators.samples import ngram_samples, one_hot_labels
+from logloom.plans.prediction import next_event_records, predictions
 from logloom.plans.specs import model_spec
 from logloom.plans.training import prepare, training_samples, vectorize
-from logloom.runtime import shared_folder
-from logloom.sources import runs
+from logloom.runtime import pin, shared_folder
+from logloom.sources import logs, runs
 from logloom.sources.adapters import user_day_log
 
 SPACE = {"n_size": [1, 2, 3], "norm_method": ["max", "lognorm"]}
@@ -99,6 +105,102 @@ def run_parameters(spark, folder):
     )
 
 
+def _path(spark, kind):
+    return f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+
+
+def predictions_roundtrip(spark, folder):
+    """Next-event predictions of two runs, written by run and read back."""
+    ready, model = M.trained(spark, folder)
+    rows = predictions(ready, model, "predict_next", RANDOM_CHOICE, 2, M.SEED)
+    rows = rows.select("run_num", "caseid", big("cut"), big("ac_pred"), big("rl_pred"))
+    path = _path(spark, "predictions")
+    runs.write_predictions(rows, path)
+    kept = "run_num int, caseid string, cut bigint, ac_pred bigint, rl_pred bigint"
+    back = runs.read_predictions(spark, path, kept)
+    return back.select(big("run_num"), "caseid", "cut", "ac_pred", "rl_pred")
+
+
+def trials_roundtrip(spark, folder):
+    """Trials appended in two parts; the one that the best of them matches."""
+    path = _path(spark, "trials")
+    trials = pin(_trials(spark, folder))
+    for method in ("max", "lognorm"):
+        runs.append_trials(trials.where(F.col("norm_method") == method), path)
+    stored = runs.read_trials(spark, path)
+    best = X.matching_result(trials, stored.withColumn("found", F.lit(True)).select("output", "found"))
+    rows = stored.join(best, "output", "left")
+    return rows.select(
+        big("n_size"), "norm_method", F.round("loss", 5).alias("loss"), "output",
+        F.coalesce("found", F.lit(False)).alias("best"),
+        F.round(F.col("scale_args")["dur"]["max_value"], 6).alias("dur_max"),
+    )
+
+
+def embedding_roundtrip(spark, folder):
+    """A table of vectors by activity; rows whose name is not that of their number go."""
+    log, activities, _, _ = prepared(spark, folder)
+    counts = log.groupBy("ac_index").agg(F.count(F.lit(1)).cast("float").alias("n"))
+    rows = activities.table.join(counts, F.col("idx") == F.col("ac_index"), "left")
+    vec = F.array(F.coalesce("n", F.lit(0.0).cast("float")), F.col("idx").cast("float"))
+    name = F.when(F.col("idx") == 2, "someone else").otherwise(F.concat(F.lit(" "), "value"))
+    path = _path(spark, "embeddings")
+    runs.write_embedding(rows.select("idx", name.alias("name"), vec.alias("vec")), path)
+    back = runs.read_embedding(spark, path, activities)
+    return back.select(big("idx"), "name", F.col("vec")[0].cast("bigint").alias("events"),
+                       F.col("vec")[1].cast("bigint").alias("code"))
+
+
+def one_hot_targets(spark, folder):
+    """Samples with 0/1 arrays of the next activity and role as targets."""
+    log, activities, roles, ends = prepared(spark, folder)
+    rows = ngram_samples(log, ["ac_index", "rl_index"], 2, ends)
+    rows = one_hot_labels(rows, {"ac_index": activities.size, "rl_index": roles.size})
+    return rows.select("caseid", big("cut"), text("ac_index_prefix"), text("ac_index_next"), text("rl_index_next"))
+
+
+def model_features(spark, folder):
+    """The columns that a model uses, of a log with more."""
+    log, _, _, _ = prepared(spark, folder)
+    rows = filter_features(log.withColumn("cost", F.lit(1)), INTERVAL, ("weekday",))
+    return rows.select(
+        *[c for c in rows.columns if c not in ("start_timestamp", "end_timestamp", "event_key", "ac_index",
+                                               "rl_index", "weekday", "dur", "wait")],
+        big("ac_index"), big("rl_index"), big("weekday"), r6("dur"), r6("wait"), big("event_key", "event_id"),
+    )
+
+
+def described_scores(spark, folder):
+    """The mean accuracy and the experiment's parameters, without bookkeeping."""
+    ready, model = M.trained(spark, folder)
+    mean = E.mean_metric(E.accuracy(next_event_records(ready, model)), "accuracy")
+    params = {"n_size": M.N, "norm_method": "lognorm", "read_options": "x", "dim": "y", "is_single_exec": "z"}
+    rows = E.describe(mean, params)
+    return rows.select(r6("mean"), *[c for c in rows.columns if c != "mean"]).withColumn("n_size", big("n_size"))
+
+
+def pushed_windows(spark, folder):
+    """Windows of three activities slid by the activity that follows, and the embedding's size."""
+    log, activities, roles, ends = prepared(spark, folder)
+    rows = ngram_samples(log, ["ac_index"], 3, ends)
+    size = embedding_dimension(activities.size, roles.size)
+    pushed = push(F.col("ac_index_prefix"), F.col("ac_index_next"), 3)
+    return rows.select("caseid", big("cut"), text(pushed, name="pushed"), F.lit(size).cast("bigint").alias("dim"))
+
+
+def stale_columns(spark, folder):
+    """Logs with leftovers of an exported frame: dropped if all are there, else kept."""
+    out = []
+    for stale in (("Unnamed: 0", "role"), ("role",)):
+        path = _path(spark, "stale")
+        log = user_day_log(spark, folder).withColumns({c: F.lit("old") for c in stale})
+        logs.write_log(log, path)
+        rows = logs.read_test_log(spark, path)
+        kept = F.lit(",".join(c for c in rows.columns if c in ("Unnamed: 0", "role"))).alias("kept")
+        out.append(rows.groupBy("task").agg(F.count(F.lit(1)).alias("events")).select("task", "events", kept))
+    return out[0].unionByName(out[1])
+
+
 _LOSS = f"""
 lim AS (SELECT min(ln(1 + dur)) AS dlo, max(ln(1 + dur)) AS dhi, min(ln(1 + wait)) AS wlo,
     max(ln(1 + wait)) AS whi, max(dur) AS dmax, max(wait) AS wmax FROM tr),
@@ -152,6 +254,70 @@ QUERIES = {
             SELECT CAST(0 AS BIGINT) AS label, CAST(round(count(*) / 3) AS BIGINT) AS n FROM tr
             UNION ALL SELECT 1, 2 * CAST(round(count(*) / 3) AS BIGINT) FROM tr"""),
     ),
+    "predictions_roundtrip": (
+        predictions_roundtrip,
+        S.with_(M.STATES, M._RESOLVED, select=" UNION ALL ".join(f"""
+            SELECT CAST({run} AS BIGINT) AS run_num, caseid, cut, c.nx AS ac_pred, q.nx AS rl_pred FROM rs
+            JOIN ch c ON {M._drawn("c", "ac", "ac", ["caseid", "cut"], run=f"'{M.SEED}-{run}'")}
+            JOIN ch q ON {M._drawn("q", "rl", "rl", ["caseid", "cut"], run=f"'{M.SEED}-{run}'")}
+            WHERE cut < len""" for run in range(2))),
+    ),
+    "trials_roundtrip": (
+        trials_roundtrip,
+        S.with_(M.MODEL, _LOSS, select=f"""
+            SELECT CAST(n_size AS BIGINT) AS n_size, norm_method, {S.rnd("loss", "loss", 5)},
+              'trial_' || n_size || '_' || norm_method AS output,
+              row_number() OVER (ORDER BY loss, 'trial_' || n_size || '_' || norm_method) = 1 AS best,
+              round(CASE norm_method WHEN 'max' THEN dmax ELSE dhi END, 6) AS dur_max
+            FROM tri, lim"""),
+    ),
+    "embedding_roundtrip": (
+        embedding_roundtrip,
+        S.with_(S.PREPARED, select="""
+            SELECT idx, value AS name, (SELECT count(*) FROM en WHERE ac = idx) AS events, idx AS code
+            FROM (SELECT value, idx FROM aci UNION ALL SELECT 'start', 0 UNION ALL SELECT 'end', ac_end FROM nd)
+            WHERE idx <> 2"""),
+    ),
+    "one_hot_targets": (
+        one_hot_targets,
+        S.with_(S.PREPARED, """
+tq AS (SELECT caseid, any_value(len) AS len, [0, 0] || list(ac ORDER BY pos) || [any_value(ac_end)] AS a,
+    list(rl ORDER BY pos) || [any_value(rl_end)] AS r FROM en, nd GROUP BY caseid)
+""", select="""
+            SELECT caseid, cut, array_to_string(a[cut + 1 : cut + 2], ',') AS ac_index_prefix,
+              array_to_string(list_transform(range(ac_end + 1), lambda i: CAST(i = a[cut + 3] AS INT)), ',') AS ac_index_next,
+              array_to_string(list_transform(range(rl_end + 1), lambda i: CAST(i = r[cut + 1] AS INT)), ',') AS rl_index_next
+            FROM tq, nd, LATERAL (SELECT unnest(range(len + 1)) AS cut)"""),
+    ),
+    "model_features": (
+        model_features,
+        S.with_(S.PREPARED, select=f"""
+            SELECT caseid, task, usr AS "user", role, ac AS ac_index, rl AS rl_index, weekday,
+              {S.r6("dur")}, {S.r6("wait")}, o1 AS event_id FROM en"""),
+    ),
+    "described_scores": (
+        described_scores,
+        S.with_(M.STATES, M._RESOLVED, select=f"""
+            SELECT {S.r6("(avg(CAST(a[cut + 1] = c.nx AS INT)) + avg(CAST(r[cut + 1] = q.nx AS INT))) / 2", "mean")},
+              CAST({M.N} AS BIGINT) AS n_size, 'lognorm' AS norm_method
+            FROM rs JOIN ch c ON c.head = 'ac' AND c.ctx = rs.ctx AND c.rn = 1
+              JOIN ch q ON q.head = 'rl' AND q.ctx = rs.ctx AND q.rn = 1 WHERE cut < len"""),
+    ),
+    "pushed_windows": (
+        pushed_windows,
+        S.with_(S.PREPARED, """
+tq AS (SELECT caseid, any_value(len) AS len, [0, 0, 0] || list(ac ORDER BY pos) || [any_value(ac_end)] AS a
+  FROM en, nd GROUP BY caseid)
+""", select="""
+            SELECT caseid, cut, array_to_string(a[cut + 2 : cut + 4], ',') AS pushed,
+              CAST(ceil(pow((ac_end + 1) * (rl_end + 1), 0.25)) AS BIGINT) AS dim
+            FROM tq, nd, LATERAL (SELECT unnest(range(len + 1)) AS cut)"""),
+    ),
+    "stale_columns": (
+        stale_columns,
+        S.with_(S.USER_DAY_LOG, select="""
+            SELECT task, count(*) AS events, kept FROM lg, (VALUES (''), ('role')) v(kept) GROUP BY task, kept"""),
+    ),
     "run_parameters": (
         run_parameters,
         S.with_(M.MODEL, select=f"""

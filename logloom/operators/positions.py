@@ -66,16 +66,20 @@ def _slices(df: DataFrame, by: list[str], order: list) -> DataFrame:
 
 
 def sliced_totals(df: DataFrame, by: list[str], order: list, weight: str, out: str) -> DataFrame:
-    """Running sum of ``weight`` within ``by``, current row included, by slices."""
+    """Running sum of ``weight`` within ``by``, current row included, by slices.
+
+    What is carried into a slice is a written table with a row for each slice and group;
+    the planner knows its size and joins it accordingly, however many groups there are.
+    """
     rows = _slices(df, by, order)
     earlier = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     carried = rows.groupBy(*by, "_slice").agg(F.sum(weight).alias("_sum"))
-    carried = carried.select(
+    carried = pin(carried.select(
         *by, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carry")
-    )
+    ))
     upto = W.partitionBy(*by, "_slice").orderBy("_id").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_local", F.sum(weight).over(upto))
-    rows = null_safe_join(rows, F.broadcast(carried), [*by, "_slice"])  # one per slice and group
+    rows = null_safe_join(rows, carried, [*by, "_slice"])
     return rows.select(*df.columns, (F.col("_local") + F.col("_carry")).alias(out))
 
 

@@ -17,11 +17,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.draws import uniform
+from logloom.functions.scaling import fit_scalers, scaled
 from logloom.operators.positions import grouped_medians
 from logloom.plans.specs import ACTIVITIES, CONTEXT, ROLES, TIMES
 from logloom.runtime import pin
 
 CATEGORIES = {ACTIVITIES: "ac_index_prefix", ROLES: "rl_index_prefix"}
+# Floor of a predicted probability, as in the usual cross-entropy.
+EPSILON = 1e-7
 SEEN = ["ac_index_prefix", "rl_index_prefix", "_times", "_clock"]
 
 
@@ -122,3 +126,121 @@ def predict_routed(samples: DataFrame, model: RoutedModel) -> DataFrame:
         known = known.join(deepest(head, own, ["next"]), SEEN)
     known = known.join(deepest("time", model.times, list(model.names)), SEEN, "left")
     return samples.join(pin(known), SEEN).drop("_times", "_clock")
+
+
+def _routes(heads_of: dict[str, dict], head: str) -> dict[tuple[str, ...], int]:
+    """A number for each set of features that some model type gives to the head."""
+    sets = sorted({heads[head] for heads in heads_of.values()})
+    return {groups: i for i, groups in enumerate(sets)}
+
+
+def routed_losses(
+    train: DataFrame,
+    valid: DataFrame,
+    configs: DataFrame,
+    heads_of: dict[str, dict],
+    end: int,
+    times: list[str],
+) -> DataFrame:
+    """``configs`` (model_type, n_size, norm_method) with the validation ``loss`` of each.
+
+    All configurations share one scan of either part: model types that give a head the
+    same features share its counts, a shorter ``n_size`` looks up shorter contexts, and
+    scales apply to the same times. The loss is the cross-entropy of activity and role
+    plus the mean absolute error of the scaled times.
+    """
+    spark = train.sparkSession
+    wanted = configs.select("model_type", "n_size", "norm_method").collect()  # a handful
+    sizes, methods = sorted({r["n_size"] for r in wanted}), sorted({r["norm_method"] for r in wanted})
+    heads_of = {t: heads_of[t] for t in {r["model_type"] for r in wanted}}
+    routes = {head: _routes(heads_of, head) for head in ("ac", "rl", "time")}
+    labels = {"ac": "ac_index_next", "rl": "rl_index_next"}
+    values = [*labels.values(), *[f"{t}_next" for t in times]]
+    train, valid = (pin(with_sides(x, times).select(*SEEN, *values)) for x in (train, valid))
+    top = sizes[-1]
+
+    def every(heads, **more):
+        return [
+            F.struct(F.lit(head).alias("head"), F.lit(route).alias("route"), c["level"].alias("level"),
+                     c["ctx"].alias("ctx"), *[F.col(v[head]).alias(k) for k, v in more.items()])
+            for head in heads for groups, route in routes[head].items() for c in contexts(groups, top)
+        ]
+
+    context = ["head", "route", "level", "ctx"]
+    counted = train.groupBy(*SEEN, *labels.values()).agg(F.count(F.lit(1)).alias("n"))
+    counts = counted.select("n", F.explode(F.array(*every(labels, next=labels))).alias("c")).select("n", "c.*")
+    counts = pin(counts.groupBy(*context, "next").agg(F.sum("n").alias("n")))
+    totals = counts.groupBy(*context).agg(F.sum("n").alias("total"))
+    events = train.where(F.col("ac_index_next") != end)
+    rows = events.select(F.explode(F.array(*every(["time"]))).alias("c"), *[F.col(f"{t}_next").alias(t) for t in times])
+    medians = grouped_medians(pin(rows.select("c.*", *times)), context, times)
+    seen = pin(valid.select(*SEEN).distinct())
+    asked = seen.select(*SEEN, F.explode(F.array(*every(routes))).alias("c")).select(*SEEN, "c.*")
+
+    def deepest(table, fields):
+        size = F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n_size")
+        found = asked.join(table, context).select("*", size).where("level <= 2 * n_size + 1")
+        packed = F.max_by(F.struct("level", "ctx", *fields), "level").alias("f")
+        return found.groupBy(*SEEN, "head", "route", "n_size").agg(packed).select(
+            *SEEN, "head", "route", "n_size", "f.*"
+        )
+
+    weighed = valid.groupBy(*SEEN, *labels.values()).agg(F.count(F.lit(1)).alias("w"))
+    chosen = weighed.join(deepest(totals, ["total"]), SEEN)
+    chosen = chosen.withColumn("next", F.when(F.col("head") == "ac", F.col(labels["ac"])).otherwise(F.col(labels["rl"])))
+    hit = chosen.join(counts, [*context, "next"], "left")
+    p = F.greatest(F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)), F.lit(EPSILON))
+    entropy = (F.sum(-F.log(p) * F.col("w")) / F.sum("w")).alias("ce")
+    entropies = pin(hit.groupBy("head", "route", "n_size").agg(entropy))
+    fits = {f"{t}_next": t for t in times}
+    args = {m: dict(zip(times, fit_scalers(events, {c: m for c in fits}).values())) for m in methods}
+    guessed = valid.join(deepest(medians, times), SEEN)
+
+    def error(m):
+        parts = [
+            F.abs(F.when(F.col("ac_index_next") == end, 0.0).otherwise(scaled(F.col(f"{t}_next"), args[m][t], m))
+                  - scaled(F.col(t), args[m][t], m)) for t in times
+        ]
+        return F.avg(sum(parts) / len(parts)).alias(m)
+
+    errors = pin(guessed.groupBy("route", "n_size").agg(*[error(m) for m in methods]))
+    pairs = F.array(*[F.struct(F.lit(m).alias("norm_method"), F.col(m).alias("mae")) for m in methods])
+    errors = errors.select(F.col("route").alias("time"), "n_size", F.explode(pairs).alias("e")).select("time", "n_size", "e.*")
+    routed = [(t, *[routes[h][heads[h]] for h in ("ac", "rl", "time")]) for t, heads in heads_of.items()]
+    out = configs.join(spark.createDataFrame(routed, "model_type string, ac int, rl int, time int"), "model_type")
+    for head in ("ac", "rl"):
+        own = entropies.where(F.col("head") == head)
+        own = own.select(F.col("route").alias(head), "n_size", F.col("ce").alias(f"ce_{head}"))
+        out = out.join(own, [head, "n_size"])
+    out = out.join(errors, ["time", "n_size", "norm_method"])
+    return out.select(*configs.columns, (F.col("ce_ac") + F.col("ce_rl") + F.col("mae")).alias("loss"))
+
+
+def successive_halving(
+    train: DataFrame,
+    valid: DataFrame,
+    configs: DataFrame,
+    heads_of: dict[str, dict],
+    end: int,
+    times: list[str],
+    shares: tuple[float, ...] = (0.25, 0.5, 1.0),
+    seed: int = 0,
+) -> DataFrame:
+    """(rung, model_type, n_size, norm_method, loss): each rung learns from a larger share.
+
+    The better half of a rung's configurations, rounded up, goes on to the next; ties are
+    in the order of the configuration. ``train`` has ``caseid``; a case that one rung
+    learns from is in all later ones.
+    """
+    names = ["model_type", "n_size", "norm_method"]
+    rungs = []
+    for k, share in enumerate(shares):
+        cases = train.where(uniform(F.lit("rung"), F.col("caseid"), str(seed)) < share)
+        losses = pin(routed_losses(cases, valid, configs, heads_of, end, times))
+        rungs.append(losses.select(F.lit(k).alias("rung"), *names, "loss"))
+        kept = losses.orderBy("loss", *names).limit(-(-losses.count() // 2))  # configurations
+        configs = pin(kept.select(*names))
+    out = rungs[0]
+    for more in rungs[1:]:
+        out = out.unionByName(more)
+    return out

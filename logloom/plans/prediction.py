@@ -66,14 +66,14 @@ def next_event_records(
     return rows.select(*out)
 
 
-def _routed_columns(prepared: Prepared) -> list[str]:
+def routed_columns(prepared: Prepared) -> list[str]:
     clock = "daytime" if "daytime" in prepared.train.columns else "daytime_norm"
     return ["ac_index", "rl_index", *prepared.schema.times, clock, "weekday"]
 
 
 def fit_heads(prepared: Prepared, n: int = 5, min_support: int = 1) -> RoutedModel:
     """A next-event model whose heads see what the prepared model type routes to them."""
-    samples = training_samples(prepared, n, _routed_columns(prepared))
+    samples = training_samples(prepared, n, routed_columns(prepared))
     heads = prepared.spec.heads
     return fit_routed(samples, heads, n, prepared.activities.end, prepared.schema.times, min_support)
 
@@ -81,7 +81,7 @@ def fit_heads(prepared: Prepared, n: int = 5, min_support: int = 1) -> RoutedMod
 def routed_records(prepared: Prepared, model: RoutedModel) -> DataFrame:
     """Expected and predicted next events of the test part by the heads' own contexts."""
     samples = windowed_samples(
-        prepared.test, _routed_columns(prepared), model.n, prepared.ends, prepared.schema, False, prepared.hot
+        prepared.test, routed_columns(prepared), model.n, prepared.ends, prepared.schema, False, prepared.hot
     )
     rows = predict_routed(samples, model)
     out = ["caseid", "cut", F.col("ac_index_next").alias("ac_expect"), "ac_pred",

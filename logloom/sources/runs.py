@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators.encode import CategoryIndex
+from logloom.sources import committed
 
 PARAMETERS = (
     "settings map<string,string>, one_timestamp boolean, max_trace_size bigint, "
-    "scale_args map<string,map<string,string>>, "
-    "index_ac map<string,string>, index_rl map<string,string>"
+    "scale_args map<string,map<string,string>>"
 )
+INDEX = "kind string, idx int, value string"
 
 
 @dataclass(frozen=True)
@@ -27,42 +28,33 @@ class RunParameters:
     roles: CategoryIndex
 
 
-def _index_map(index: CategoryIndex, out: str) -> DataFrame:
-    """The index as one map; it is a dimension, exported as the run's metadata."""
-    entries = F.collect_list(F.struct(F.col("idx").cast("string"), F.col("value")))
-    return index.table.agg(F.map_from_entries(F.sort_array(entries)).alias(out))
-
-
 def write_parameters(
     path: str, settings: dict, one_timestamp: bool, max_trace_size: int,
     scale_args: dict, activities: CategoryIndex, roles: CategoryIndex,
 ) -> None:
+    """One row of settings, and the indexes as the tables they are."""
     spark = activities.table.sparkSession
     row = (
         {k: str(v) for k, v in settings.items() if k != "activity"}, one_timestamp, max_trace_size,
         {f: {a: repr(v) for a, v in args.items()} for f, args in scale_args.items()},
     )
-    head = spark.createDataFrame([row], PARAMETERS.split(", index_ac")[0])
-    # one row each
-    for index, name in ((activities, "index_ac"), (roles, "index_rl")):
-        entries = _index_map(index, name).first()[name]
-        literal = F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
-        head = head.withColumn(name, literal)
-    head.coalesce(1).write.mode("overwrite").json(path)
+    both = [
+        index.table.select(F.lit(kind).alias("kind"), F.col("idx").cast("int").alias("idx"), "value")
+        for kind, index in (("ac", activities), ("rl", roles))
+    ]
+    committed.append(both[0].unionByName(both[1]), f"{path}/indexes", replace=True)
+    committed.append(spark.createDataFrame([row], PARAMETERS), f"{path}/parameters", replace=True)
 
 
 def read_parameters(spark: SparkSession, path: str) -> RunParameters:
-    """Keys of the index maps become integers, scale arguments floats."""
-    rows = spark.read.schema(PARAMETERS).json(path)
+    """Scale arguments become floats again; index keys are integers."""
+    rows = committed.read(spark, f"{path}/parameters", PARAMETERS)
     to_double = lambda _, args: F.transform_values(args, lambda _, v: v.cast("double"))
-    row = rows.select(
-        "settings", "one_timestamp", "max_trace_size",
-        F.transform_values("scale_args", to_double).alias("scale_args"),
-    ).first()
+    row = rows.withColumn("scale_args", F.transform_values("scale_args", to_double)).first()
+    known = committed.read(spark, f"{path}/indexes", INDEX)
     indexes = []
-    for name in ("index_ac", "index_rl"):
-        keyed = F.transform_keys(name, lambda k, _: k.cast("int"))
-        table = rows.select(F.explode(keyed).alias("idx", "value")).select("value", "idx")
+    for kind in ("ac", "rl"):
+        table = known.where(F.col("kind") == kind).select("value", "idx")
         indexes.append(CategoryIndex(table, table.count() - 2))
     return RunParameters(
         dict(row["settings"]), row["one_timestamp"], row["max_trace_size"],
@@ -71,8 +63,12 @@ def read_parameters(spark: SparkSession, path: str) -> RunParameters:
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """One folder per run."""
-    predictions.write.mode("overwrite").partitionBy("run_num").parquet(path)
+    """The predictions of all runs, a folder for each; they replace earlier ones."""
+    committed.append(predictions, path, replace=True, partition_by=("run_num",))
+
+
+def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return committed.read(spark, path, schema)
 
 
 def write_scores(metrics: DataFrame, test_log: DataFrame, path: str) -> None:
@@ -81,13 +77,16 @@ def write_scores(metrics: DataFrame, test_log: DataFrame, path: str) -> None:
     test_log.write.mode("overwrite").parquet(f"{path}/test_log")
 
 
+EMBEDDING = "idx int, name string, vec array<float>"
+
+
 def write_embedding(embedding: DataFrame, path: str) -> None:
-    embedding.select("idx", "name", "vec").write.mode("overwrite").parquet(path)
+    committed.append(embedding.select("idx", "name", "vec"), path, replace=True)
 
 
 def read_embedding(spark: SparkSession, path: str, index: CategoryIndex) -> DataFrame:
     """Rows whose name is the one the index gives to their number."""
-    stored = spark.read.schema("idx int, name string, vec array<float>").parquet(path)
+    stored = committed.read(spark, path, EMBEDDING)
     known = index.table.select("idx", F.col("value").alias("name"))
     return stored.withColumn("name", F.trim("name")).join(known, ["idx", "name"])
 
@@ -99,12 +98,12 @@ TRIALS = (
 
 
 def append_trials(trials: DataFrame, path: str) -> None:
-    trials.select(*[c.split()[0] for c in TRIALS.split(", ")]).write.mode("append").json(path)
+    committed.append(trials.select(*[c.split()[0] for c in TRIALS.split(", ")]), path)
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
     """Trial results; ``scale_args`` is parsed from its JSON text."""
-    rows = spark.read.schema(TRIALS).json(path)
+    rows = committed.read(spark, path, TRIALS)
     return rows.withColumn("scale_args", F.from_json("scale_args", "map<string,map<string,double>>"))
 
 

@@ -172,3 +172,33 @@ def test_occupancy(make_log, spark):
         size = {"R1": 2, "R2": 1}.get(role(rows[key][2]))
         assert part == (len(mine) / size if size else None)
     assert len(got) == 60
+
+
+def test_occupancy_of_as_many_roles_as_users(make_log, spark):
+    rows = [(f"c{i}", "A", f"u{i % 40}", i % 9, i % 9 + 4) for i in range(200)]
+    log = make_log(rows).withColumn("role", F.col("user"))
+    pools = spark.createDataFrame([(f"u{i}", 1) for i in range(40)], "role string, users int")
+    found = pool_occupancy(log, pools)
+    assert "ResolvedHint" not in found._jdf.queryExecution().toString()
+    for key, open_events, busy in rows_of(found, "event_key", "open_events", "role_busy"):
+        at = rows[key][3]
+        running = [r for r in rows if r[3] <= at < r[4]]
+        assert (open_events, busy) == (len(running), sum(r[2] == rows[key][2] for r in running))
+
+
+def test_all_runs_as_each_alone(make_log):
+    def generated(run, n):
+        rng = random.Random(run)
+        rows = [(f"g{i}", rng.choice("ABC"), "u", 10 * i + j, 10 * i + j + rng.randint(1, 9))
+                for i in range(n) for j in range(rng.randint(1, 4))]
+        return make_log(rows).withColumn("run_num", F.lit(run))
+
+    log = generated(99, 12).drop("run_num")
+    runs = [generated(0, 9), generated(1, 12), generated(2, 15)]
+    table = E.compare_logs(log, runs[0].unionByName(runs[1]).unionByName(runs[2]))
+    got = {(r["run_num"], r["metric"]): r["sim_val"] for r in table.collect()}
+    assert len(got) == 15
+    for k, run in enumerate(runs):
+        for metric, value in E.METRICS.items():
+            alone = value(log, run.drop("run_num")).first()["sim_val"]
+            assert got[k, metric] == pytest.approx(alone)

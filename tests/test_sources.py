@@ -125,10 +125,25 @@ def test_trials_are_appended(spark, tmp_path):
     assert back.first()["scale_args"] == {"dur": {"max_value": 2.0}}
 
 
+def test_only_committed_parts_are_read(spark, tmp_path):
+    from logloom.sources import committed
+
+    path, schema = str(tmp_path / "table"), "x bigint"
+    assert committed.read(spark, path, schema).count() == 0
+    committed.append(spark.range(3).withColumnRenamed("id", "x"), path)
+    spark.range(50).withColumnRenamed("id", "x").write.parquet(f"{path}/parts/lost")  # never committed
+    committed.append(spark.range(3, 5).withColumnRenamed("id", "x"), path)
+    assert rows_of(committed.read(spark, path, schema)) == [(i,) for i in range(5)]
+    committed.append(spark.range(1).withColumnRenamed("id", "x"), path, replace=True)
+    assert rows_of(committed.read(spark, path, schema)) == [(0,)]
+
+
 def test_run_outputs(spark, tmp_path):
     rows = spark.createDataFrame([(0, 1), (1, 2)], "run_num int, x int")
-    runs.write_predictions(rows, str(tmp_path / "gen"))
-    assert rows_of(spark.read.parquet(str(tmp_path / "gen")), "run_num", "x") == [(0, 1), (1, 2)]
+    path, schema = str(tmp_path / "gen"), "run_num int, x int"
+    for number in (7, 0):  # the second replaces the first
+        runs.write_predictions(rows.withColumn("x", F.col("x") + number), path)
+    assert rows_of(runs.read_predictions(spark, path, schema), "run_num", "x") == [(0, 1), (1, 2)]
     runs.write_scores(rows, rows, str(tmp_path / "scores"))
     assert spark.read.parquet(str(tmp_path / "scores" / "test_log")).count() == 2
 
