@@ -13,7 +13,7 @@ from logloom.functions.distance import similarity, timed_similarity
 from logloom.functions.times import micros, weekday
 from logloom.operators.features import add_calculated_times
 from logloom.operators.positions import (
-    global_rank, grouped_running_total, null_safe_join, number_rows,
+    HOT_ROWS, global_rank, grouped_running_total, null_safe_join, number_rows,
 )
 from logloom.runtime import pin
 from logloom.schema import LogSchema, drop_sentinels, prefix_cases
@@ -128,12 +128,15 @@ def couple(
         sides = [x.withColumn("_by", F.lit(0)) for x in (left, right)]
         return couple(*sides, order, out, "_by").drop("_by")
     sides = [pin(side) for side in (left, right)]
-    masses = [x.groupBy(by).agg(F.sum("n").alias(m)) for x, m in zip(sides, ("_m", "_m2"))]
-    lines = masses[0].join(masses[1], by).select(by, F.least("_m", "_m2").alias("_line"))
-    lines = F.broadcast(pin(lines))  # a row for each run
+    sums = [x.groupBy(by).agg(F.count(F.lit(1)), F.sum("n")).collect() for x in sides]  # a row for each run
+    rows, mass = ([{r[0]: r[k] for r in each} for each in sums] for k in (1, 2))
+    hot = [] if all(n <= HOT_ROWS for each in rows for n in each.values()) else None
+    known = [(run, min(mass[0][run], mass[1][run])) for run in mass[0].keys() & mass[1].keys()]
+    kind = left.schema[by].dataType.simpleString()
+    lines = F.broadcast(left.sparkSession.createDataFrame(known, f"{by} {kind}, _line bigint"))
     starts = []
     for side, name in zip(sides, ("l", "r")):
-        side = grouped_running_total(side, by, order, "n", "_low").join(lines, by)
+        side = grouped_running_total(side, by, order, "n", "_low", hot).join(lines, by)
         high = F.least(F.col("_low") + F.col("n"), F.col("_line")) - 1
         slices = F.sequence(F.expr(f"_low div {SLICE_MASS}"), F.floor(high / SLICE_MASS))
         pieces = side.where("_low < _line").withColumn("slice", F.explode(slices))
@@ -176,7 +179,7 @@ def _traces(log: DataFrame, schema: LogSchema, fields: list[str], by: tuple = ()
 def _control_flow(log: DataFrame, runs: DataFrame, numbers: list[int], schema: LogSchema) -> DataFrame:
     count = F.count(F.lit(1))
     own = _traces(log, schema, []).groupBy("tasks").agg(count.alias("nl"))
-    own = _for_each(pin(own), numbers)
+    own = _for_each(own, numbers)
     theirs = _traces(runs, schema, [], (RUN,)).groupBy(RUN, "tasks").agg(count.alias("nr"))
     both = own.join(theirs, [RUN, "tasks"], "full")
     both = pin(both.select(RUN, "tasks", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("nl", "nr")]))

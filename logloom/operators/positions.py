@@ -117,9 +117,14 @@ def global_rank(df: DataFrame, order: list, out: str, rows: int) -> DataFrame:
     return sliced_rank(df, [], order, out)
 
 
-def grouped_running_total(df: DataFrame, by: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Sum of ``value`` over the rows before the current one in its group, in ``order``."""
-    hot = hot_groups(df, [by])
+def grouped_running_total(
+    df: DataFrame, by: str, order: list[str], value: str, out: str, hot: list[int] | None = None
+) -> DataFrame:
+    """Sum of ``value`` over the rows before the current one in its group, in ``order``.
+
+    ``hot`` is the known answer of ``hot_groups(df, [by])``, if any.
+    """
+    hot = hot_groups(df, [by]) if hot is None else hot
     before = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     total = F.coalesce(F.sum(value).over(before), F.lit(0))
     if not hot:
