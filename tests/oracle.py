@@ -31,7 +31,7 @@ def _rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     out = []
     for row in frame.itertuples(index=False):
-        out.append(tuple("<null>" if v is None or v != v else
+        out.append(tuple("<null>" if v is None or v is pd.NA or v != v else
                          (repr(float(v)) if isinstance(v, float) else str(v)) for v in row))
     return sorted(out)
 
@@ -39,6 +39,13 @@ def _rows(frame: pd.DataFrame) -> list[tuple]:
 def mismatch(spark_df, con, query: str) -> str | None:
     got = spark_df.toPandas()
     want = con.execute(query).df()
+    # pandas holds whole numbers with nulls as floats; the types compared are the queries' own
+    for name, kind in spark_df.dtypes:
+        if kind in ("tinyint", "smallint", "int", "bigint"):
+            got[name] = got[name].astype("Int64")
+    for column in con.execute(f"DESCRIBE {query}").fetchall():
+        if column[1] in ("TINYINT", "SMALLINT", "INTEGER", "BIGINT"):
+            want[column[0]] = want[column[0]].astype("Int64")
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     for c in got.columns:
