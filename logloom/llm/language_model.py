@@ -157,8 +157,9 @@ def contexts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
 
 
 class Model:
@@ -178,17 +179,17 @@ class Model:
 
     def class_log(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = (f % np.uint64(CLASS_ROWS)).astype(np.int64)
-        x = self.classes[rows[0]]
+        x = np.take(self.classes, rows[0], axis=0, mode="clip")
         for r in rows[1:]:
-            x = x + self.classes[r]
+            x += np.take(self.classes, r, axis=0, mode="clip")
         return _log_softmax(x + self.v.class_bias), rows
 
     def word_log(self, f: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         salted = mix(f + (group.astype(np.uint64) << np.uint64(40)))
         rows = (salted % np.uint64(WORD_ROWS)).astype(np.int64)
-        x = self.word_rows[rows[0]]
+        x = np.take(self.word_rows, rows[0], axis=0, mode="clip")
         for r in rows[1:]:
-            x = x + self.word_rows[r]
+            x += np.take(self.word_rows, r, axis=0, mode="clip")
         return _log_softmax(x + self.v.word_bias[group]), rows
 
     def log_probability(self, f: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -219,23 +220,55 @@ class Model:
                 _step(self.word_rows, self.word_seen, rows, log, self.v.place[at[s][inside]])
 
 
+# Entries that one addition of whole rows puts together.
+FOLD = 8
+
+
+def segment_sums(values: np.ndarray, entry: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of ``values[entry]`` over consecutive segments of these lengths (1 at least).
+
+    Segments are cut into pieces of FOLD entries; the j-th entries of all pieces are added
+    at once, then the pieces of a segment are summed in the same way.
+    """
+    while True:
+        pieces = -(-lengths // FOLD)
+        inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = np.repeat(np.cumsum(lengths) - lengths, pieces) + FOLD * inner
+        size = np.minimum(np.repeat(lengths, pieces) - FOLD * inner, FOLD)
+        order = np.argsort((FOLD - size).astype(np.uint8), kind="stable")
+        start = start[order]
+        reach = len(size) - np.cumsum(np.bincount(size, minlength=FOLD + 1))
+        sums = np.take(values, entry[start], axis=0, mode="clip")
+        for j in range(1, FOLD):
+            if not reach[j]:
+                break
+            sums[: reach[j]] += np.take(values, entry[start[: reach[j]] + j], axis=0, mode="clip")
+        entry = np.empty(len(order), np.int64)
+        entry[order] = np.arange(len(order))
+        if len(order) == len(lengths):
+            return np.take(sums, entry, axis=0, mode="clip")
+        values, lengths = sums, pieces
+
+
 def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, log: np.ndarray, hit: np.ndarray) -> None:
     """One step of all rows of the batch along the gradient of the log probability.
 
     A row's step is the mean over its tokens, shortened as the row is met more often.
     """
-    gradient = -np.exp(log)
+    gradient = np.negative(np.exp(log, out=log), out=log)
     gradient[np.arange(len(hit)), hit] += 1
     n = len(hit)
-    flat = rows.ravel()
+    flat = rows.ravel().astype(np.min_scalar_type(len(table) - 1))  # short keys sort by radix
     order = np.argsort(flat, kind="stable")
     sorted_rows = flat[order]
-    cuts = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-    sums = np.add.reduceat(gradient[order % n], cuts, axis=0)
-    met = np.diff(np.append(cuts, len(flat))).astype(np.float32)
-    at = sorted_rows[cuts]
+    cuts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+    lengths = np.diff(np.append(cuts, len(flat)))
+    sums = segment_sums(gradient, order % n, lengths)
+    met = lengths.astype(np.float32)
+    at = sorted_rows[cuts].astype(np.int64)
     seen[at] += met
-    table[at] += (STEP / np.sqrt(seen[at] * met + 1))[:, None] * sums
+    sums *= (STEP / np.sqrt(seen[at] * met + 1))[:, None]
+    table[at] += sums
 
 
 def train(training: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
