@@ -7,8 +7,8 @@ before, the word before last alone (skipping one), and the one before that. Word
 outside the model's vocabulary form one more class, within which counts decide.
 
 Training goes once through all training documents, in rounds. In a round every task
-takes gradient steps on its own documents, in sparse batches, and the steps of all tasks
-are averaged by their number of tokens. Counts of words are aggregated over the whole
+takes gradient steps on its own documents, in sparse batches, and the steps of each row
+are averaged by the row's own tokens. Counts of words are aggregated over the whole
 corpus; words beyond the dictionary that travels with the tasks get theirs by a join.
 """
 
@@ -28,7 +28,9 @@ from logloom.runtime import pin
 CLASSES, CLASS_WORDS = 32, 64
 FEATURES = 4
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
-ROUNDS = 2
+ROUNDS = 4
+# Tokens of a task in a round, at least: fewer teach a task little before steps are averaged.
+TASK_TOKENS = 1 << 18
 BATCH = 4096
 STEP = 1.5
 # Most frequent words whose counts travel with the tasks: six megabytes at any input.
@@ -272,8 +274,15 @@ def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, log: np.ndarray
 
 
 def train(training: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """One pass over the training documents, a share of them in each round."""
-    size = sum(Model.SIZES) + 1
+    """One pass over the training documents, a share of them in each round.
+
+    After a round a row moves by the mean of its steps in the tasks that met it, weighted
+    by its own tokens there, so a context that few tasks hold keeps what they learned.
+    Tasks with fewer than TASK_TOKENS tokens are put together first.
+    """
+    shape = Model(vocabulary)
+    size, rows = len(shape.flat), CLASS_ROWS + WORD_ROWS
+    tasks = max(vocabulary.n // (rounds * TASK_TOKENS), 1)
     flat = None
     for k in range(rounds):
         start = flat
@@ -281,23 +290,28 @@ def train(training: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) ->
         def run(batches, start=start):
             model = Model(vocabulary, None if start is None else start.copy())
             before = model.flat.copy()
-            count = 0
             for batch in blocks(batches):
                 h, first = tokens(batch)
                 model.learn(contexts(h, first), vocabulary.find(h))
-                count += len(h)
-            if count:
-                step = (model.flat - before) * np.float32(count)
-                yield from chunk_batches(np.append(step, np.float32(count)).astype(np.float32))
+            seen = np.concatenate([model.class_seen, model.word_seen])
+            if seen.any():
+                step = (model.flat - before) * _per_weight(seen)
+                yield from chunk_batches(np.append(step, seen).astype(np.float32))
 
         share = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k)
-        steps = total(share.select("text").mapInArrow(run, CELLS), size, "float32", "float64")
-        if steps[-1]:
-            base = np.zeros(size - 1) if flat is None else flat
-            flat = (base + steps[:-1] / steps[-1]).astype(np.float32)
+        share = share.select("text").coalesce(int(tasks))
+        steps = total(share.mapInArrow(run, CELLS), size + rows, "float32", "float64")
+        seen = _per_weight(np.maximum(steps[size:], 1))
+        flat = ((0 if flat is None else flat) + steps[:size] / seen).astype(np.float32)
     return Model(vocabulary, flat)
 
 
+def _per_weight(rows: np.ndarray) -> np.ndarray:
+    """The value of each row of both tables, repeated for each of its weights."""
+    a, b = rows[:CLASS_ROWS], rows[CLASS_ROWS:]
+    return np.concatenate([np.repeat(a, CLASSES + 1), np.repeat(b, CLASS_WORDS)])
+
+
 PARTIAL = (
     "doc_id long, held_out boolean, n_tokens long, known long, log_counts double, log_model double, "
     "rare array<struct<word:long,times:int>>"

@@ -67,12 +67,41 @@ def test_probabilities_add_up():
     assert abs(total - 1) < 1e-3 and len(every) == 4001
 
 
+def test_sums_of_segments():
+    r = np.random.default_rng(3)
+    for sizes in ([1], [1, 7, 8, 9, 64, 65, 1000], r.integers(1, 40, 200)):
+        lengths = np.array(sizes)
+        values = r.normal(size=(50, 6))
+        entry = r.integers(0, 50, lengths.sum())
+        wanted = np.zeros((len(lengths), 6))
+        np.add.at(wanted, np.repeat(np.arange(len(lengths)), lengths), values[entry])
+        assert np.allclose(lm.segment_sums(values, entry, lengths), wanted)
+
+
+def test_rows_are_averaged_over_the_tasks_that_met_them(make_docs, monkeypatch):
+    """A context that one of 20 tasks holds is learned as if that task were alone."""
+    monkeypatch.setattr(lm, "TASK_TOKENS", 1)
+    spark = make_docs([]).sparkSession
+    texts = ["red green " * 400] + [f"w{i} " * 3 for i in range(19)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = lm.word_counts(docs)
+    n = counts.agg({"count": "sum"}).first()[0]
+    vocabulary = lm.Vocabulary(*lm.common_words(counts, 100), n, counts.count())
+    one, many = (lm.train(docs.where(f"doc_id < {m}").repartition(m, "doc_id"), vocabulary, 1) for m in (1, 20))
+    moved = np.abs(one.word_rows).sum(axis=1) > 0.5
+    assert moved.any()
+    assert np.abs(many.word_rows[moved]).sum() > 0.8 * np.abs(one.word_rows[moved]).sum()
+
+
 def test_learns_from_context(make_docs):
     """Texts of two kinds, each with its own words: the model must beat plain counts."""
     r = random.Random(4)
     kinds = [prose(k, 60).split() for k in (1, 2)]
     rows = [(i, " ".join(r.choices(kinds[i % 2], k=150))) for i in range(1500)]
-    got = [x for x in lm.score(make_docs(rows).coalesce(1)).collect() if x.held_out]
-    assert len(got) > 30
-    gain = sum(x.score - x.base_score for x in got) / sum(x.n_tokens for x in got)
-    assert gain > 0.15  # of log10(2) at best
+    gains = []
+    for parts in (1, 150):
+        got = [x for x in lm.score(make_docs(rows).repartition(parts)).collect() if x.held_out]
+        assert len(got) > 30
+        gains.append(sum(x.score - x.base_score for x in got) / sum(x.n_tokens for x in got))
+    assert gains[0] > 0.13  # of log10(2) at best
+    assert gains[1] > 0.8 * gains[0]
