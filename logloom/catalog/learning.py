@@ -53,27 +53,45 @@ def embedding_als(spark, folder):
     return both.select("kind", "idx", "name", F.size("vec").alias("dims"))
 
 
+def embedding_factors(spark, folder):
+    log, activities, roles, _ = prepared(spark, folder)
+    ac, rl = L.factor_embeddings(log, activities, roles)
+    both = ac.withColumn("kind", F.lit("activity")).unionByName(rl.withColumn("kind", F.lit("role")))
+    rows = both.select("kind", big("idx"), "name", F.posexplode("vec").alias("place", "value"))
+    value = F.round(F.col("value").cast("double"), 5) + F.lit(0.0)
+    return rows.select("kind", "idx", "name", big("place"), value.alias("value"))
+
+
 def mlp_next_activity(spark, folder):
+    """Activity and role that two networks expect next."""
     spec = model_spec("shared_cat")
     ready = prepare(user_roles(user_day_log(spark, folder)), spec.name)
     columns = L.sample_columns_of(spec, ready.schema)
-    train = training_samples(ready, 3, columns)
-    test = ngram_samples(ready.test, columns, 3, ready.ends, hot=ready.hot)
-    model = L.fit_classifier(train, spec, "ac", 3, ready.activities.size, hidden=16, max_iter=15)
-    rows = L.predict_head(model, test, spec, 3)
+    train = pin(training_samples(ready, 3, columns))
+    rows = ngram_samples(ready.test, columns, 3, ready.ends, hot=ready.hot)
+    for head, classes in (("ac", ready.activities.size), ("rl", ready.roles.size)):
+        model = L.fit_classifier(train, spec, head, 3, classes)
+        rows = L.predict_head(model, rows, spec, 3).withColumnRenamed("prediction", f"{head}_pred")
+        rows = rows.select(*[c for c in rows.columns if not c.endswith("_hot")]).drop("features", "rawPrediction", "probability")
     return rows.select(
-        "caseid", big("cut"), big("ac_index_next", "expect"), big("prediction", "pred")
-    )
+        "caseid", big("cut"), big("ac_index_next", "expect"), big("ac_pred", "pred"),
+        big("rl_index_next", "rl_expect"), big("rl_pred"),
+    )
 
 
 def gbt_next_times(spark, folder):
+    """Scaled duration and waiting time that boosted trees expect next."""
     spec = model_spec("shared_cat_cx")
     ready = prepare(user_roles(user_day_log(spark, folder)), spec.name)
     columns = L.sample_columns_of(spec, ready.schema)
-    test = ngram_samples(ready.test, columns, 2, ready.ends, hot=ready.hot)
-    models = L.fit_regressors(training_samples(ready, 2, columns), spec, 2, maxIter=2, maxDepth=3)
-    rows = L.predict_head(models["dur_norm"], test, spec, 2)
-    return rows.select("caseid", big("cut"), r6("dur_norm_next"), r6("dur_norm_pred"))
+    rows = ngram_samples(ready.test, columns, 2, ready.ends, hot=ready.hot)
+    models = L.fit_regressors(pin(training_samples(ready, 2, columns)), spec, 2)
+    times = []
+    for t, model in models.items():
+        rows = L.predict_head(model, rows, spec, 2)
+        rows = rows.select(*[c for c in rows.columns if not c.endswith("_hot")]).drop("features")
+        times += [r6(f"{t}_next"), r6(f"{t}_pred")]
+    return rows.select("caseid", big("cut"), *times)
 
 
 def discriminator_pairs(spark, folder):
@@ -232,6 +250,41 @@ tri AS (SELECT n_size, 'max' AS norm_method, avg(ca) + avg(cr) + avg(emax) AS lo
   UNION ALL SELECT n_size, 'lognorm', avg(ca) + avg(cr) + avg(elog) FROM er GROUP BY n_size)
 """
 
+def _factors_sql(dims: int, rounds: int) -> str:
+    """Subspace iteration and Gram-Schmidt, step by step."""
+    every = range(dims)
+    sums = ", ".join(f"sum(x * v{k}) AS v{k}" for k in every)
+    out = [f"""
+co AS MATERIALIZED (SELECT ac, rl, ln(1 + count(*)) AS x FROM en GROUP BY ac, rl),
+f0 AS MATERIALIZED (SELECT DISTINCT rl, {", ".join(f"cos({k}.0 * rl) AS v{k}" for k in every)} FROM co)"""]
+    for i in range(1, rounds + 1):
+        out.append(f"""
+u{i} AS MATERIALIZED (SELECT ac, {sums} FROM co JOIN f{i - 1} USING (rl) GROUP BY ac),
+w{i} AS MATERIALIZED (SELECT rl, {sums} FROM co JOIN u{i} USING (ac) GROUP BY rl)""")
+        last = f"w{i}"
+        for k in every:
+            others = ", ".join(f"v{j}" for j in every if j != k)
+            less = "".join(f" - v{j} * sum(v{j} * v{k}) OVER ()" for j in range(k))
+            name = f"f{i}" if k == dims - 1 else f"g{i}_{k}"
+            out.append(f"""
+h{i}_{k} AS MATERIALIZED (SELECT rl, {others}, v{k}{less} AS v{k}, sum(v{k} * v{k}) OVER () AS q FROM {last}),
+{name} AS MATERIALIZED (SELECT rl, {others}, CASE WHEN sum(v{k} * v{k}) OVER () > {L.DEPENDENT} * q
+  THEN v{k} / sqrt(sum(v{k} * v{k}) OVER ()) ELSE 0 END AS v{k} FROM h{i}_{k})""")
+            last = name
+    roots = ", ".join(f"pow(sum(v{k} * v{k}), 0.25) AS s{k}" for k in every)
+    out.append(f"""
+ul AS MATERIALIZED (SELECT ac, {sums} FROM co JOIN f{rounds} USING (rl) GROUP BY ac),
+sg AS MATERIALIZED (SELECT {roots} FROM ul),
+vc AS (SELECT 'activity' AS kind, ac AS idx, [{", ".join(f"CASE WHEN s{k} > 0 THEN v{k} / s{k} ELSE 0 END" for k in every)}] AS vec
+    FROM ul, sg
+  UNION ALL SELECT 'role', rl, [{", ".join(f"v{k} * s{k}" for k in every)}] FROM f{rounds}, sg),
+nm AS (SELECT 'activity' AS kind, idx, value FROM aci UNION ALL SELECT 'activity', 0, 'start'
+  UNION ALL SELECT 'activity', ac_end, 'end' FROM nd
+  UNION ALL SELECT 'role', idx, value FROM rli UNION ALL SELECT 'role', 0, 'start'
+  UNION ALL SELECT 'role', rl_end, 'end' FROM nd)""")
+    return ",".join(out)
+
+
 QUERIES = {
     "config_eval": (
         config_eval,
@@ -246,6 +299,14 @@ QUERIES = {
             FROM tri ORDER BY loss LIMIT 1"""),
     ),
     "embedding_als": (embedding_als, None),
+    # the table of activities and roles has four dimensions at any scale
+    "embedding_factors": (
+        embedding_factors,
+        S.with_(S.PREPARED, _factors_sql(4, L.FACTOR_ROUNDS), select="""
+            SELECT kind, CAST(idx AS BIGINT) AS idx, value AS name, CAST(k AS BIGINT) AS place,
+              round(CAST(CAST(coalesce(vec[k + 1], 0) AS FLOAT) AS DOUBLE), 5) + 0.0 AS value
+            FROM nm LEFT JOIN vc USING (kind, idx), (SELECT unnest(range(4)) AS k)"""),
+    ),
     "mlp_next_activity": (mlp_next_activity, None),
     "gbt_next_times": (gbt_next_times, None),
     "discriminator_pairs": (

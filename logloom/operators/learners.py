@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
@@ -13,8 +15,14 @@ from pyspark.sql import functions as F
 from logloom.operators.encode import CategoryIndex
 from logloom.operators.pairs import embedding_dimension, observed_pairs
 from logloom.plans.specs import ACTIVITIES, CONTEXT, ROLES, TIMES, ModelSpec
+from logloom.runtime import pin
 from logloom.schema import LogSchema
 
+# Passes of the factorisation over the co-occurrence table.
+FACTOR_ROUNDS = 6
+# A vector is dependent on those before it below this share of its squared length.
+DEPENDENT = 1e-10
+
 HEADS = {"ac": "ac_index_next", "rl": "rl_index_next"}
 
 
@@ -104,6 +112,93 @@ def embeddings(
     return _named(model.userFactors, activities, dims), _named(model.itemFactors, roles, dims)
 
 
+def factor_embeddings(
+    log: DataFrame, activities: CategoryIndex, roles: CategoryIndex, rounds: int = FACTOR_ROUNDS
+) -> tuple[DataFrame, DataFrame]:
+    """(idx, name, vec) of activities and of roles, by a truncated factorisation.
+
+    ``ln(1 + n)`` of the co-occurrences is projected onto the roles' leading subspace; the
+    dot product of an activity and a role is their projected entry. Subspace iteration
+    starts at cosines of the role's number and keeps the signs of the start, so values are
+    reproducible; vectors beyond the rank of the table are zero. A pass is two grouped
+    products, and only matrices of the embedding's dimension reach the driver.
+    """
+    dims = embedding_dimension(activities.size, roles.size)
+    entries = observed_pairs(log).withColumn("x", F.log1p("n")).select("ac_index", "rl_index", "x")
+    entries = pin(entries)
+    start = F.array(*[F.cos(F.lit(float(k)) * F.col("rl_index")) for k in range(dims)])
+    factors = pin(entries.select("rl_index").distinct().select("rl_index", start.alias("vec")))
+    for _ in range(rounds):
+        sums = _product(entries, factors, "rl_index", "ac_index", dims)
+        factors = pin(_product(entries, sums, "ac_index", "rl_index", dims))
+        # twice, as the first pass loses digits if the vectors are nearly dependent
+        for _ in range(2):
+            factors = pin(_times(factors, _orthogonal(_gram(factors, dims))))
+    sums = pin(_product(entries, factors, "rl_index", "ac_index", dims))
+    root = np.sqrt(np.sqrt(np.diag(_gram(sums, dims))))
+    inverse = np.divide(1.0, root, out=np.zeros(dims), where=root > 0)
+    activity = _times(sums, np.diag(inverse)).withColumnRenamed("ac_index", "id")
+    role = _times(factors, np.diag(root)).withColumnRenamed("rl_index", "id")
+    return tuple(
+        _named(f.select("id", F.col("vec").cast("array<float>").alias("features")), index, dims)
+        for f, index in ((activity, activities), (role, roles))
+    )
+
+
+def _product(entries: DataFrame, factors: DataFrame, over: str, by: str, dims: int) -> DataFrame:
+    """(by, vec): the entries of each ``by`` times the vectors they meet at ``over``."""
+    sums = [F.sum(F.col("x") * F.get("vec", F.lit(k))) for k in range(dims)]
+    return entries.join(factors, over).groupBy(by).agg(F.array(*sums).alias("vec"))
+
+
+def _matrix(column, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _gram(factors: DataFrame, dims: int) -> np.ndarray:
+    """Dot products of the columns, summed by task first."""
+
+    def run(batches):
+        gram = np.zeros((dims, dims))
+        for batch in batches:
+            rows = _matrix(batch.column(0), dims)
+            gram += rows.T @ rows
+        cells = pa.array(np.arange(dims * dims, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([cells, pa.array(gram.ravel())], ["cell", "dot"])
+
+    parts = factors.select("vec").mapInArrow(run, "cell int, dot double")
+    gram = np.zeros(dims * dims)
+    for row in parts.groupBy("cell").agg(F.sum("dot").alias("dot")).collect():
+        gram[row["cell"]] = row["dot"]
+    return gram.reshape(dims, dims)
+
+
+def _orthogonal(gram: np.ndarray) -> np.ndarray:
+    """The upper triangle that makes columns with these dot products orthonormal, in order."""
+    out = np.zeros_like(gram)
+    for k in range(len(gram)):
+        c = np.zeros(len(gram))
+        c[k] = 1
+        c -= out @ (out.T @ gram[:, k])
+        length = c @ gram @ c
+        if length > DEPENDENT * gram[k, k]:
+            out[:, k] = c / np.sqrt(length)
+    return out
+
+
+def _times(factors: DataFrame, matrix: np.ndarray) -> DataFrame:
+    key = factors.columns[0]
+
+    def run(batches):
+        for batch in batches:
+            rows = _matrix(batch.column(1), len(matrix)) @ matrix
+            ends = np.arange(len(rows) + 1, dtype=np.int32) * len(matrix)
+            vec = pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vec], [key, "vec"])
+
+    return factors.mapInArrow(run, f"{key} int, vec array<double>")
+
+
 def _named(factors: DataFrame, index: CategoryIndex, dims: int) -> DataFrame:
     """A row for every code; codes outside the log, as the sentinels, are zero."""
     factors = factors.select(F.col("id").alias("idx"), F.col("features").alias("vec"))

@@ -1,6 +1,7 @@
 import random
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from helpers import T0, rows_of
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from logloom.functions.draws import uniform
 from logloom.operators import ngram as G
 from logloom.operators import trials as X
 from logloom.operators import walks as K
+from logloom.operators.encode import CategoryIndex
+from logloom.operators.learners import FACTOR_ROUNDS, factor_embeddings
 from logloom.operators.samples import ngram_samples
 from logloom.plans import prediction as P
 from logloom.plans.specs import FAMILIES, SPECS, model_spec
@@ -288,3 +291,32 @@ def test_trials(spark, make_log):
     assert rows_of(X.sample_configs(grid, 3, seed=1)) == rows_of(X.sample_configs(grid, 3, seed=1))
     failed = trials.withColumn("status", F.lit("fail"))
     assert X.successful(failed).count() == 0
+
+
+def test_factor_embeddings(spark):
+    """The dot products are those of the table projected by plain subspace iteration."""
+    r = random.Random(5)
+    pairs = [(min(a, r.randint(1, 6)), b) for a in range(1, 7) for b in range(1, 6) for _ in range(r.randint(0, 9))]
+    log = spark.createDataFrame(pairs, "ac_index int, rl_index int")
+    names = [("start", 0), *[(f"v{i}", i) for i in range(1, 7)], ("end", 7)]
+    index = [
+        CategoryIndex(spark.createDataFrame([*names[:n], ("end", n)], "value string, idx int"), n - 1) for n in (7, 6)
+    ]
+    table = np.zeros((8, 7))
+    for a, b in pairs:
+        table[a, b] += 1
+    table = np.log1p(table)
+    v = np.cos(np.outer(np.arange(7), np.arange(3))) * (np.arange(7) % 6 > 0)[:, None]
+    for _ in range(FACTOR_ROUNDS):
+        q, triangle = np.linalg.qr(table.T @ (table @ v))
+        v = q * np.sign(np.diag(triangle))
+    got = [np.array([x.vec for x in f.orderBy("idx").collect()]) for f in factor_embeddings(log, *index)]
+    assert got[0].shape == (8, 3) and got[1].shape == (7, 3)
+    assert np.allclose(got[0] @ got[1].T, table @ v @ v.T, atol=1e-5)
+    assert not got[0][[0, 7]].any() and not got[1][[0, 6]].any()
+
+    # one role: a single dimension, the other vectors are zero; an empty log has zeros only
+    single = [np.array([x.vec for x in f.collect()]) for f in factor_embeddings(log.where("rl_index = 2"), *index)]
+    assert (np.abs(single[0]).sum(axis=0) > 0).tolist() == [True, False, False]
+    empty = [np.array([x.vec for x in f.collect()]) for f in factor_embeddings(log.where("false"), *index)]
+    assert empty[0].shape == (8, 3) and not empty[0].any() and not empty[1].any()
