@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.functions.draws import uniform
 from logloom.functions.scaling import rescaled
@@ -25,11 +26,13 @@ from logloom.operators.ngram import (
     resolve,
     without,
 )
-from logloom.runtime import pin
+from logloom.runtime import pin, pin_at, shared_folder
 from logloom.schema import START_LABEL, LogSchema
 
 # Steps planned as one job before the loop's state is pinned.
 STEPS_PER_PIN = 4
+# Copies of a state in which many walkers may be at once, so that they meet it in many tasks.
+SALTS = 32
 
 
 def likeliest_paths(model: NgramModel, max_steps: int) -> DataFrame:
@@ -117,6 +120,9 @@ def predict_suffixes(
     walkers = rows.select(F.struct("caseid", "cut").alias("id"), "state")
     keys = [F.col("id.caseid"), F.col("id.cut")]
     walked = walk(walkers, model, steps, variant, keys, f"{seed}-{run}", first_open=False)
+    # the arrays are what is asked for; they are put together once, at the end
+    in_order = F.sort_array(F.collect_list(F.struct("pos", *[F.col(f"e.{p}").alias(p) for p in names])))
+    walked = walked.groupBy("id").agg(in_order.alias("events"))
     found = walked.select(
         "id.*", *[F.col(f"events.{part}").alias(name) for part, name in names.items()]
     )
@@ -133,40 +139,73 @@ def walk(
     first_open: bool,
     clock: Callable[[dict[str, Column], int], tuple[dict, dict]] | None = None,
     timed_states: DataFrame | None = None,
+    start: list | None = None,
 ) -> DataFrame:
-    """Moves all walkers (``id``, ``state``, ...) step by step; adds ``events``.
+    """(id, pos, e): the events of all walkers (``id``, ``state``, ...), moved step by step.
 
     ``first_open`` keeps ``end`` from being the first event. ``clock(event,
     step)`` returns fields to add to the event and new values of the walkers'
     own columns. With ``timed_states`` the choices seen at the hour and weekday
     of column ``now`` replace those of the state. Walkers that reached ``end``
     leave the loop, so no step joins on their missing state.
+
+    Some steps are one job, which writes the walkers with the events of these steps only,
+    so every event is written once. ``start`` are states that many walkers start from.
     """
     states = model.states.select(F.col("ctx").alias("state"), "ac", "rl")
-    finished, rows, step = [], walkers, 0
+    start = start or []
+    hot = start + _frequent(states)
+    states = _copied(states, hot, "_salt")
+    if timed_states is not None:
+        timed_states = timed_states.select(
+            F.col("ctx").alias("state"), "_hour", "_weekday", F.col("ac").alias("_timed")
+        )
+        timed_states = _copied(timed_states, start, "_salt_timed")
+    folder = f"{shared_folder(walkers.sparkSession)}/walks/{uuid.uuid4().hex}"
+    rows, step, block = walkers, 0, 0
     while step < max_steps:
         last = min(step + STEPS_PER_PIN, max_steps)
         for step in range(step + 1, last + 1):
+            rows = rows.withColumns({"_salt": _salt(hot), "_salt_timed": _salt(start)})
             rows = _advance(rows, states, model, step, variant, keys, salt,
                             first_open and step == 1, clock, timed_states)
-        moved = pin(rows)
-        finished.append(moved if step == max_steps else moved.where("state is null"))
-        rows = moved.where("state is not null")
+        moved = pin_at(rows, f"{folder}/block={block}")
+        rows = moved.where("state is not null").drop("events")
         if step < max_steps and rows.isEmpty():
             break
-    return reduce(DataFrame.unionByName, finished)
+        block += 1
+    written = T.StructType([*moved.schema, T.StructField("block", T.IntegerType())])
+    blocks = walkers.sparkSession.read.schema(written).parquet(folder)
+    events = blocks.select("id", "block", F.posexplode("events").alias("pos", "e"))
+    return events.select("id", (F.col("block") * STEPS_PER_PIN + F.col("pos")).alias("pos"), "e")
+
+
+def _frequent(states: DataFrame) -> list:
+    """The states with at least one in SALTS of the counted events: so many of each length."""
+    events = F.element_at("ac", -1)["upto"]
+    most = states.agg(F.max(events)).first()[0] or 0
+    return [r["state"] for r in states.where(events * SALTS >= most).select("state").collect()]
+
+
+def _copied(states: DataFrame, hot: list, salt: str) -> DataFrame:
+    """SALTS rows for each of the states ``hot``, numbered by ``salt``; one for the others."""
+    copies = F.when(F.col("state").isin(hot), F.lit(SALTS)).otherwise(F.lit(1))
+    return states.withColumn(salt, F.explode(F.sequence(F.lit(0), copies - 1)))
+
+
+def _salt(hot: list) -> Column:
+    """The copy of its state that a walker meets."""
+    spread = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    return F.when(F.col("state").isin(hot), spread).otherwise(F.lit(0))
 
 
 def _advance(rows, states, model, step, variant, keys, salt, first_open, clock, timed_states):
-    own = [c for c in rows.columns if c not in ("state", "events")]
-    rows = rows.join(states, "state", "left")
+    own = [c for c in rows.columns if c not in ("state", "events", "_salt", "_salt_timed")]
+    rows = rows.join(states, ["state", "_salt"], "left")
     choices = F.col("ac")
     if timed_states is not None:
-        timed = timed_states.select(
-            F.col("ctx").alias("state"), "_hour", "_weekday", F.col("ac").alias("_timed")
-        )
         rows = rows.withColumns({"_hour": F.hour("now"), "_weekday": weekday("now")})
-        rows = rows.join(timed, ["state", "_hour", "_weekday"], "left")
+        rows = rows.join(timed_states, ["state", "_hour", "_weekday", "_salt_timed"], "left")
         choices = F.coalesce("_timed", "ac")
     if first_open:
         choices = without(choices, model.end)
@@ -253,10 +292,9 @@ def generate_log(
     clock = _point_clock if schema.one_timestamp else _interval_clock
     walked = walk(
         cases, model, max(max_trace_size - 1, 1), check_variant(variant), [F.col("id")],
-        f"{seed}-{run}", not context, clock(scale_args, norm_method), timed_states,
+        f"{seed}-{run}", not context, clock(scale_args, norm_method), timed_states, [first],
     )
-    rows = walked.select(F.col("id").alias("caseid"), F.posexplode("events").alias("pos", "e"))
-    rows = rows.select("caseid", F.col("pos").cast("bigint").alias("pos"), "e.*")
+    rows = walked.select(F.col("id").alias("caseid"), F.col("pos").cast("bigint").alias("pos"), "e.*")
     if not context:
         rows = rows.where(F.col("ac") != model.end)
     rows = decode(decode(rows, activities, "ac", "task"), roles, "rl", "role")

@@ -38,7 +38,11 @@ def pin(df: DataFrame) -> DataFrame:
     planner true sizes: a pinned table below the session's broadcast threshold
     is broadcast, a larger one is joined by shuffle.
     """
-    path = f"{shared_folder(df.sparkSession)}/pinned/{uuid.uuid4().hex}"
+    return pin_at(df, f"{shared_folder(df.sparkSession)}/pinned/{uuid.uuid4().hex}")
+
+
+def pin_at(df: DataFrame, path: str) -> DataFrame:
+    """``pin`` into a new folder of the caller's choice."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -320,3 +320,21 @@ def test_factor_embeddings(spark):
     assert (np.abs(single[0]).sum(axis=0) > 0).tolist() == [True, False, False]
     empty = [np.array([x.vec for x in f.collect()]) for f in factor_embeddings(log.where("false"), *index)]
     assert empty[0].shape == (8, 3) and not empty[0].any() and not empty[1].any()
+
+
+def test_walks_write_each_event_once(ready, spark, monkeypatch):
+    """Blocks of the log hold their own steps only; salted states give the same walks."""
+    model = fit(ready, n=N)
+    first = model.states.orderBy(F.element_at("ac", -1)["upto"].desc(), "ctx").first()["ctx"]
+    walkers = spark.range(50).withColumn("state", F.lit(first))
+    found = []
+    for steps, salts, start in ((1, 1, []), (4, 32, [first]), (3, 5, [])):
+        monkeypatch.setattr(K, "STEPS_PER_PIN", steps)
+        monkeypatch.setattr(K, "SALTS", salts)
+        walked = K.walk(walkers, model, 10, G.RANDOM_CHOICE, [F.col("id")], "s", False, start=start)
+        found.append(rows_of(walked.select("id", "pos", "e.ac", "e.rl")))
+    assert found[0] == found[1] == found[2]
+    places = {i: [p for j, p, _, _ in found[0] if j == i] for i in range(50)}
+    assert all(places[i] == list(range(len(places[i]))) and places[i] for i in places)
+    assert max(map(len, places.values())) > 4
+    assert K.walk(walkers.limit(0), model, 10, G.RANDOM_CHOICE, [F.col("id")], "s", False).count() == 0
