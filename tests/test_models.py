@@ -332,7 +332,7 @@ def test_walks_write_each_event_once(ready, spark, monkeypatch):
         monkeypatch.setattr(K, "STEPS_PER_PIN", steps)
         monkeypatch.setattr(K, "SALTS", salts)
         walked = K.walk(walkers, model, 10, G.RANDOM_CHOICE, [F.col("id")], "s", False, start=start)
-        found.append(rows_of(walked.select("id", "pos", "e.ac", "e.rl")))
+        found.append(rows_of(walked.select("id", "pos", "e.ac", "e.rl"), "id", "pos", "ac", "rl"))
     assert found[0] == found[1] == found[2]
     places = {i: [p for j, p, _, _ in found[0] if j == i] for i in range(50)}
     assert all(places[i] == list(range(len(places[i]))) and places[i] for i in places)
