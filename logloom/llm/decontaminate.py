@@ -159,6 +159,8 @@ class Index:
                 yield r, k, sum(t[2] for t in found), len(found)
 
 
+# Stands for the null id of an item, and counts as the smallest.
+NO_ID = -(1 << 63)
 RESULT = ("_tiled_item", "_tiled_words", "_tiled_length", "_tiled_count")
 
 
@@ -168,7 +170,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH) ->
 
     The worst item is the one with the largest covered part, of ties the smallest id;
     null, with nothing covered, if no item shares a seed. Null and empty texts share
-    none, null items are not looked at, and an item shorter than ``min_match`` must
+    none, nor do items without text; a null item id counts as smallest. An item shorter than ``min_match`` must
     occur whole. All rows and columns stay, repeated rows too.
     """
     start = (F.lit(None), F.lit(0), F.lit(1), F.lit(0))
@@ -205,9 +207,8 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[tuple[list, pa.Array]]:
     The driver reads one row after the other and holds one block; each block is one
     more step of the tasks over their documents.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("i"), "text").where(
-        "i is not null and text is not null"
-    )
+    own = F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID))
+    items = benchmark.select(own.alias("i"), "text").where("text is not null")
     ids, rows, size = [], [], 0
     for row in items.toLocalIterator():
         ids.append(row["i"])
@@ -230,7 +231,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     return rows.select(
         F.col(key).alias("doc_id"),
         (covered_part() >= COVERAGE).alias("contaminated"),
-        F.col(RESULT[0]).alias("item_id"),
+        F.when(F.col(RESULT[0]) != NO_ID, F.col(RESULT[0])).alias("item_id"),
         covered_part().alias("coverage"),
         F.col(RESULT[1]).alias("covered"),
         F.col(RESULT[3]).alias("tiles"),

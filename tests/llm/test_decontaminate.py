@@ -90,3 +90,12 @@ def test_odd_rows(spark, clashing, odd_rows, no_docs):
     assert dc.contaminated(no_docs, bench).count() == 0
     assert dc.clean(clashing, bench.where("false")).count() == len(odd_rows)
     assert np.isfinite([r.coverage for r in got]).all()
+
+
+def test_items_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"a b {text} c"), (2, "a b c")], "doc_id long, text string")
+    bench = benchmark(spark, [(None, text)])
+    found = {r.doc_id: (r.contaminated, r.item_id, r.covered) for r in dc.contaminated(docs, bench).collect()}
+    assert found == {1: (True, None, 60), 2: (False, None, 0)}
+    assert [r.doc_id for r in dc.clean(docs, bench).collect()] == [2]
