@@ -135,25 +135,29 @@ def grouped_running_total(
 
 
 def grouped_medians(
-    df: DataFrame, by: list[str], values: list[str], hot: list[int] | None = None
+    df: DataFrame, by: list[str], values: list[str], hot: list[int] | None = None, size: str | None = None
 ) -> DataFrame:
-    """Lower median of each value column per group, exactly.
+    """Lower median of each value column per group, exactly; ``size`` names its count, if asked for.
 
     Ordinary groups take one exchange and a sort per column. The values of hot
     groups are counted first, so ties cost nothing, and the counts are summed
     slice by slice.
     """
     hot = hot_groups(df, by) if hot is None else hot
-    middle = F.ceil(F.count(F.lit(1)).over(W.partitionBy(*by)) / 2)
-    ranks = {f"_{v}": F.row_number().over(W.partitionBy(*by).orderBy(v)) for v in values}
+    # the hash comes first, so that sorts compare numbers and not the columns of the group
+    group = ["_group", *by]
+    middle = F.ceil(F.count(F.lit(1)).over(W.partitionBy(*group)) / 2)
+    ranks = {f"_{v}": F.row_number().over(W.partitionBy(*group).orderBy(v)) for v in values}
     picked = [F.max(F.when(F.col(f"_{v}") == F.col("_middle"), F.col(v))).alias(v) for v in values]
-    plain = df.where(~_is_hot(by, hot)) if hot else df
-    plain = plain.withColumns({"_middle": middle, **ranks}).groupBy(*by).agg(*picked)
+    sized = [F.count(F.lit(1)).alias(size)] if size else []
+    plain = df.withColumn("_group", F.xxhash64(*by))
+    plain = plain.where(~F.col("_group").isin(hot)) if hot else plain
+    plain = plain.withColumns({"_middle": middle, **ranks}).groupBy(*group).agg(*picked, *sized).drop("_group")
     if not hot:
         return plain
     rows = df.where(_is_hot(by, hot))
-    found = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / 2).alias("_middle"))
-    sizes = F.broadcast(found)  # a row for each hot group
+    found = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / 2).alias("_middle"), *sized)
+    sizes = F.broadcast(found.select(*by, "_middle"))  # a row for each hot group
     for v in values:
         counted = rows.groupBy(*by, v).agg(F.count(F.lit(1)).alias("_n"))
         summed = null_safe_join(sliced_totals(counted, by, [v], "_n", "_upto"), sizes, by)

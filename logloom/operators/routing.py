@@ -21,7 +21,7 @@ from logloom.functions.draws import uniform
 from logloom.functions.scaling import fit_scalers, scaled
 from logloom.operators.positions import grouped_medians
 from logloom.plans.specs import ACTIVITIES, CONTEXT, ROLES, TIMES
-from logloom.runtime import pin
+from logloom.runtime import pin, shuffled
 
 CATEGORIES = {ACTIVITIES: "ac_index_prefix", ROLES: "rl_index_prefix"}
 # Floor of a predicted probability, as in the usual cross-entropy.
@@ -95,11 +95,10 @@ def fit_routed(
     events = samples.where(F.col("ac_index_next") != end)
     rows = events.select(F.explode(F.array(*contexts(heads["time"], n))).alias("c"), *[F.col(f"{t}_next").alias(t) for t in times])
     rows = pin(rows.select("c.level", "c.ctx", *times))
-    totals = rows.groupBy("level", "ctx").agg(F.count(F.lit(1)).alias("total")).where(supported)
-    medians = grouped_medians(rows, ["level", "ctx"], times)
+    medians = grouped_medians(rows, ["level", "ctx"], times, size="total")
     return RoutedModel(
         pin(choices.where(supported).drop("total")),
-        pin(medians.join(totals.drop("total"), ["level", "ctx"], "left_semi")),
+        pin(medians.where(supported).drop("total")),
         heads, n, tuple(times),
     )
 
@@ -115,7 +114,7 @@ def predict_routed(samples: DataFrame, model: RoutedModel) -> DataFrame:
 
     def deepest(head: str, table: DataFrame, values: list[str]) -> DataFrame:
         asked = seen.select(*SEEN, F.explode(F.array(*contexts(model.heads[head], model.n))).alias("c"))
-        asked = asked.select(*SEEN, "c.level", "c.ctx").join(table, ["level", "ctx"])
+        asked = asked.select(*SEEN, "c.level", "c.ctx").join(shuffled(table), ["level", "ctx"])
         found = asked.groupBy(*SEEN).agg(F.max_by(F.struct(*values), "level").alias("_found"))
         names = [f"{head}_pred"] if head != "time" else [f"{t}_pred" for t in values]
         return found.select(*SEEN, *[F.col(f"_found.{v}").alias(name) for v, name in zip(values, names)])
@@ -123,9 +122,9 @@ def predict_routed(samples: DataFrame, model: RoutedModel) -> DataFrame:
     known = seen
     for head in ("ac", "rl"):
         own = model.choices.where(F.col("head") == head)
-        known = known.join(deepest(head, own, ["next"]), SEEN)
-    known = known.join(deepest("time", model.times, list(model.names)), SEEN, "left")
-    return samples.join(pin(known), SEEN).drop("_times", "_clock")
+        known = known.join(shuffled(deepest(head, own, ["next"])), SEEN)
+    known = known.join(shuffled(deepest("time", model.times, list(model.names))), SEEN, "left")
+    return samples.join(shuffled(pin(known)), SEEN).drop("_times", "_clock")
 
 
 def _routes(heads_of: dict[str, dict], head: str) -> dict[tuple[str, ...], int]:
@@ -179,22 +178,22 @@ def routed_losses(
 
     def deepest(table, fields):
         size = F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n_size")
-        found = asked.join(table, context).select("*", size).where("level <= 2 * n_size + 1")
+        found = asked.join(shuffled(table), context).select("*", size).where("level <= 2 * n_size + 1")
         packed = F.max_by(F.struct("level", "ctx", *fields), "level").alias("f")
         return found.groupBy(*SEEN, "head", "route", "n_size").agg(packed).select(
             *SEEN, "head", "route", "n_size", "f.*"
         )
 
     weighed = valid.groupBy(*SEEN, *labels.values()).agg(F.count(F.lit(1)).alias("w"))
-    chosen = weighed.join(deepest(totals, ["total"]), SEEN)
+    chosen = weighed.join(shuffled(deepest(totals, ["total"])), SEEN)
     chosen = chosen.withColumn("next", F.when(F.col("head") == "ac", F.col(labels["ac"])).otherwise(F.col(labels["rl"])))
-    hit = chosen.join(counts, [*context, "next"], "left")
+    hit = chosen.join(shuffled(counts), [*context, "next"], "left")
     p = F.greatest(F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)), F.lit(EPSILON))
     entropy = (F.sum(-F.log(p) * F.col("w")) / F.sum("w")).alias("ce")
     entropies = pin(hit.groupBy("head", "route", "n_size").agg(entropy))
     fits = {f"{t}_next": t for t in times}
     args = {m: dict(zip(times, fit_scalers(events, {c: m for c in fits}).values())) for m in methods}
-    guessed = valid.join(deepest(medians, times), SEEN)
+    guessed = valid.join(shuffled(deepest(medians, times)), SEEN)
 
     def error(m):
         parts = [

@@ -47,6 +47,15 @@ def pin_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` with the hint that it is joined by shuffle, whatever its files weigh.
+
+    For tables that grow with the input: dictionaries make the file of exploded or
+    repeated strings far smaller than the rows that a broadcast puts into memory.
+    """
+    return df.hint("merge")
+
+
 def dimension(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` allow it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -1,5 +1,6 @@
 """The plans for hot groups return what the plain plans return."""
 
+import pytest
 from helpers import rows_of
 from pyspark.sql import functions as F
 
@@ -141,3 +142,12 @@ def test_all_hot_groups_are_found(spark, monkeypatch):
     monkeypatch.setattr(positions, "HOT_ROWS", 1)
     groups = spark.range(3000).selectExpr("id div 2 as g")
     assert len(positions.hot_groups(groups, ["g"])) == 1500
+
+
+@pytest.mark.parametrize("hot_rows", [50, 1_000_000])
+def test_medians_come_with_the_size_of_their_group(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(positions, "HOT_ROWS", hot_rows)
+    rows = [("a", float(i * 7 % 101)) for i in range(101)] + [("b", 2.0), ("b", 1.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["v"], r["n"]) for r in positions.grouped_medians(df, ["g"], ["v"], size="n").collect()}
+    assert got == {"a": (50.0, 101), "b": (1.0, 2), None: (4.0, 1)}

@@ -84,3 +84,22 @@ def test_halving_keeps_the_better_half(spark, samples):
     assert len(by_rung[0]) == 12
     assert sorted(by_rung[1]) == sorted(sorted(by_rung[0], key=lambda c: (by_rung[0][c], c))[:6])
     assert all(by_rung[1][c] == pytest.approx(whole[c]) for c in by_rung[1])
+
+
+def test_tables_that_grow_are_joined_by_shuffle(spark, samples, monkeypatch):
+    """Exploded contexts weigh little as files and much as rows: none is broadcast."""
+    plans, real = [], R.pin
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(R, "pin", seen)
+    heads = {t: model_spec(t).heads for t in TYPES}
+    configs = spark.createDataFrame([(t, 2, "max") for t in TYPES], "model_type string, n_size int, norm_method string")
+    assert R.routed_losses(samples, samples, configs, heads, 6, TIMED).count() == 3
+    model = R.fit_routed(samples, heads["concatenated"], 2, 6, TIMED, min_support=3)
+    last = R.predict_routed(samples, model)
+    plans.append(last._jdf.queryExecution().sparkPlan().toString())
+    assert len([p for p in plans if "SortMergeJoin" in p]) >= 4
+    assert not [p for p in plans if "Broadcast" in p]
