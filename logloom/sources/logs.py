@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logloom.operators.positions import number_rows
+from logloom.runtime import pin
 from logloom.schema import COLUMN_NAMES, LogSchema, drop_pseudo_events
 
 # strptime directive -> datetime pattern letters (fixed values)
@@ -111,30 +112,36 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
     traces = records.select(parsed.alias("t")).select("t.*")
     case = _attribute("", "string", "concept:name")
     events = traces.select(case.alias("caseid"), F.explode("event").alias("e"))
-    given = _attribute("e.", "date", "time:timestamp")
-    stamp = F.regexp_replace(given, ZONE, "")
-    sign = F.when(F.regexp_extract(given, ZONE, 2) == "-", -1).otherwise(1)
-    hours = F.coalesce(F.regexp_extract(given, ZONE, 3).try_cast("int"), F.lit(0))
-    minutes = F.coalesce(F.regexp_extract(given, ZONE, 4).try_cast("int"), F.lit(0))
-    offset = F.make_dt_interval(mins=sign * (hours * 60 + minutes))
     transition = F.lower(_attribute("e.", "string", "lifecycle:transition"))
-    return events.select(
+    rows = events.select(
         "caseid",
         _attribute("e.", "string", "concept:name").alias("task"),
         _attribute("e.", "string", "org:resource").alias("user"),
         F.coalesce(transition, F.lit("complete")).alias("event_type"),
-        (F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")) - offset).alias("timestamp"),
+        _attribute("e.", "date", "time:timestamp").alias("_given"),
     )
+    # each attribute is looked for, and each time matched, once
+    rows = rows.withColumn("_zone", F.regexp_extract("_given", ZONE, 0))
+    stamp = F.substring("_given", F.lit(1), F.length("_given") - F.length("_zone"))
+    sign = F.when(F.startswith("_zone", F.lit("-")), -1).otherwise(1)
+    hours = F.coalesce(F.substring("_zone", 2, 2).try_cast("int"), F.lit(0))
+    minutes = F.coalesce(F.substring("_zone", -2, 2).try_cast("int"), F.lit(0))
+    offset = F.make_dt_interval(mins=sign * (hours * 60 + minutes))
+    return rows.select(
+        "caseid", "task", "user", "event_type",
+        (F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")) - offset).alias("timestamp"),
+    )
 
 
 def pair_lifecycle(rows: DataFrame) -> DataFrame:
     """Interval events from ``start`` and ``complete`` rows.
 
     Within (case, task, user) the k-th start belongs to the k-th complete; a
-    row without partner is an instant event.
+    row without partner is an instant event. The rows are pinned, as they are counted
+    before they are numbered and may come from parsed text.
     """
     by = ["caseid", "task", "user", "event_type"]
-    rows = rows.where(F.col("event_type").isin("start", "complete"))
+    rows = pin(rows.where(F.col("event_type").isin("start", "complete")).select(*by, "timestamp"))
     placed = number_rows(rows, by, ["timestamp"], "_k")
     # A pair shares (case, task, user, k): two rows per group, whatever the case.
     stamp = {t: F.max(F.when(F.col("event_type") == t, F.col("timestamp"))) for t in ("start", "complete")}

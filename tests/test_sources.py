@@ -167,3 +167,28 @@ def test_xes_times_are_utc_and_files_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     at = [datetime(2024, 10, 27, 0, 30), datetime(2024, 10, 27, 1, 0), datetime(2024, 10, 27, 1, 10)]
     assert got == sorted((f"c{k}", t) for k in range(3000) for t in at)
+
+
+def test_rows_to_pair_are_evaluated_once(spark):
+    """Counting and numbering read the pinned rows; what they come from runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passing(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame(
+        [("c", "A", "u", t, f"2024-01-01 08:00:0{k}") for k in range(3) for t in ("start", "complete")],
+        "caseid string, task string, user string, event_type string, at string",
+    ).withColumn("timestamp", F.to_timestamp_ntz("at")).drop("at")
+    assert logs.pair_lifecycle(rows.mapInArrow(passing, rows.schema)).count() == 3
+    assert seen.value == 6
+
+
+def test_offsets_of_xes_times(spark, tmp_path):
+    stamps = ["08:00:00Z", "08:00:00.5+02:00", "08:00:00-0130", "08:00:00", "08:00:00.25+14:00"]
+    events = "".join(f'<event><date key="time:timestamp" value="2024-01-02T{s}"/></event>' for s in stamps)
+    (tmp_path / "log.xes").write_text(f'<log><trace><string key="concept:name" value="c"/>{events}</trace></log>')
+    got = [str(r["timestamp"]) for r in logs.read_xes(spark, str(tmp_path / "log.xes")).collect()]
+    assert [x[5:19] for x in got] == ["01-02 08:00:00", "01-02 06:00:00", "01-02 09:30:00", "01-02 08:00:00", "01-01 18:00:00"]
