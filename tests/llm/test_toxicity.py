@@ -1,7 +1,7 @@
 import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -105,3 +105,36 @@ def test_bounds_leave_results_alike(make_docs, make_labels, corpus, monkeypatch)
     got = {r.doc_id: r.predicted for r in toxicity.score(make_docs(docs), make_labels(labels)).collect()}
     held = [(i, t) for i, _, t in labels if fold(i) == 0]
     assert np.mean([got[i] == t for i, t in held]) > 0.95
+
+
+def test_words_after_others(make_docs, make_labels, corpus, monkeypatch):
+    """Both labels' probabilities after a word, counted one by one; they sum to one."""
+    monkeypatch.setattr(toxicity, "PAIR_COUNT", 1)
+    docs, labels = corpus[0][:150], corpus[1][:150]
+    known = toxicity.labelled(make_docs(docs), make_labels(labels)).where("fold <> 1")
+    model = toxicity.fit(known)
+    pairs = [Counter(), Counter()]
+    for (i, text), (_, _, t) in zip(docs, labels):
+        if fold(i) not in (0, 1):
+            pairs[t].update(zip([None, *text.split()], text.split()))
+    vocabulary = sorted({w for c in pairs for _, w in c})
+    joined = "".join(vocabulary).encode()
+    ends = np.cumsum([len(w.encode()) for w in vocabulary])
+    h = toxicity.hashes(np.frombuffer(joined, np.uint8), np.append(0, ends[:-1]), ends)
+    shared, ratios = model.look_up(h)
+    number = {w: k for k, w in enumerate(vocabulary)}
+    for v in (None, *vocabulary[::40]):
+        before = np.full(len(h), toxicity.START if v is None else h[number[v]], np.uint64)
+        p = np.exp(model.after(before, h, shared + ratios))
+        for t in (0, 1):
+            sizes = list(pairs[t].values())
+            discount = sizes.count(1) / (sizes.count(1) + 2 * sizes.count(2))
+            own = {w: n for (u, w), n in pairs[t].items() if u == v}
+            total = sum(own.values())
+            left = discount * len(own) / total if total else 1.0
+            for w in vocabulary:
+                lower = math.exp(shared[number[w]] + ratios[t, number[w]])
+                want = (own[w] - discount) / total if w in own else 0.0
+                assert p[t, number[w]] == pytest.approx(want + left * lower, rel=1e-3, abs=1e-9)
+            rest = left * math.exp(model.unknown + model.ratios[t, -1])
+            assert abs(p[t].sum() + rest - 1) < 1e-3
