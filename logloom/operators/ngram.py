@@ -13,6 +13,7 @@ step is then one equi-join on the state.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -137,11 +138,19 @@ def fit_ngrams(
     return NgramModel(pin(states), n, end, tuple(times))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` found once a row.
+
+    A function of an array's elements finds whatever it is written with anew for each of them.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def likeliest(choices: str | Column) -> Column:
     """The choice with the largest count; the smallest index wins ties."""
     choices = F.col(choices) if isinstance(choices, str) else choices
     top = F.array_max(F.transform(choices, lambda c: c["n"]))
-    return F.get(F.filter(choices, lambda c: c["n"] == top), F.lit(0))
+    return _once(top, lambda t: F.get(F.filter(choices, lambda c: c["n"] == t), F.lit(0)))
 
 
 def drawn(choices: Column, u: Column) -> Column:
@@ -151,7 +160,7 @@ def drawn(choices: Column, u: Column) -> Column:
     renormalised.
     """
     mark = u * F.array_max(F.transform(choices, lambda c: c["upto"]))
-    return F.get(F.filter(choices, lambda c: c["upto"] > mark), F.lit(0))
+    return _once(mark, lambda m: F.get(F.filter(choices, lambda c: c["upto"] > m), F.lit(0)))
 
 
 def without(choices: Column, code: int) -> Column:
@@ -160,12 +169,16 @@ def without(choices: Column, code: int) -> Column:
         F.filter(choices, lambda c: c["next"] == code), F.lit(0).cast("bigint"), lambda a, c: a + c["n"]
     )
     kept = F.filter(choices, lambda c: c["next"] != code)
-    return F.transform(
-        kept,
-        lambda c: c.withField(
-            "upto", F.when(c["next"] > code, c["upto"] - skipped).otherwise(c["upto"])
-        ),
-    )
+
+    def lowered(less: Column) -> Column:
+        return F.transform(
+            kept,
+            lambda c: c.withField(
+                "upto", F.when(c["next"] > code, c["upto"] - less).otherwise(c["upto"])
+            ),
+        )
+
+    return _once(skipped, lowered)
 
 
 def resolve(prefixes: DataFrame, model: NgramModel) -> DataFrame:

@@ -140,8 +140,8 @@ def grouped_medians(
     """Lower median of each value column per group, exactly; ``size`` names its count, if asked for.
 
     Ordinary groups take one exchange and a sort per column. The values of hot
-    groups are counted first, so ties cost nothing, and the counts are summed
-    slice by slice.
+    groups are counted first, in one pass a column, so ties cost nothing, and the written
+    counts are summed slice by slice.
     """
     hot = hot_groups(df, by) if hot is None else hot
     # the hash comes first, so that sorts compare numbers and not the columns of the group
@@ -156,11 +156,12 @@ def grouped_medians(
     if not hot:
         return plain
     rows = df.where(_is_hot(by, hot))
-    found = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / 2).alias("_middle"), *sized)
+    counted = {v: pin(rows.groupBy(*by, v).agg(F.count(F.lit(1)).alias("_n"))) for v in values}
+    sized = [F.sum("_n").alias(size)] if size else []
+    found = counted[values[0]].groupBy(*by).agg(F.ceil(F.sum("_n") / 2).alias("_middle"), *sized)
     sizes = F.broadcast(found.select(*by, "_middle"))  # a row for each hot group
     for v in values:
-        counted = rows.groupBy(*by, v).agg(F.count(F.lit(1)).alias("_n"))
-        summed = null_safe_join(sliced_totals(counted, by, [v], "_n", "_upto"), sizes, by)
+        summed = null_safe_join(sliced_totals(counted[v], by, [v], "_n", "_upto"), sizes, by)
         at_middle = summed.where("_upto >= _middle and _upto - _n < _middle")
         found = null_safe_join(found, at_middle.select(*by, v), by)
     return plain.unionByName(found.drop("_middle"))

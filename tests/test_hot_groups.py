@@ -151,3 +151,20 @@ def test_medians_come_with_the_size_of_their_group(spark, monkeypatch, hot_rows)
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r["g"]: (r["v"], r["n"]) for r in positions.grouped_medians(df, ["g"], ["v"], size="n").collect()}
     assert got == {"a": (50.0, 101), "b": (1.0, 2), None: (4.0, 1)}
+
+
+def test_rows_of_hot_groups_are_read_once_a_column(spark, monkeypatch):
+    monkeypatch.setattr(positions, "HOT_ROWS", 50)
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(300).selectExpr("cast(id % 2 as int) as g", "id * 7 % 300 as v", "id * 11 % 300 as w")
+    df = rows.mapInArrow(passed, rows.schema)
+    hot = [r["h"] for r in spark.range(2).select(F.xxhash64(F.col("id").cast("int")).alias("h")).collect()]
+    got = positions.grouped_medians(df, ["g"], ["v", "w"], hot, "n").collect()
+    assert sorted(map(tuple, got)) == [(0, 148, 148, 150), (1, 149, 149, 150)]
+    assert read.value <= 3 * 300  # also by the plan of the ordinary groups

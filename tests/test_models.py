@@ -176,6 +176,22 @@ def test_draws_follow_the_counts(spark):
     assert [tuple(c) for c in left] == [(2, 3, 3)]
 
 
+def test_a_draw_is_made_once_a_row(spark):
+    """Not once for each choice: a Python function may not even stand there."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def draw(i):
+        calls.add(1)
+        return i / 40
+
+    choices = F.sequence(F.lit(1), F.lit(10))
+    choices = F.transform(choices, lambda c: F.struct(c.alias("next"), F.lit(1).alias("n"), c.alias("upto")))
+    rows = spark.range(40).select("id", G.drawn(choices, draw("id"))["next"].alias("c")).collect()
+    assert [r["c"] for r in rows] == [r["id"] * 10 // 40 + 1 for r in rows]
+    assert calls.value == 40
+
+
 @pytest.mark.parametrize("variant", G.VARIANTS)
 def test_generated_log(ready, model, variant):
     log = P.generated_log(ready, model, variant, seed=2).orderBy("caseid", "pos").collect()
