@@ -20,17 +20,24 @@ def _choices(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     narrow = np.uint32 if int(ids.max()) < 1 << 32 else np.uint64
     ids = ids.astype(narrow)
+    widest = int(ids.max())
     place = np.arange(n, dtype=np.int64 if n >= 1 << 31 else np.int32)
-    end = np.minimum((place // BLOCK_IDS + 1) * BLOCK_IDS, n).astype(place.dtype)
-    room = end - place
+    room = np.minimum((place // BLOCK_IDS + 1) * BLOCK_IDS, n) - place
     choice = np.zeros(n, np.uint8)
     for selector in range(len(PACKINGS), 0, -1):
         count, bits = PACKINGS[selector - 1]
-        fits = room >= count
-        if bits < 8 * narrow().itemsize:
-            wide = np.where(ids >> narrow(bits) != 0, place, n).astype(place.dtype)
-            fits &= np.minimum.accumulate(wide[::-1])[::-1] - place >= count
-        choice[fits] = selector
+        if widest >> bits == 0:
+            choice[room >= count] = selector
+            continue
+        # runs of narrow ids; the narrower the fewer, so only they are looked at
+        low = np.flatnonzero(ids >> narrow(bits) == 0)
+        edges = np.flatnonzero(np.diff(low) != 1) + 1
+        first, last = np.append(0, edges), np.append(edges, len(low))
+        long = last - first >= count
+        sizes = (last - first)[long] - count + 1
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.repeat(low[first[long]], sizes) + within
+        choice[at[room[at] >= count]] = selector
     return choice
 
 

@@ -17,10 +17,12 @@ import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 from pyspark import TaskContext
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from logloom.llm import simple8b
 from logloom.llm.bpe import spread
 from logloom.llm.text import blocks, column
+from logloom.llm.text import texts as text_bytes
 from logloom.runtime import pin, shared_folder
 
 MAGIC = b"S8B1"
@@ -46,8 +49,13 @@ REMEMBERED = 400_000
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 # White space to str.split, but not to the tokenizer.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+SEPARATORS = np.frombuffer(b"\x1c\x1d\x1e\x1f", np.uint8)
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+# Letters beside ASCII that the tokenizer only lower-cases, each by itself, and the lower ones.
+LETTERS, LOWER_LETTERS = "À-ÖØ-öø-ÿА-ЯЁа-яё", "ß-öø-ÿа-яё"
+# How the tokenizer writes the bytes of a piece: printable ones as they are, the others in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class Table:
@@ -79,12 +87,11 @@ class WordEncoder:
 
         self.library = Tokenizer.from_str(tokenizer)
         self.library.encode_special_tokens = True  # their names in a text are plain text
-        vocabulary = self.library.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.cut = regex.compile(PIECES).findall
         self.spaces = regex.compile(r"\S+").findall
         self.plain = re.compile(r"[!-~]+").fullmatch
+        self.simple = re.compile(f"[!-~{LETTERS}]+").fullmatch
+        self.lower = re.compile(f"[!-~{LOWER_LETTERS}]+").fullmatch
         self.forget()
 
     def forget(self) -> None:
@@ -94,10 +101,20 @@ class WordEncoder:
         self.ids = np.zeros(0, np.uint32)
         self.starts = self.sizes = np.zeros(0, np.int64)
 
-    def split(self, text: str) -> list[str]:
-        if any(c in text for c in SEPARATORS):
-            return self.spaces(text)
-        return text.split()
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Which ids end a word."""
+        vocabulary = self.library.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        return ends
+
+    def split(self, texts: pa.Array) -> pa.Array:
+        """The words of each text; some may be empty."""
+        data, _ = text_bytes(texts)
+        if np.isin(data, SEPARATORS).any():
+            return pa.array([self.spaces(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pc.utf8_split_whitespace(texts)
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -112,6 +129,9 @@ class WordEncoder:
                 found[k] = self.whole(p[0])
             elif self.plain(p):
                 found[k] = [t.id for t in tokenize(p)]  # lower-case ASCII stays as it is
+            elif self.lower(p):
+                written = p.encode().decode("latin-1").translate(BYTE_LETTERS)
+                found[k] = [t.id for t in tokenize(written)]
             else:
                 others.append(k)
         if others:
@@ -144,8 +164,10 @@ class WordEncoder:
 
     def parts(self, word: str) -> tuple | list:
         """The pieces of a word, or the word in a tuple if it must go in whole."""
+        if not word:
+            return ()
         w = word
-        if w.isascii():
+        if w.isascii() or self.simple(w):
             w = w.lower()
         else:
             low = w.lower()
@@ -159,23 +181,22 @@ class WordEncoder:
             return (w[:-1], w[-1])
         return self.cut(w)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         if len(self.place) > REMEMBERED:
             self.forget()
         known = len(self.place)
-        number = self.place.__getitem__  # gives a new word the next number
-        counts, at = [], [np.zeros(0, np.int64)]
-        for text in texts:
-            words = self.split(text) if text else []
-            counts.append(len(words))
-            at.append(np.fromiter(map(number, words), np.int64, len(words)))
+        split = self.split(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        counts = pc.list_value_length(split).fill_null(0).to_numpy(zero_copy_only=False)
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = map(self.place.__getitem__, distinct)  # gives a new word the next number
+        at = np.fromiter(number, np.int64, len(distinct))[words.indices.to_numpy()]
         if len(self.place) > known:
             self.learn(list(islice(self.place, known, None)))
-        at = np.concatenate(at)
         sizes = self.sizes[at]
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        edges = upto[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        edges = upto[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
         return spread(self.ids, self.starts[at], sizes), np.diff(edges)
 
 
@@ -235,7 +256,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id") ->
                 fs, path = pafs.FileSystem.from_uri(folder)
                 fs.create_dir(path, recursive=True)
                 stream = fs.open_output_stream(f"{path}/{name}")
-            ids, sizes = with_end(*encoder.encode(column(batch, "text").to_pylist()), end_id)
+            ids, sizes = with_end(*encoder.encode(column(batch, "text")), end_id)
             keys = column(batch, "key").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             stream.write(frame(keys, sizes, ids))
             total_docs += len(sizes)

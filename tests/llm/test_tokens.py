@@ -86,6 +86,25 @@ def test_words_as_library(texts):
         assert ids[a:b].tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
 
 
+LETTERS = st.text(st.sampled_from("aZéÉßẞøÞþÿ×÷йЙёЁяЯѐàŸµªK'1.,-"), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(LETTERS, max_size=12).map(" ".join))
+def test_letters_as_library(text):
+    ids, _ = token_files.WordEncoder(WORDS).encode([text])
+    assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_common_letters_need_no_whole_pass(monkeypatch):
+    """Pieces of accented and Cyrillic letters go straight to the merges, as ASCII ones do."""
+    text = "Élan vital, naïve Straßen. ПЁС ещё"
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    encoder = token_files.WordEncoder(WORDS)
+    monkeypatch.setattr(encoder, "whole", None)
+    assert encoder.encode([text])[0].tolist() == want
+
+
 def test_token_files(odd_rows, clashing, no_docs):
     manifest = token_files.write(clashing, WORDS, end_id=1)
     got = token_files.read(manifest, digest=True).collect()
