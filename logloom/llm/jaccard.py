@@ -145,8 +145,35 @@ def _list_rows(rows: list[np.ndarray], lead: np.ndarray, keep: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays([pa.array(r) for r in ids], [c.split()[0] for c in LISTS.split(", ")])
 
 
+# Rows of a list whose pairs are all tried before it is written.
+SHORT = 8
+
+
+def _partnered(start: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a row is within reach (as in _reach) of another one of its list.
+
+    In lists of more than SHORT rows only the other's size is looked at. ``start``: the
+    first row of its list; the rows of a list are sorted by size.
+    """
+    rest = size - pos
+    near = np.zeros(len(size), bool)
+    for d in range(1, min(SHORT, len(size))):
+        a, b = slice(None, -d), slice(d, None)
+        met = (100 + percent) * np.minimum(rest[a], rest[b]) >= percent * (size[a] + size[b])
+        met &= start[a] == start[b]
+        near[a] |= met
+        near[b] |= met
+    at = start << 32
+    least = -(-percent * size // 100)
+    most = (100 + percent) * rest // percent - size
+    first = np.searchsorted(at + size, at + least, "left")
+    last = np.searchsorted(at + size, at + np.clip(most, 0, (1 << 32) - 1), "right")
+    long = np.bincount(start, minlength=len(start))[start] > SHORT
+    return near | long & (last - first > (size <= most))
+
+
 def lists(posted: DataFrame, percent: int) -> DataFrame:
-    """The postings that share their shingle with another set, with their block's leader."""
+    """The postings within reach of another set of their shingle, with their block's leader."""
 
     def run(batches):
         # of the last list: its only row so far, or else its last leader and last set
@@ -176,8 +203,12 @@ def lists(posted: DataFrame, percent: int) -> DataFrame:
             starts = np.flatnonzero(np.diff(rows[0], prepend=~rows[0][:1]) != 0)
             sizes = np.diff(np.append(starts, len(rows[0])))
             start = np.repeat(starts, sizes)
-            lead = _leaders(start, rows[2].astype(np.int64), percent)
-            yield _list_rows(rows, lead, np.repeat(sizes > 1, sizes))
+            size = rows[2].astype(np.int64)
+            lead = _leaders(start, size, percent)
+            keep = _partnered(start, size, rows[3].astype(np.int64), percent)
+            if sizes[-1] > 1:
+                keep[starts[-1] :] = True  # the list may go on
+            yield _list_rows(rows, lead, keep)
             if sizes[-1] > 1:
                 single, leader, last = None, [r[lead[-1]] for r in rows], rows[1][-1]
             else:
@@ -199,6 +230,9 @@ def _links(overlap, a, b, percent: int):
 LEADER_ROUNDS, GAIN = 8, 0.8
 # Members of one leader that go through one task.
 TOGETHER = 256
+# Members of one home that are tried on sets of other components before all of them are:
+# most of those that link do so with several, and what is joined is not compared again.
+CROWD = 64
 
 
 def compare(pairs: DataFrame, docs: DataFrame, active: DataFrame, words: int) -> DataFrame:
@@ -331,13 +365,14 @@ def link_components(
     placed = pin(placed.join(sized, "set_id"))
 
     # lists of one component have nothing left to find
+    crowd = _crowd(placed)
+    if crowd is not None:
+        more = pin(_remaining_links(live, placed, overlaps, percent, crowd))
+        placed = pin(_merged(placed, more))
     more = pin(_remaining_links(live, placed, overlaps, percent))
-    joined = connected_components(placed.select(F.col("component").alias("node")).distinct(), more)
-    joined = joined.select(F.col("node").alias("part"), F.col("component").alias("final"))
-    named = placed.select("set_id", F.col("component").alias("part")).join(joined, "part")
-    named = named.join(active, "set_id")
-    least = named.groupBy("final").agg(F.min("key").alias("component_id"))
-    named = named.join(least, "final").select("set_id", "component_id")
+    named = _merged(placed, more).join(active, "set_id")
+    least = named.groupBy("component").agg(F.min("key").alias("component_id"))
+    named = named.join(least, "component").select("set_id", "component_id")
     classes = owners.join(named, "set_id", "left").select(
         "set_id", F.coalesce("component_id", "key").alias("component_id")
     )
@@ -356,8 +391,12 @@ def link_components(
 
 
 def _reach(pos_a, size_a, pos_b, size_b):
-    """The most shingles two sets can share that have one at these positions in common."""
-    return F.least(pos_a, pos_b) + F.least(size_a - pos_a, size_b - pos_b)
+    """The most shingles two sets can share if those at these positions are their first common one.
+
+    Sets that link are within reach where their first common shingle is listed, so they are
+    found there if all other lists pass them over.
+    """
+    return F.least(size_a - pos_a, size_b - pos_b)
 
 
 def _open_lists(live: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
@@ -401,34 +440,62 @@ def _with_members(live: DataFrame, percent: int, turn: int) -> DataFrame:
     ).select("a", "b")
 
 
-def _remaining_links(listed: DataFrame, placed: DataFrame, overlaps, percent: int) -> DataFrame:
-    """Links (x, y) between components, from all pairs that share a list but no component."""
-    rows = listed.select("shingle", "set_id", "size", "pos").join(
-        placed.select("set_id", "component", "home"), "set_id"
+def _crowd(placed: DataFrame) -> DataFrame | None:
+    """CROWD members each of the homes that have more, if there are such."""
+    sizes = placed.groupBy("home").agg(F.count("*").alias("members"))
+    large = pin(sizes.where(F.col("members") > CROWD).select("home"))
+    if large.isEmpty():
+        return None
+    of_home = W.partitionBy("home").orderBy(F.xxhash64("set_id"), "set_id")
+    members = placed.join(large, "home").withColumn("rank", F.row_number().over(of_home))
+    return pin(members.where(F.col("rank") <= CROWD).select("set_id"))
+
+
+def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``placed`` with the components that ``links`` leave."""
+    parts = placed.select(F.col("component").alias("node")).distinct()
+    joined = connected_components(parts, links)
+    joined = joined.select(F.col("node").alias("part"), F.col("component").alias("joined"))
+    found = placed.join(joined, placed["component"] == joined["part"])
+    return found.withColumn("component", F.col("joined")).drop("part", "joined")
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """The blocks of ``rows``: what a component's members of one home have in a list."""
+    return rows.groupBy("shingle", "component", "home").agg(
+        F.min("size").alias("small"),
+        F.max("size").alias("large"),
+        F.max(F.col("size") - F.col("pos")).alias("rest"),
     )
-    spans = (
-        rows.groupBy("shingle", "component", "home")
-        .agg(
-            F.min("size").alias("small"),
-            F.max("size").alias("large"),
-            F.max("pos").alias("pos"),
-            F.max(F.col("size") - F.col("pos")).alias("rest"),
-        )
-    )
-    spans = pin(spans)
-    a, b = spans.alias("a"), spans.alias("b")
+
+
+def _remaining_links(
+    listed: DataFrame, placed: DataFrame, overlaps, percent: int, some: DataFrame | None = None
+) -> DataFrame:
+    """Links (x, y) between components, from all pairs that share a list but no component.
+
+    With ``some`` (set_id): only from pairs with one of those.
+    """
+    rows = listed.select("shingle", "set_id", "size", "pos").join(placed.drop("size"), "set_id")
+    spans = pin(_spans(rows))
+    if some is None:
+        first, apart = rows, F.col("a.home") < F.col("b.home")
+        a, b = spans.alias("a"), spans.alias("b")
+    else:
+        first, apart = rows.join(some, "set_id", "left_semi"), F.lit(True)
+        a, b = pin(_spans(first)).alias("a"), spans.alias("b")
     # of the members of two blocks, as in _reach
-    reach = F.least("a.pos", "b.pos") + F.least("a.rest", "b.rest")
+    reach = F.least("a.rest", "b.rest")
     near = (
         (F.col("a.shingle") == F.col("b.shingle"))
-        & (F.col("a.home") < F.col("b.home"))
+        & apart
         & (F.col("a.component") != F.col("b.component"))
         & (100 * F.col("a.large") >= percent * F.col("b.small"))
         & (100 * F.col("b.large") >= percent * F.col("a.small"))
         & _links(reach, F.col("a.small"), F.col("b.small"), percent)
     )
-    pairs = a.join(b, near).select(F.col("a.home").alias("a"), F.col("b.home").alias("b")).distinct()
-    answers = pin(overlaps(pairs))
+    near = pin(a.join(b, near).select("a.shingle", F.col("a.home").alias("a"), F.col("b.home").alias("b")))
+    answers = pin(overlaps(near.select("a", "b").distinct()))
     direct = answers.where(_links(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent))
 
     # members of two homes: their overlap lies within what they add to and lack of these
@@ -455,20 +522,19 @@ def _remaining_links(listed: DataFrame, placed: DataFrame, overlaps, percent: in
         )
         & ~_links(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent)
     )
-    own = placed.select("set_id", F.col("set_id").alias("home"), "component", "size").withColumns(
-        {"adds": F.lit(0), "lacks": F.lit(0)}
-    )
-    every = own.unionByName(members.where("set_id <> home").select(*own.columns))
-    x = every.select(*[F.col(c).alias(f"x_{c}") for c in every.columns])
-    y = every.select(*[F.col(c).alias(f"y_{c}") for c in every.columns])
-    top = F.col("overlap") + F.col("x_adds") + F.col("y_adds")
+    # as their homes do, they meet in the list of their first common shingle
+    x = first.select(*[F.col(c).alias(f"x_{c}") for c in rows.columns])
+    y = rows.select(*[F.col(c).alias(f"y_{c}") for c in rows.columns])
+    reach = _reach(F.col("x_pos"), F.col("x_size"), F.col("y_pos"), F.col("y_size"))
+    top = F.least(reach, F.col("overlap") + F.col("x_adds") + F.col("y_adds"))
     sure = F.col("overlap") - F.col("x_lacks") - F.col("y_lacks")
     derived = (
-        open_pairs.select("a", "b", "overlap")
-        .join(x, F.col("a") == F.col("x_home"))
+        near.join(open_pairs.select("a", "b", "overlap"), ["a", "b"])
+        .join(x, (F.col("shingle") == F.col("x_shingle")) & (F.col("a") == F.col("x_home")))
         .join(
             y,
-            (F.col("b") == F.col("y_home"))
+            (F.col("shingle") == F.col("y_shingle"))
+            & (F.col("b") == F.col("y_home"))
             & (F.col("x_component") != F.col("y_component"))
             & ((F.col("x_set_id") != F.col("a")) | (F.col("y_set_id") != F.col("b")))
             & _links(top, F.col("x_size"), F.col("y_size"), percent),
