@@ -87,3 +87,40 @@ def test_odd_rows(clashing, odd_rows, no_docs):
     assert {c for _, c in by_id[7]} == {6} and sorted(by_id[None])[0] == (0, None)
     assert by_id[8][0][1] == 8 == by_id[9][0][1]
     assert jaccard.link_components(no_docs).count() == 0
+
+
+def test_near_copies_that_do_not_link_are_hardly_compared(make_docs, monkeypatch):
+    """A group of 80 near copies at 60 %: all pairs share lists, none is within reach."""
+    counts, compare = [], jaccard.compare
+    monkeypatch.setattr(
+        jaccard, "compare", lambda pairs, *rest: counts.append(pairs.count()) or compare(pairs, *rest)
+    )
+    base = prose(1, 200)
+    rows = [(k, edited(base, 5, k)) for k in range(80)]
+    assert components(make_docs(rows)) == brute.op6(rows)
+    assert sum(counts) <= 5 * len(rows)
+
+
+def test_crowded_homes_are_tried_by_some_members_first(make_docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "CROWD", 3)
+    base = prose(2, 150)
+    rows = [(k, edited(base, 1 + k % 4, k)) for k in range(60)]
+    rows += [(100 + k, prose(300 + k, 40)) for k in range(5)]
+    assert components(make_docs(rows)) == brute.op6(rows)
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_rows_out_of_reach_are_dropped(percent):
+    r = np.random.default_rng(3)
+    for short in (True, False):
+        n = np.repeat([1, 2, 5, 8, 3] if short else [30, 9, 60], 1)
+        start = np.repeat(np.cumsum(n) - n, n)
+        size = r.integers(5, 60, len(start))
+        size = size[np.lexsort((size, start))]
+        pos = (size * r.random(len(start)) * (100 - percent) / 100).astype(np.int64)
+        got = jaccard._partnered(start, size, pos, percent)
+        for k in range(len(start)):
+            other = (start == start[k]) & (np.arange(len(start)) != k)
+            reach = np.minimum(size - pos, size[k] - pos[k])
+            met = bool((other & ((100 + percent) * reach >= percent * (size + size[k]))).any())
+            assert got[k] == met if short else got[k] >= met
