@@ -7,7 +7,8 @@ its prefix, are indexed: two sets that link share one of those.
 
 1. *Lists.* The postings of one shingle are sorted by size and read as a stream. They
    fall into blocks within which sizes allow a link; a block's first set is its leader.
-   Lists of one set are dropped.
+   Rows out of reach of all others of their list are dropped: sets that link do so at
+   their first common shingle, and what stands before it in either is not shared.
 2. *Leaders.* Every set is compared with the leaders of its blocks only, so a group of
    near copies costs a number of comparisons linear in its size. A set that links takes
    a leader as home and keeps how many shingles it adds to it.
@@ -15,7 +16,8 @@ its prefix, are indexed: two sets that link share one of those.
    list. They are looked at by homes: a whole block is skipped if its positions and
    sizes in the list rule out a link, and pairs of members are skipped or linked when
    the overlap of their homes and the shingles they add or lack decide it. Only what
-   stays open is compared.
+   stays open is compared. If homes have many members, some of each are tried first, as
+   what they join need not be compared with the others; then all are.
 
 No list is cut and no pair that could join two components is left out.
 """
