@@ -6,6 +6,7 @@ A degenerate scale (max = min, std = 0) maps every value to 0.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +75,22 @@ def scaled(x: Column, args: ScaleArgs, method: str | None) -> Column:
     return ((F.log1p(x) if method == "lognorm" else x) - F.lit(low)) / F.lit(width)
 
 
+def scaled_values(x: np.ndarray, args: ScaleArgs, method: str | None) -> np.ndarray:
+    """``scaled`` for an array of doubles in a task; NaN stands for NULL."""
+    _check(method)
+    if method is None:
+        return x
+    if method in ("max", "day_secs"):
+        top = args["max_value"]
+        return x / top if top > 0 else x * 0.0
+    low, width = _affine(args, method)
+    if width == 0:
+        return x * 0.0
+    if method == "lognorm":
+        x = np.log1p(np.where(x > -1, x, np.nan))
+    return (x - low) / width
+
+
 def rescaled(x: Column, args: ScaleArgs, method: str | None) -> Column:
     """Inverts ``scaled``; ``max`` rounds half to even."""
     if method is None:

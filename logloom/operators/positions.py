@@ -167,6 +167,50 @@ def grouped_medians(
     return plain.unionByName(found.drop("_middle"))
 
 
+# Parts of a value's logarithm that ``hot_medians`` tells apart at first.
+FINE = 4096
+
+
+def hot_medians(df: DataFrame, by: list[str], values: list[str], parts: list[Column]) -> DataFrame:
+    """Lower medians of large groups in several parts of the rows, exactly.
+
+    Returns ``by``, and for part k its rows ``n_<k>`` and the median ``<value>_<k>`` of each
+    value; ``parts`` are 0 or 1. Values are counted by their rounded logarithm first, and one
+    by one only where a median lies, so few of them are sorted. NULL is the smallest value.
+    """
+    numbers = range(len(parts))
+    log = lambda v: F.floor(F.signum(v) * F.log1p(F.abs(F.col(v))) * FINE)
+    least = F.lit(-(1 << 63)).cast("bigint")
+    cells = [
+        F.struct(F.lit(v).alias("_of"), F.coalesce(log(v), least).alias("_near"), F.col(v).cast("double").alias("_value"))
+        for v in values
+    ]
+    rows = df.select(*by, *[p.alias(f"n_{k}") for k, p in enumerate(parts)], F.explode(F.array(*cells)).alias("_c"))
+    rows = rows.select(*by, *[f"n_{k}" for k in numbers], "_c.*")
+    near = pin(rows.groupBy(*by, "_of", "_near").agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in numbers]))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("_part"), F.col(f"n_{k}").alias("_n")) for k in numbers]))
+    group = [*by, "_of", "_part"]
+    near = near.select(*by, "_of", "_near", each.alias("_c")).select(*by, "_of", "_near", "_c.*").where("_n > 0")
+    near = pin(near)
+    sizes = near.groupBy(*group).agg(F.sum("_n").alias("_size"))  # a row for each part of a large group
+    upto = null_safe_join(sliced_totals(near, group, ["_near"], "_n", "_upto"), F.broadcast(sizes), group)
+    upto = upto.withColumn("_middle", F.ceil(F.col("_size") / 2)).where("_upto >= _middle and _upto - _n < _middle")
+    picked = pin(upto.select(*group, "_near", "_size", (F.col("_middle") - F.col("_upto") + F.col("_n")).alias("_rank")))
+    place = F.xxhash64(*by, "_of", "_near").alias("h")
+    places = [r["h"] for r in picked.select(place).distinct().collect()]  # one or two for each of them
+    near_values = null_safe_join(rows.where(place.isin(places)), F.broadcast(picked), [*by, "_of", "_near"])
+    held = F.element_at(F.array(*[F.col(f"n_{k}") for k in numbers]), F.col("_part") + 1)
+    counted = near_values.where(held > 0).groupBy(*group, "_size", "_rank", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    upto = sliced_totals(pin(counted), group, ["_value"], "_n", "_upto")
+    found = upto.where("_upto >= _rank and _upto - _n < _rank")
+    wide = []
+    for k in numbers:
+        own = F.col("_part") == k
+        wide.append(F.coalesce(F.max(F.when(own, F.col("_size"))), F.lit(0)).alias(f"n_{k}"))
+        wide += [F.max(F.when(own & (F.col("_of") == v), F.col("_value"))).alias(f"{v}_{k}") for v in values]
+    return found.groupBy(*by).agg(*wide)
+
+
 def number_rows(
     df: DataFrame, by: list[str], order: list[str], out: str = "pos", hot: list[int] | None = None
 ) -> DataFrame:
